@@ -9,6 +9,10 @@ from placeweave.functions import text
 from placeweave.operators.skew import lookup_join, small_values
 
 
+def _any_of(categories: Column, words) -> Column:
+    return F.coalesce(F.exists(categories, lambda x: x.isin(*words)), F.lit(False))
+
+
 def _with_labels(pois: DataFrame, pairs: DataFrame, label: str, known, out: str, id_col: str) -> DataFrame:
     """Distinct labels of each row's categories, in the order of `known`. A map that fits
     becomes set literals and the rows are not shuffled; a longer one is joined."""
@@ -16,10 +20,7 @@ def _with_labels(pois: DataFrame, pairs: DataFrame, label: str, known, out: str,
     c = F.col("categories")
     if rows is not None:
         sets = {k: [cat for cat, lab in rows if lab == k] for k in known}
-        found = [
-            F.when(F.coalesce(F.exists(c, lambda x, s=s: x.isin(*s)), F.lit(False)), F.lit(k))
-            for k, s in sets.items() if s
-        ]
+        found = [F.when(_any_of(c, s), F.lit(k)) for k, s in sets.items() if s]
         labels = F.array_compact(F.array(*found)) if found else F.array()
         return pois.withColumn(out, labels.cast("array<string>"))
     tokens = pois.select(id_col, F.explode(F.array_distinct("categories")).alias("category"))
