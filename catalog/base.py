@@ -162,7 +162,7 @@ FROM supplier
 """
 
 CTE["cat_labels"] = """
-SELECT c_custkey, lower(c_mktsegment) || ' ' || CASE c_custkey % 7 WHEN 0 THEN 'Repair' WHEN 1 THEN 'supply' WHEN 2 THEN 'hardware'
+SELECT c_custkey, c_acctbal, lower(c_mktsegment) || ' ' || CASE c_custkey % 7 WHEN 0 THEN 'Repair' WHEN 1 THEN 'supply' WHEN 2 THEN 'hardware'
          WHEN 3 THEN 'park' WHEN 4 THEN 'Wet_Market' WHEN 5 THEN 'Shop & Bar' ELSE 'temple' END
        || ' ' || CAST(c_custkey AS STRING) AS label
 FROM customer
@@ -172,7 +172,7 @@ SELECT o.o_orderkey AS seq, l.label,
        CASE WHEN o.o_orderkey % 23 = 0 THEN '' WHEN o.o_orderkey % 19 = 0 THEN 'exclude' WHEN o.o_orderkey % 17 = 0 THEN 'unique'
             WHEN o.o_orderkey % 13 = 0 THEN 'exclude,attractions/nature' WHEN o.o_orderkey % 11 = 0 THEN 'unique,meal'
             ELSE CASE o.o_orderstatus WHEN 'F' THEN 'attractions/shopping' WHEN 'O' THEN 'meal,attractions/nightlife' ELSE 'accommodation' END END AS buckets_csv
-FROM orders o JOIN cat_labels l ON l.c_custkey = o.o_custkey
+FROM orders o JOIN cat_labels l ON l.c_custkey = o.o_custkey AND l.c_acctbal >= 0
 """
 
 CTE["itineraries"] = """

@@ -308,10 +308,12 @@ def search_locations(spark, sf):
     return S.search_locations(table, "Customer Town 0000001", limit=25)
 
 
-@query("""SELECT id, name, country_iso2, admin_level FROM places WHERE lower(name) LIKE 'customer town 0%' ORDER BY id LIMIT 12""")
+@query(f"""SELECT id, name, country_iso2, admin_level
+           FROM (SELECT *, {_sim('g', 'q')} AS sim, lower(name) LIKE 'supplier#00%' AS prefix
+                 FROM (SELECT *, {_grams('name')} AS g, {_grams(chr(39) + 'supplier#00' + chr(39))} AS q FROM places))
+           WHERE sim >= 0.3 OR prefix ORDER BY id LIMIT 12""")
 def search_locations_by_id(spark, sf):
-    table = load(spark, sf, "SELECT * FROM places WHERE kind = 'city'")
-    found = S.search_locations(table.filter(F.lower("name").startswith("customer")), "customer town 0", 12, order="as_coded")
+    found = S.search_locations(load(spark, sf, "SELECT * FROM places"), "supplier#00", 12, order="as_coded")
     return found.select("id", "name", "country_iso2", "admin_level")
 
 
