@@ -116,8 +116,8 @@ def theme_match(spark, sf):
 
 @query(f"SELECT id, round(distance_m, 3) AS distance_m FROM ({geodesic_sql('pois', 'longitude', 'latitude', *SEED)})")
 def geodesic_distance(spark, sf):
-    df = geo.with_distance(plain_pois(spark, sf).select("id", "longitude", "latitude"), "longitude", "latitude", *SEED)
-    return df.select("id", F.round("distance_m", 3).alias("distance_m"))
+    metres = geo.distance("longitude", "latitude", *SEED)
+    return plain_pois(spark, sf).select("id", F.round(metres, 3).alias("distance_m"))
 
 
 @query("SELECT id, CASE WHEN longitude IS NULL OR latitude IS NULL THEN NULL ELSE CAST(round(longitude * 1000) AS BIGINT) || ' ' || CAST(round(latitude * 1000) AS BIGINT) END AS point FROM pois")

@@ -2,9 +2,11 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placeweave.functions.text import once
+
 # WGS84 ellipsoid.
 AXIS = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -15,53 +17,59 @@ _POLAR = AXIS * (1 - FLATTENING)
 _ROUNDS = 6
 
 
-def with_distance(df: DataFrame, lon: str, lat: str, seed_lon, seed_lat, out: str = "distance_m") -> DataFrame:
-    """Add the distance in metres on the ellipsoid from (lon, lat) to the seed point; null
-    without a point or without a seed. Vincenty's inverse solution, unrolled: every round is
-    one projection, so terms are computed once and stay in generated code."""
+def distance(lon, lat, seed_lon, seed_lat) -> Column:
+    """Metres on the ellipsoid from the point in columns lon, lat to the seed point; null
+    without a point or without a seed. Vincenty's inverse solution."""
     if seed_lon is None or seed_lat is None:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    keep = df.columns
+        return F.lit(None).cast("double")
     u2 = math.atan((1 - FLATTENING) * math.tan(math.radians(float(seed_lat))))
-    sin2, cos2 = F.lit(math.sin(u2)), F.lit(math.cos(u2))
-    df = df.withColumn("_u1", F.atan(F.lit(1 - FLATTENING) * F.tan(F.radians(F.col(lat)))))
-    df = df.withColumns({
-        "_s1": F.sin("_u1"), "_c1": F.cos("_u1"),
-        "_dl": F.radians(F.lit(float(seed_lon)) - F.col(lon)),
-    }).withColumn("_l", F.col("_dl"))
-    s1, c1, dl = F.col("_s1"), F.col("_c1"), F.col("_dl")
-    for _ in range(_ROUNDS):
-        df = df.withColumns({"_sl": F.sin("_l"), "_cl": F.cos("_l")})
-        x = cos2 * F.col("_sl")
-        y = c1 * sin2 - s1 * cos2 * F.col("_cl")
-        df = df.withColumns({
-            "_ss": F.sqrt(x * x + y * y),
-            "_cs": s1 * sin2 + c1 * cos2 * F.col("_cl"),
-        })
-        df = df.withColumns({
-            "_sg": F.atan2("_ss", "_cs"),
-            "_sa": F.when(F.col("_ss") == 0, F.lit(0.0)).otherwise(
-                c1 * cos2 * F.col("_sl") / F.nullif(F.col("_ss"), F.lit(0.0))),
-        })
-        df = df.withColumn("_c2", 1 - F.col("_sa") * F.col("_sa"))
-        df = df.withColumn("_cm", F.when(F.col("_c2") == 0, F.lit(0.0)).otherwise(
-            F.col("_cs") - 2 * s1 * sin2 / F.nullif(F.col("_c2"), F.lit(0.0))))
-        c2, cm = F.col("_c2"), F.col("_cm")
-        df = df.withColumn("_cc", FLATTENING / 16 * c2 * (4 + FLATTENING * (4 - 3 * c2)))
-        cc = F.col("_cc")
-        df = df.withColumn("_l", dl + (1 - cc) * FLATTENING * F.col("_sa") * (
-            F.col("_sg") + cc * F.col("_ss") * (cm + cc * F.col("_cs") * (2 * cm * cm - 1))))
-    u_sq = F.col("_c2") * ((AXIS**2 - _POLAR**2) / _POLAR**2)
-    df = df.withColumn("_q", u_sq)
-    q, cm = F.col("_q"), F.col("_cm")
-    df = df.withColumns({
-        "_a": 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))),
-        "_b": q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))),
-    })
-    b, ss, cs = F.col("_b"), F.col("_ss"), F.col("_cs")
-    delta = b * ss * (cm + b / 4 * (
-        cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-    return df.withColumn(out, _POLAR * F.col("_a") * (F.col("_sg") - delta)).select(*keep, out)
+    sin2, cos2 = math.sin(u2), math.cos(u2)
+
+    def step(p, state):
+        x = cos2 * F.sin(state["l"])
+        y = p["c"] * sin2 - p["s"] * cos2 * F.cos(state["l"])
+        arc = F.struct(
+            F.sqrt(x * x + y * y).alias("ss"), (p["s"] * sin2 + p["c"] * cos2 * F.cos(state["l"])).alias("cs"),
+            (p["c"] * x).alias("n"),
+        )
+
+        def azimuth(a):
+            sa = F.when(a["ss"] == 0, F.lit(0.0)).otherwise(a["n"] / F.nullif(a["ss"], F.lit(0.0)))
+            return once(F.struct(a["ss"], a["cs"], sa.alias("sa"), (1 - sa * sa).alias("c2")), midpoint)
+
+        def midpoint(a):
+            # On the equator the line has no northernmost point, and the term is 0.
+            cm = F.when(a["c2"] == 0, F.lit(0.0)).otherwise(
+                a["cs"] - 2 * sin2 * p["s"] / F.nullif(a["c2"], F.lit(0.0)))
+            cc = FLATTENING / 16 * a["c2"] * (4 + FLATTENING * (4 - 3 * a["c2"]))
+            return once(F.struct(a["ss"], a["cs"], a["sa"], a["c2"], cm.alias("cm"), cc.alias("cc"),
+                                 F.atan2(a["ss"], a["cs"]).alias("sg")), longitude)
+
+        def longitude(a):
+            bend = a["sg"] + a["cc"] * a["ss"] * (a["cm"] + a["cc"] * a["cs"] * (2 * a["cm"] * a["cm"] - 1))
+            l = p["dl"] + (1 - a["cc"]) * FLATTENING * a["sa"] * bend
+            return F.struct(l.alias("l"), a["ss"], a["cs"], a["c2"], a["cm"], a["sg"])
+
+        return once(arc, azimuth)
+
+    def metres(a):
+        q = a["c2"] * ((AXIS**2 - _POLAR**2) / _POLAR**2)
+        scale = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
+        b = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
+        bend = a["cs"] * (2 * a["cm"] * a["cm"] - 1) - b / 6 * a["cm"] * (4 * a["ss"] * a["ss"] - 3) * (
+            4 * a["cm"] * a["cm"] - 3)
+        return _POLAR * scale * (a["sg"] - b * a["ss"] * (a["cm"] + b / 4 * bend))
+
+    def solve(p):
+        zero = F.lit(0.0)
+        start = F.struct(p["dl"].alias("l"), *[zero.alias(n) for n in ("ss", "cs", "c2", "cm", "sg")])
+        rounds = F.sequence(F.lit(1), F.lit(_ROUNDS))
+        return F.aggregate(rounds, start, lambda state, _: step(p, state), metres)
+
+    u1 = F.atan((1 - FLATTENING) * F.tan(F.radians(F.col(lat))))
+    point = F.struct(F.sin(u1).alias("s"), F.cos(u1).alias("c"),
+                     F.radians(F.lit(float(seed_lon)) - F.col(lon)).alias("dl"))
+    return F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), once(point, solve))
 
 
 def turn(ax, ay, bx, by, px, py) -> Column:

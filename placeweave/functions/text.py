@@ -1,5 +1,6 @@
 """Text standardisation: tokens, slugs, phones, prices, categories, country tags."""
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 from placeweave.constants import BRAND_EXEMPTIONS, BRAND_MIN_LENGTH
 
 # White space as Python's str.strip and \s see it; Java's \s alone is ASCII.
-_WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SPACES = "".join(map(chr, (
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)))
+_SPACE_RUN = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -17,12 +22,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{_WS}|{_WS}$", "")
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def squeeze(c) -> Column:
-    return F.regexp_replace(_col(c), _WS, " ")
+    return F.regexp_replace(_col(c), _SPACE_RUN, " ")
 
 
 @lru_cache(maxsize=1)
@@ -45,20 +55,17 @@ def to_ascii(c) -> Column:
     """Compatibility-decompose, then drop what is not ASCII. A decomposition works character
     by character, so a lookup table generated from the Unicode data gives the same text and
     stays out of Python workers. ASCII strings skip the tables."""
-    c = _col(c)
     one, many = _folds()
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    long_fold = F.array_join(
-        F.transform(
-            F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)),
-            lambda ch: F.coalesce(F.try_element_at(table, ch), ch),
-        ),
-        "",
-    )
-    has_many = c.rlike("[" + "".join(many) + "]")
-    widened = F.when(has_many, long_fold).otherwise(c)
-    folded = F.translate(widened, "".join(one), "".join(one.values()))
-    return F.when(c.rlike(_NON_ASCII), F.regexp_replace(folded, _NON_ASCII, "")).otherwise(c)
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+
+    def fold(s):
+        present = F.array_distinct(F.regexp_extract_all(s, F.lit(f"({_NON_ASCII})"), F.lit(1)))
+        known = F.filter(present, lambda ch: F.try_element_at(table, ch).isNotNull())
+        widened = F.aggregate(known, s, lambda acc, ch: F.replace(acc, ch, F.try_element_at(table, ch)))
+        narrow = F.translate(widened, "".join(one), "".join(one.values()))
+        return F.when(s.rlike(_NON_ASCII), F.regexp_replace(narrow, _NON_ASCII, "")).otherwise(s)
+
+    return once(_col(c), fold)
 
 
 def norm_token(c) -> Column:

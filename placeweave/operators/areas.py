@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions.geo import on_segment, segments_meet, turn
-from placeweave.operators.skew import first_per_group, lookup_join
+from placeweave.operators.skew import first_per_group, lookup_join, with_totals
 
 BAND = 0.05
 COLUMN = 1.0
@@ -77,18 +77,34 @@ def load_areas(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return areas, edges, rejects
 
 
+_COORDINATES = ["x1", "y1", "x2", "y2"]
+
+
+def _twice_size():
+    return F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+
+
+def _size(twice):
+    # Sums of doubles depend on their order in the last digits; equal areas must stay equal.
+    return F.round(F.abs(twice) / 2, 9)
+
+
 def area_sizes(edges: DataFrame) -> DataFrame:
     """Planar size of each area in square degrees; holes count against it."""
-    twice = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
-    return edges.groupBy("area_id").agg((F.abs(twice) / 2).alias("area_size"))
+    return edges.groupBy("area_id").agg(_size(_twice_size()).alias("area_size"))
 
 
 def banded_edges(edges: DataFrame, band: float = BAND, column: float = COLUMN) -> DataFrame:
-    """Edges pointing upward, one row per (band, column) in which a point may need them."""
-    west = edges.groupBy("area_id").agg(F.min(F.least("x1", "x2")).alias("west"))
+    """Edges pointing upward, one row per (band, column) in which a point may need them, with
+    the size of their area. Further columns of `edges` are kept."""
+    facts = with_totals(
+        edges, "area_id", _COORDINATES,
+        partial={"west": F.min(F.least("x1", "x2")), "twice": _twice_size()},
+        merge={"west": F.min("west"), "twice": F.sum("twice")},
+    )
     up = F.col("y1") <= F.col("y2")
-    laid = lookup_join(edges, west, "area_id", ["x1", "y1", "x2", "y2"]).select(
-        "area_id", "west",
+    laid = facts.select(
+        *[c for c in edges.columns if c not in _COORDINATES], "west", _size(F.col("twice")).alias("area_size"),
         F.when(up, F.col("x1")).otherwise(F.col("x2")).alias("ax"), F.least("y1", "y2").alias("ay"),
         F.when(up, F.col("x2")).otherwise(F.col("x1")).alias("bx"), F.greatest("y1", "y2").alias("by"),
     )
@@ -98,10 +114,11 @@ def banded_edges(edges: DataFrame, band: float = BAND, column: float = COLUMN) -
 
 
 def points_in_areas(points: DataFrame, edges: DataFrame, id_col: str = "id", lon: str = "longitude",
-                    lat: str = "latitude", band: float = BAND, column: float = COLUMN) -> DataFrame:
+                    lat: str = "latitude", carry=(), band: float = BAND, column: float = COLUMN) -> DataFrame:
     """(id, area_id) for every area that holds the point, its border included. Rows that
     neither cross the ray nor touch the point are dropped inside the join, so few are left to
-    aggregate. Points without coordinates are in no area."""
+    aggregate. Points without coordinates are in no area. `carry` names columns of `edges`
+    that are the same all over an area, or `area_size`, to be passed on."""
     placed = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(
         id_col, F.col(lon).alias("px"), F.col(lat).alias("py"),
         F.floor(F.col(lat) / band).alias("band"), F.floor(F.col(lon) / column).alias("strip"),
@@ -111,33 +128,30 @@ def points_in_areas(points: DataFrame, edges: DataFrame, id_col: str = "id", lon
     touches = on_segment(ax, ay, bx, by, px, py)
     met = lookup_join(placed, banded_edges(edges, band, column), ["band", "strip"], id_col)
     return (
-        met.select(id_col, "area_id", crosses.cast("int").alias("crosses"), touches.alias("touches"))
+        met.select(id_col, "area_id", *carry, crosses.cast("int").alias("crosses"), touches.alias("touches"))
         .filter("crosses = 1 OR touches")
-        .groupBy(id_col, "area_id")
+        .groupBy(id_col, "area_id", *carry)
         .agg(F.sum("crosses").alias("n"), F.max("touches").alias("on_border"))
         .filter("n % 2 = 1 OR on_border")
-        .select(id_col, "area_id")
+        .select(id_col, "area_id", *carry)
     )
 
 
 def smallest_area(points: DataFrame, edges: DataFrame, id_col: str = "id", **columns) -> DataFrame:
     """(id, area_id): the smallest area that holds the point; of equals the lowest id."""
-    pairs = points_in_areas(points, edges, id_col, **columns)
-    sized = lookup_join(pairs, area_sizes(edges), "area_id", id_col)
+    pairs = points_in_areas(points, edges, id_col, carry=["area_size"], **columns)
     best = F.min(F.struct("area_size", "area_id"))["area_id"]
-    return sized.groupBy(id_col).agg(best.alias("area_id"))
+    return pairs.groupBy(id_col).agg(best.alias("area_id"))
 
 
 def link_poi_areas(pois: DataFrame, areas: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """Set `admin_area_id` to the most specific area around each place, a state before a
     country. A place in no area keeps the value it had."""
-    ranks = F.when(F.col("kind") == "state", 2).otherwise(1)
     linkable = areas.filter(F.col("kind").isin("country", "state")).select(
-        F.col("id").alias("area_id"), ranks.alias("rank"))
-    borders = lookup_join(edges, linkable, "area_id", ["x1", "y1", "x2", "y2"], "left_semi")
-    pairs = lookup_join(points_in_areas(pois, borders, id_col), linkable, "area_id", id_col)
-    pick = pairs.groupBy(id_col).agg(
-        F.min(F.struct(-F.col("rank"), F.col("area_id")))["area_id"].alias("_area"))
+        F.col("id").alias("area_id"), F.when(F.col("kind") == "state", 0).otherwise(1).alias("rank"))
+    borders = lookup_join(edges, linkable, "area_id", _COORDINATES)
+    pairs = points_in_areas(pois, borders, id_col, carry=["rank"])
+    pick = pairs.groupBy(id_col).agg(F.min(F.struct("rank", "area_id"))["area_id"].alias("_area"))
     linked = pois.join(pick, id_col, "left")
     old = F.col("admin_area_id") if "admin_area_id" in pois.columns else F.lit(None).cast("string")
     return linked.withColumn("admin_area_id", F.coalesce("_area", old)).drop("_area")
@@ -151,7 +165,7 @@ def _cells(edges: DataFrame, cell: float) -> DataFrame:
 
 def _ring_starts(edges: DataFrame) -> DataFrame:
     """One vertex per ring: enough to tell containment when no borders meet."""
-    ring = ["area_id"] + [c for c in ("polygon_id", "ring_id") if c in edges.columns]
+    ring = [c for c in ("area_id", "country_iso2", "polygon_id", "ring_id") if c in edges.columns]
     return edges.groupBy(F.struct(*ring).alias("ring")).agg(F.min(F.struct("x1", "y1")).alias("v")).select(
         "ring", F.col("v.x1").alias("longitude"), F.col("v.y1").alias("latitude"))
 
@@ -160,28 +174,26 @@ def areas_meet(left: DataFrame, right: DataFrame, edges: DataFrame, cell: float
     """(left_id, right_id) of areas in one country that share a point. `left` and `right` have
     (id, country_iso2). Either some border edges meet, found per grid cell, or a ring of one
     starts inside the other."""
-    def side(areas, prefix):
-        named = areas.select(F.col("id").alias("area_id"), F.col("country_iso2"))
-        return lookup_join(edges, named, "area_id", ["x1", "y1", "x2", "y2"])
-
-    l, r = side(left, "l"), side(right, "r")
-    lc = _cells(l, cell).select("country_iso2", "cx", "cy", F.col("area_id").alias("left_id"),
-                                *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")])
-    rc = _cells(r, cell).select("country_iso2", "cx", "cy", F.col("area_id").alias("right_id"),
-                                *[F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")])
-    sides = [[F.col(f"{s}{c}") for c in ("x1", "y1", "x2", "y2")] for s in "lr"]
-    touching = lookup_join(lc, rc, ["country_iso2", "cx", "cy"], ["left_id", "lx1", "ly1"]).filter(
-        segments_meet(*sides)).select("left_id", "right_id")
+    def borders(areas):
+        return lookup_join(edges, areas.select(F.col("id").alias("area_id"), "country_iso2"), "area_id", _COORDINATES)
+
+    def cells(side, prefix):
+        named = [F.col(c).alias(prefix + c) for c in ("area_id", *_COORDINATES)]
+        return _cells(side, cell).select("country_iso2", "cx", "cy", *named)
+
+    l, r = borders(left), borders(right)
+    segments = [[F.col(prefix + c) for c in _COORDINATES] for prefix in ("l_", "r_")]
+    touching = lookup_join(
+        cells(l, "l_"), cells(r, "r_"), ["country_iso2", "cx", "cy"], ["l_area_id", "l_x1", "l_y1"]
+    ).filter(segments_meet(*segments)).select(
+        F.col("l_area_id").alias("left_id"), F.col("r_area_id").alias("right_id"))
 
     def inside(inner, outer, names):
-        pairs = points_in_areas(_ring_starts(inner), outer.drop("country_iso2"), "ring")
-        return pairs.select(F.col("ring.area_id").alias(names[0]), F.col("area_id").alias(names[1]))
+        pairs = points_in_areas(_ring_starts(inner), outer, "ring", carry=["country_iso2"])
+        return pairs.filter("ring.country_iso2 = country_iso2").select(
+            F.col("ring.area_id").alias(names[0]), F.col("area_id").alias(names[1]))
 
     held = inside(l, r, ("left_id", "right_id")).unionByName(inside(r, l, ("right_id", "left_id")))
-    keys = left.select(F.col("id").alias("left_id"), F.col("country_iso2").alias("_lc"))
-    keys_r = right.select(F.col("id").alias("right_id"), F.col("country_iso2").alias("_rc"))
-    held = lookup_join(lookup_join(held, keys, "left_id", "right_id"), keys_r, "right_id", "left_id").filter(
-        "_lc = _rc").select("left_id", "right_id")
     return touching.unionByName(held).distinct()
 
 

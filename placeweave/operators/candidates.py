@@ -10,7 +10,7 @@ from placeweave.constants import ROLES, THEMES
 from placeweave.functions import geo, media, scoring
 from placeweave.operators.areas import smallest_area
 from placeweave.operators.poi import has_role, with_themes
-from placeweave.operators.skew import BROADCAST_ROWS, lookup_join, top_per_group
+from placeweave.operators.skew import BROADCAST_ROWS, lookup_join, small_values, top_per_group
 
 PAYLOAD = (
     "name", "categories", "open_hours", "review_count", "review_rating", "latitude", "longitude",
@@ -178,7 +178,7 @@ def score(pois: DataFrame, themes, seed_lon=None, seed_lat=None) -> DataFrame:
         "theme_match": scoring.theme_match("poi_roles", "themes", themes),
         "quality_score": scoring.quality_score("review_rating", "review_count"),
     })
-    return geo.with_distance(scored, "longitude", "latitude", seed_lon, seed_lat)
+    return scored.withColumn("distance_m", geo.distance("longitude", "latitude", seed_lon, seed_lat))
 
 
 def poi_candidates(pois: DataFrame, areas: DataFrame, edges: DataFrame, theme_map: DataFrame,
@@ -203,8 +203,12 @@ def poi_candidates(pois: DataFrame, areas: DataFrame, edges: DataFrame, theme_ma
         return empty.withColumn("distance_m", F.lit(None).cast("double")).select(*OUTPUT).filter(F.lit(False))
 
     cover = areas.filter((F.col("id") == dest["id"]) | (F.col("parent_id") == dest["id"]))
-    cover = cover.select(F.col("id").alias("area_id"), F.col("name").alias("area_name"))
-    borders = lookup_join(edges, cover.select("area_id"), "area_id", ["x1", "y1", "x2", "y2"], "left_semi")
+    ids = small_values(cover, "id")
+    if ids is not None:
+        borders = edges.filter(F.col("area_id").isin(*[i for (i,) in ids]))
+    else:
+        borders = lookup_join(edges, cover.select(F.col("id").alias("area_id")), "area_id",
+                              ["x1", "y1", "x2", "y2"], "left_semi")
 
     flags = [c for c in PAYLOAD[7:] if c in pois.columns]
     narrow = pois.select("id", "categories", "poi_roles", "review_rating", "review_count",
@@ -221,8 +225,8 @@ def poi_candidates(pois: DataFrame, areas: DataFrame, edges: DataFrame, theme_ma
     quotas = dict(zip(("attraction", "meal", "accommodation"),
                       (quota_attraction, quota_meal, quota_accommodation)))
     chosen = take_quota(cap_per_area(rows, per_area_cap), quotas)
-    chosen = lookup_join(chosen, cover, "area_id", "id", "left").select(
-        "id", "themes", "role_pick", "area_name", "distance_m")
+    chosen = chosen.join(cover.select(F.col("id").alias("area_id"), F.col("name").alias("area_name")), "area_id", "left")
+    chosen = chosen.select("id", "themes", "role_pick", "area_name", "distance_m")
     if sum(max(q, 0) for q in quotas.values()) <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     return wide.join(chosen, "id").select(*OUTPUT)

@@ -15,11 +15,6 @@ SALTS = 64
 _RANK_CUT = 1000
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Reads at most `rows` + 1 rows to find out."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def salt(spread_by, salts: int = SALTS) -> Column:
     cols = [spread_by] if isinstance(spread_by, str) else spread_by
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
@@ -33,12 +28,13 @@ def small_values(df: DataFrame, *columns: str, rows: int = LITERAL_ROWS):
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on, spread_by, how: str = "inner",
-                rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join rows to a lookup table. A lookup that fits is broadcast. Otherwise the rows of a
-    key are spread over salts, and the lookup is copied only to the salts its key occurs in,
-    so a hot key becomes many tasks and a rare key costs nothing extra."""
+                small_rows: int | None = None) -> DataFrame:
+    """Join rows to a lookup table. Its rows are counted, unless the caller knows a bound, and
+    only a table within the limit is broadcast. Otherwise the rows of a key are spread over
+    salts, and the lookup is copied only to the salts its key occurs in, so a hot key becomes
+    many tasks and a rare key costs nothing extra."""
     on = [on] if isinstance(on, str) else list(on)
-    if fits(small, rows):
+    if (small.count() if small_rows is None else small_rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("_salt", salt(spread_by))
     copies = salted.select(*on, "_salt").distinct().join(small, on)
