@@ -4,30 +4,40 @@ from pyspark.sql import functions as F
 
 from catalog.base import load
 from catalog.registry import query
+from catalog.places import areas, edges, role_map
 from placeweave import constants as K
 from placeweave.functions import media, text
-from placeweave.operators import classify, clean, dedup
+from placeweave.operators import classify, clean, dedup, poi
+from placeweave.plans.prepare import prepare_places as prepare
 
 EXEMPT = "'restoran al', 'swiss', 'universal studios', 'jade', 'yishun town', 'pasar malam taman', 'pasar malam jalan'"
 
 # Listings with what the brand rule looks at, for the oracles.
-_BRANDED = f"""
+def branded(source: str) -> str:
+    return f"""
 SELECT *, CASE WHEN contains(title, '@') THEN lower(trim(split_part(title, '@', 1))) ELSE lower(title) END AS base_name,
        CASE WHEN complete_address LIKE '%"country":"SG"%' THEN 'SG' WHEN complete_address LIKE '%"state":"Johor"%' THEN 'Johor'
             WHEN complete_address LIKE '%"country":"MY"%' THEN 'MY' END AS country,
        title ILIKE '%flagship%' AS is_flagship,
        coalesce(review_count > 100 AND review_rating >= 3.0, false) AS exceeds_threshold
-FROM listings
+FROM {source}
 """
-_GROUPED = f"""
+
+
+def grouped(source: str) -> str:
+    return f"""
 SELECT *, count(*) OVER (PARTITION BY base_name, country) AS n,
        row_number() OVER (PARTITION BY base_name, country, NOT exceeds_threshold AND NOT is_flagship
                           ORDER BY review_count DESC NULLS LAST, review_rating DESC NULLS LAST, link) AS rn,
        length(base_name) <= 10 OR base_name IN ({EXEMPT}) AS exempt
-FROM ({_BRANDED})
+FROM ({branded(source)})
 """
 
 
+_BRANDED, _GROUPED = branded("listings"), grouped("listings")
+_KEPT = "(country IS NULL OR n = 1 OR exempt OR exceeds_threshold OR is_flagship OR rn = 1)"
+
+
 def listings(spark, sf):
     return load(spark, sf, "SELECT link, title, complete_address, review_count, review_rating FROM listings")
 
@@ -43,7 +53,7 @@ def dedup_titles(spark, sf):
 
 
 @query(f"""SELECT link, title FROM ({_GROUPED})
-           WHERE country IS NULL OR n = 1 OR exempt OR exceeds_threshold OR is_flagship OR rn = 1""")
+           WHERE {_KEPT}""")
 def dedup_brand_country(spark, sf):
     return dedup.dedup_brand_country(listings(spark, sf)).select("link", "title")
 
@@ -64,14 +74,18 @@ def brand_marks(spark, sf):
         F.coalesce((F.col("review_count") > 100) & (F.col("review_rating") >= 3.0), F.lit(False)).alias("exceeds_threshold"))
 
 
-_HITS = f"""
+def hits(source: str) -> str:
+    return f"""
 SELECT b.link, b.title, b.country, p.pattern, b.is_flagship, lower(b.title) = lower(p.pattern) AS is_exact,
        row_number() OVER (PARTITION BY b.country, p.pattern
                           ORDER BY b.review_count DESC NULLS LAST, b.review_rating DESC NULLS LAST, b.link) AS rn
-FROM ({_BRANDED}) b JOIN patterns p ON contains(upper(b.title), upper(p.pattern)) AND b.country IS NOT NULL
+FROM ({branded(source)}) b JOIN patterns p ON contains(upper(b.title), upper(p.pattern)) AND b.country IS NOT NULL
 """
 
 
+_HITS = hits("listings")
+
+
 @query(f"SELECT link, title FROM listings WHERE link NOT IN (SELECT link FROM ({_HITS}) WHERE NOT is_flagship AND NOT is_exact AND rn > 1)")
 def prune_by_patterns(spark, sf):
     patterns = load(spark, sf, "SELECT pattern FROM patterns")
@@ -84,8 +98,8 @@ def pattern_removals_unranked(spark, sf):
     return dedup.pattern_removals(listings(spark, sf), patterns, keep_flagship=False, rank_by_reviews=False)
 
 
-@query(f"""SELECT count(*) AS original, count(*) FILTER (WHERE country IS NULL OR n = 1 OR exempt OR exceeds_threshold OR is_flagship OR rn = 1) AS kept,
-             count(*) FILTER (WHERE NOT coalesce(country IS NULL OR n = 1 OR exempt OR exceeds_threshold OR is_flagship OR rn = 1, false)) AS removed
+@query(f"""SELECT count(*) AS original, count(*) FILTER (WHERE {_KEPT}) AS kept,
+             count(*) FILTER (WHERE NOT {_KEPT}) AS removed
            FROM ({_GROUPED})""")
 def removal_summary(spark, sf):
     df = listings(spark, sf)
@@ -447,27 +461,81 @@ def distinct_line_batches(spark, sf):
 
 RAW = """
 SELECT l.link, CASE WHEN l.p_partkey % 7 = 0 THEN l.p_name || ' hall' ELSE l.title || ' ' || CAST(l.p_partkey AS STRING) END AS title,
-       l.complete_address, l.review_count, l.review_rating, 'dropped' AS cid, 'dropped' AS emails,
+       l.complete_address, l.review_count, l.review_rating, 'dropped' AS cid, 'dropped' AS emails, l.p_brand AS descriptions,
        CASE WHEN l.p_partkey % 5 = 0 THEN 'tourist attraction,' ELSE '' END || lower(l.p_type) || ', ' || replace(l.p_name, ' ', ',') || CASE WHEN l.p_size % 3 = 0 THEN ',vegan restaurant' ELSE '' END AS categories,
        '6' || lpad(CAST(l.p_partkey AS STRING), 7, '0') AS phone, CASE WHEN l.p_size % 2 = 0 THEN '$$' ELSE '70-90' END AS price_range,
        '[{"title":"All","image":"https://img.example/' || CAST(l.p_partkey AS STRING) || '=w9"}]' AS images,
        '[{"name":"Offerings","options":[{"name":"Halal food","enabled":' || CASE WHEN l.p_size % 4 = 0 THEN 'true' ELSE 'false' END || '}]},{"name":"Crowd","options":[]}]' AS about,
+       CASE WHEN l.p_partkey % 97 = 0 THEN NULL ELSE ((l.p_partkey * 7919) % 10500) / 1000.0E0 END AS latitude,
+       CASE WHEN l.p_partkey % 97 = 0 THEN NULL ELSE 95.0E0 + ((l.p_partkey * 104729) % 26000) / 1000.0E0 END AS longitude,
        l.p_partkey, l.p_type, l.p_name, l.p_size
 FROM listings l
 """
 
 
-@query(f"""SELECT link, title AS name, array_to_string(CASE WHEN p_partkey % 5 = 0 THEN list_append(base, 'tourist attraction') ELSE kept END, ',') AS categories,
-             '+656' || lpad(CAST(p_partkey AS STRING), 7, '0') AS phone, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS INT) AS price_level,
-             'https://img.example/' || p_partkey AS images, p_size % 4 = 0 AS halal_food, p_size % 3 = 0 AS vegan_options
-           FROM (SELECT *, list_filter(base, lambda x: x NOT IN ('economy', 'red')) AS kept FROM (
-             SELECT *, row_number() OVER (PARTITION BY title ORDER BY link) AS rn,
-                    list_concat([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)], CASE WHEN p_size % 3 = 0 THEN ['vegan restaurant'] ELSE [] END) AS base
-             FROM ({RAW}) WHERE complete_address LIKE '%"country":%' AND review_count >= 50 AND review_rating >= 2.5))
-           WHERE rn = 1 AND (p_partkey % 5 = 0 OR p_type <> 'ECONOMY')""")
+def cleaned(source: str) -> str:
+    return f"""
+SELECT link, title AS name, CASE WHEN p_partkey % 5 = 0 THEN list_append(base, 'tourist attraction') ELSE kept END AS categories,
+  '+656' || lpad(CAST(p_partkey AS STRING), 7, '0') AS phone, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS INT) AS price_level,
+  'https://img.example/' || p_partkey AS images, p_size % 4 = 0 AS halal_food, p_size % 3 = 0 AS vegan_options, latitude, longitude, review_rating
+FROM (SELECT *, list_filter(base, lambda x: x NOT IN ('economy', 'red')) AS kept FROM (
+  SELECT *, row_number() OVER (PARTITION BY title ORDER BY link) AS name_rn,
+         list_concat([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)], CASE WHEN p_size % 3 = 0 THEN ['vegan restaurant'] ELSE [] END) AS base
+  FROM ({source}) WHERE complete_address LIKE '%"country":%' AND review_count >= 50 AND review_rating >= 2.5))
+WHERE name_rn = 1 AND (p_partkey % 5 = 0 OR p_type <> 'ECONOMY')
+"""
+
+
+EXCLUDED = "SELECT DISTINCT p_type AS token FROM part WHERE p_type = 'ECONOMY' UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_name LIKE 'red %'"
+
+
+def _raw(spark, sf):
+    return load(spark, sf, RAW).drop("p_partkey", "p_type", "p_name", "p_size")
+
+
+@query(f"SELECT link, name, array_to_string(categories, ',') AS categories, phone, price_level, images, halal_food, vegan_options FROM ({cleaned(RAW)})")
 def clean_listings(spark, sf):
-    raw = load(spark, sf, RAW).drop("p_partkey", "p_type", "p_name", "p_size")
-    excluded = load(spark, sf, "SELECT DISTINCT p_type AS token FROM part WHERE p_type = 'ECONOMY' UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_name LIKE 'red %'")
-    done = clean.clean_listings(raw, excluded)
+    done = clean.clean_listings(_raw(spark, sf), load(spark, sf, EXCLUDED))
     return done.select("link", "name", F.array_join("categories", ",").alias("categories"), "phone", "price_level",
                        F.array_join("images", ",").alias("images"), "halal_food", "vegan_options")
+
+
+LOADED = """
+SELECT CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE 'https://maps.example/' || CAST(p_partkey AS STRING) END AS link, p_name AS name,
+       '["' || lower(p_type) || '", "' || replace(p_name, ' ', '", "') || '"]' AS categories, CAST(p_size AS STRING) AS review_count,
+       CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE CAST(p_partkey % 41 / 10.0E0 AS STRING) END AS review_rating,
+       CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size % 2 = 0 END AS halal_food, 1.5E0 AS latitude
+FROM part
+"""
+
+
+@query(f"""SELECT 'https://maps.example/' || p_partkey AS google_map_link, p_name AS name, p_size AS review_count,
+             CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 41) / 10.0E0 END AS review_rating, p_partkey % 3 <> 0 AND p_size % 2 = 0 AS halal_food,
+             false AS vegan_options, true AS no_point, sha256('https://maps.example/' || p_partkey) AS id,
+             CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'accommodation' WHEN 'plate' THEN 'meal' ELSE CASE WHEN p_type = 'PROMO' THEN 'meal,attraction' ELSE 'attraction' END END AS roles
+           FROM part WHERE p_partkey % 41 <> 0""")
+def derive_poi(spark, sf):
+    done = poi.derive_poi(load(spark, sf, LOADED), role_map(spark, sf))
+    return done.select("google_map_link", "name", "review_count", F.col("review_rating").cast("double").alias("review_rating"),
+                       "halal_food", "vegan_options", F.col("point").isNull().alias("no_point"), "id",
+                       F.array_join("poi_roles", ",").alias("roles"))
+
+
+_TITLED = f"(SELECT * EXCLUDE (title_rn) FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY review_rating DESC NULLS LAST, link) AS title_rn FROM ({RAW})) WHERE title_rn = 1)"
+_BRAND_KEPT = f"(SELECT * EXCLUDE (base_name, country, is_flagship, exceeds_threshold, n, rn, exempt) FROM ({grouped(_TITLED)}) WHERE {_KEPT})"
+_PRUNED = f"SELECT * FROM {_BRAND_KEPT} WHERE link NOT IN (SELECT link FROM ({hits(_BRAND_KEPT)}) WHERE NOT is_flagship AND NOT is_exact AND rn > 1)"
+
+
+@query(f"""SELECT c.link AS google_map_link, c.name, array_to_string(c.categories, ',') AS categories, c.phone, c.halal_food,
+             CASE WHEN g.name IS NULL THEN CAST(c.price_level AS DOUBLE) WHEN g.price = '$$$' THEN 3.0E0 WHEN g.price IS NOT NULL THEN 4.0E0 END AS price_level,
+             CASE WHEN g.images IS NULL THEN '' ELSE replace(g.images, ' , ', ',') || ',' END || c.images AS images,
+             (SELECT coalesce(min(CASE WHEN b.kind = 'state' THEN b.id END), min(b.id)) FROM boxes b
+              WHERE c.longitude BETWEEN b.x0 AND b.x1 AND c.latitude BETWEEN b.y0 AND b.y1) AS admin_area_id
+           FROM ({cleaned(_PRUNED)}) c
+           LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY name) AS rn FROM guide WHERE phone IS NOT NULL) g
+             ON g.phone = c.phone AND g.rn = 1""")
+def prepare_places(spark, sf):
+    done = prepare([_raw(spark, sf)], load(spark, sf, "SELECT pattern FROM patterns"), load(spark, sf, EXCLUDED), _guide(spark, sf),
+                   role_map(spark, sf), areas(spark, sf), edges(spark, sf), persist=False)
+    return done.select("google_map_link", "name", F.array_join("categories", ",").alias("categories"), "phone", "halal_food",
+                       F.col("price_level").cast("double").alias("price_level"), F.array_join("images", ",").alias("images"), "admin_area_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import text
-from placeweave.operators.skew import first_per_group, with_totals
+from placeweave.operators.skew import first_per_group, lookup_join, small_values, with_totals
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -108,12 +108,10 @@ def duplicate_counts(df: DataFrame, *columns: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(c) for c in columns])
 
 
-def _grams(c):
-    """Distinct pieces of one to three characters."""
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))),
-        lambda i: F.array(*[F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]),
-    )
+def _pieces(c, lengths):
+    """Distinct pieces of a text that have one of these lengths."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    pieces = F.transform(at, lambda i: F.array(*[F.substring(c, i, F.lit(n)) for n in lengths]))
     return F.array_distinct(F.flatten(pieces))
 
 
@@ -126,14 +124,14 @@ def pattern_matches(df: DataFrame, patterns: DataFrame, id_col: str = "link") ->
         .withColumn("needle", F.upper("pattern"))
         .withColumn("piece", F.substring("needle", 1, 3))
     )
+    lengths = [n for (n,) in small_values(needles.select(F.length("piece").alias("n")), "n")]
     titles = df.select(
         id_col, "title", "review_count", "review_rating",
         text.country_tag("complete_address").alias("country"), F.upper("title").alias("haystack"),
     ).filter("country IS NOT NULL AND title IS NOT NULL")
-    hits = (
-        titles.withColumn("piece", F.explode(_grams(F.col("haystack"))))
-        .join(needles, "piece").filter(F.col("haystack").contains(F.col("needle")))
-    )
+    pieces = _pieces(F.col("haystack"), lengths) if lengths else F.array().cast("array<string>")
+    hits = lookup_join(titles.withColumn("piece", F.explode(pieces)), needles, "piece", id_col).filter(
+        F.col("haystack").contains(F.col("needle")))
     return hits.select(
         id_col, "title", "country", "pattern", "review_count", "review_rating",
         text.is_flagship("title").alias("is_flagship"),

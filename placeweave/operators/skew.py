@@ -31,8 +31,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on, spread_by, how: str = "inn
                 small_rows: int | None = None) -> DataFrame:
     """Join rows to a lookup table. Its rows are counted, unless the caller knows a bound, and
     only a table within the limit is broadcast. Otherwise the rows of a key are spread over
-    salts, and the lookup is copied only to the salts its key occurs in, so a hot key becomes
-    many tasks and a rare key costs nothing extra."""
+    salts, and the lookup is copied only to the salts its key occurs in: a hot key becomes many
+    tasks, and a rare key is not copied."""
     on = [on] if isinstance(on, str) else list(on)
     if (small.count() if small_rows is None else small_rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
