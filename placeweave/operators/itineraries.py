@@ -26,10 +26,6 @@ OPS = ("create", "update", "upsert", "delete", "update_meta", "update_plan", "cl
 _OWNED_OPS = ("update_meta", "update_plan", "soft_delete")
 
 
-def _default(field: str) -> Column:
-    return F.lit("" if field == "title" else "[]" if field in LISTS else "{}")
-
-
 def _page(rows: DataFrame, limit: int, offset: int, columns) -> DataFrame:
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     page = rows.orderBy(F.col("updated_at").desc(), "id").offset(offset).limit(limit)
@@ -109,7 +105,7 @@ def _with_lives(requests: DataFrame, chunks: int) -> DataFrame:
 
 
 def _with_state(requests: DataFrame, snapshot: DataFrame, chunks: int) -> DataFrame:
-    """Add what each request meets: `exists` and `owner`, and `born` (seq of its life's birth)."""
+    """Add what each request meets: `present` and `owner`, and `born` (seq of its life's birth)."""
     had = snapshot.select("id", F.col("user_id").alias("_owner0"), F.lit(True).alias("_had"))
     lives = lookup_join(_with_lives(requests, chunks), had, "id", "seq", "left")
     old = (F.col("life") == 0) & F.coalesce("_had", F.lit(False))
@@ -123,23 +119,23 @@ def _with_state(requests: DataFrame, snapshot: DataFrame, chunks: int) -> DataFr
         "_first_owner": F.when(F.col("_old"), F.col("_owner0")).otherwise(F.col("birth.user")),
     })
     alive = F.col("_old") | (F.col("born") < F.col("seq"))
-    lives = lives.withColumn("exists", F.coalesce(alive, F.lit(False)))
-    claim = F.min(F.when((F.col("op") == "claim") & F.col("user_id").isNotNull() & F.col("exists"),
+    lives = lives.withColumn("present", F.coalesce(alive, F.lit(False)))
+    claim = F.min(F.when((F.col("op") == "claim") & F.col("user_id").isNotNull() & F.col("present"),
                          F.struct(F.col("seq").alias("seq"), F.col("user_id").alias("user"))))
     lives = with_totals(lives, ["id", "life"], "seq", {"claim": claim}, {"claim": F.min("claim")})
     claimed = F.when(F.col("claim.seq") < F.col("seq"), F.col("claim.user"))
-    owner = F.when(F.col("exists"), F.coalesce("_first_owner", claimed))
+    owner = F.when(F.col("present"), F.coalesce("_first_owner", claimed))
     return lives.withColumn("owner", owner).drop("_owner0", "_had", "birth", "claim", "_first_owner")
 
 
 def _with_outcome(met: DataFrame, guest_policy: str) -> DataFrame:
-    op, exists = F.col("op"), F.col("exists")
+    op, present = F.col("op"), F.col("present")
     code = (
         F.when(~op.isin(*OPS) | op.isNull(), "unknown_op")
-        .when(op == "create", F.when(exists, "duplicate_id").otherwise("ok"))
+        .when(op == "create", F.when(present, "duplicate_id").otherwise("ok"))
         .when(op == "upsert", "ok")
         .when((op == "claim") & F.col("user_id").isNull(), "invalid_user")
-        .when(~exists, "not_found")
+        .when(~present, "not_found")
         .when(op == "claim",
               F.when(F.col("owner").isNull(), "ok")
               .when(F.col("owner") == F.col("user_id"), "already_owned").otherwise("forbidden"))
@@ -150,27 +146,34 @@ def _with_outcome(met: DataFrame, guest_policy: str) -> DataFrame:
         "success", F.col("error_code").isin("ok", "already_owned"))
 
 
-def _written(field: str, preserve_missing: bool) -> tuple[Column, Column]:
-    """(is this field written, the value) for a request that took effect."""
-    op, given = F.col("op"), F.col(field)
-    made = (op == "create") | ((op == "upsert") & ~F.col("exists"))
+def _default(field: str) -> str:
+    return "''" if field == "title" else "'[]'" if field in LISTS else "'{}'"
+
+
+def _last_write(field: str, preserve_missing: bool) -> Column:
+    """The last value written to a field, as {seq, v}, over requests that took effect. What an
+    operation writes, in order: a new plan gets the given value or the default; an upsert of
+    an existing plan resets what is missing, or leaves it; a plain update leaves it."""
+    made = "(op = 'create' OR (op = 'upsert' AND NOT present))"
     if field == "status":
-        value = F.when(made, "active").when(op == "soft_delete", "deleted").otherwise(given)
-        return made | (op == "soft_delete") | ((op == "update") & given.isNotNull()), value
-    full = F.coalesce(given, _default(field))
-    value = F.when((op == "create") & F.lit(field == "title"), given).when(made, full)
-    writes = made
-    if preserve_missing:
-        writes = writes | ((op == "upsert") & given.isNotNull())
+        writes = f"{made} OR op = 'soft_delete' OR (op = 'update' AND status IS NOT NULL)"
+        value = f"CASE WHEN {made} THEN 'active' WHEN op = 'soft_delete' THEN 'deleted' ELSE status END"
     else:
-        value = value.when(op == "upsert", full)
-        writes = writes | (op == "upsert")
-    writes = writes | ((op == "update") & given.isNotNull())
-    if field in META_FIELDS:
-        writes = writes | ((op == "update_meta") & given.isNotNull())
-    if field == "plan":
-        writes = writes | (op == "update_plan")
-    return writes, value.otherwise(given)
+        full = f"coalesce({field}, {_default(field)})"
+        partial = ["update"] + (["update_meta"] if field in META_FIELDS else []) + (["upsert"] if preserve_missing else [])
+        always = ["update_plan"] if field == "plan" else []
+        always += [] if preserve_missing else ["upsert"]
+        writes = f"{made} OR ({field} IS NOT NULL AND op IN ({_quoted(partial)}))"
+        if always:
+            writes += f" OR op IN ({_quoted(always)})"
+        untitled = "op = 'create'" if field == "title" else "false"
+        resets = made if preserve_missing else f"({made} OR op = 'upsert')"
+        value = f"CASE WHEN {resets} AND NOT ({untitled}) THEN {full} ELSE {field} END"
+    return F.expr(f"max(IF({writes}, named_struct('seq', seq, 'v', {value}), NULL))")
+
+
+def _quoted(ops) -> str:
+    return ", ".join(f"'{op}'" for op in ops)
 
 
 def assign_ids(requests: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def apply_itinerary_changes(snapshot: DataFrame, requests: DataFrame, as_of=None
     requests = assign_ids(requests)
     # Without an id nothing can be found; such requests would all meet in one group.
     keyless = requests.filter("id IS NULL").withColumns({
-        "exists": F.lit(False), "owner": F.lit(None).cast(snapshot.schema["user_id"].dataType)})
+        "present": F.lit(False), "owner": F.lit(None).cast(snapshot.schema["user_id"].dataType)})
     keyless_out = _with_outcome(keyless, guest_policy).withColumns({
         "error_code": F.when(F.col("op").isin("create", "upsert"), "id_is_null").otherwise(F.col("error_code")),
         "success": F.lit(False)})
@@ -212,32 +215,24 @@ def apply_itinerary_changes(snapshot: DataFrame, requests: DataFrame, as_of=None
     # Only what counts for the final state fetches its fields again, by its own number.
     fields = requests.select("seq", "ts", *FIELDS, "status")
     current = met.filter(effective & (F.col("life") == F.col("last_life"))).join(fields, "seq")
-    made = ~F.col("exists") & F.col("op").isin("create", "upsert")
+    made = "NOT present AND op IN ('create', 'upsert')"
     aggregates = [
-        F.max(F.struct("seq", "ts"))["ts"].alias("_ts"),
-        F.max(F.when(made, F.col("seq"))).alias("_born"),
-        F.max(F.when(made, F.struct("seq", "ts")))["ts"].alias("_born_ts"),
-        # The owner named at birth, else the one who claimed: at most one claim succeeds.
-        F.max(F.when(made, F.struct(F.col("seq"), F.col("user_id").alias("user"))))["user"].alias("_birth_user"),
-        F.max(F.when(F.col("op") == "claim", F.col("user_id"))).alias("_claim_user"),
+        F.expr("max(named_struct('seq', seq, 'ts', ts)).ts").alias("_ts"),
+        F.expr(f"max(IF({made}, named_struct('seq', seq, 'ts', ts, 'user', user_id), NULL))").alias("_birth"),
+        # The owner is named at birth, or else claimed; at most one claim of a life succeeds.
+        F.expr("max(IF(op = 'claim', user_id, NULL))").alias("_claim_user"),
+        *[_last_write(f, preserve_missing).alias(f"_w_{f}") for f in (*FIELDS, "status")],
     ]
-    for field in (*FIELDS, "status"):
-        writes, value = _written(field, preserve_missing)
-        aggregates.append(F.max(F.when(
-            writes, F.struct(F.col("seq"), value.alias("v")))).alias(f"_w_{field}"))
     changes = current.groupBy("id").agg(*aggregates)
 
     ended = control.filter("op = 'delete'").select("id").distinct()
     kept = snapshot.select(*COLUMNS).join(ended, "id", "left_anti").withColumn("_had", F.lit(True))
     both = kept.join(changes, "id", "full")
-    old = F.coalesce("_had", F.lit(False))
-    final = both.filter(old | F.col("_born").isNotNull())
+    final = both.withColumn("_had", F.coalesce("_had", F.lit(False))).filter("_had OR _birth IS NOT NULL")
     out = {
-        "created_at": F.when(old, F.col("created_at")).otherwise(F.col("_born_ts")),
-        "updated_at": F.coalesce(F.col("_ts"), F.col("updated_at")),
-        "user_id": F.coalesce(F.when(old, F.col("user_id")).otherwise(F.col("_birth_user")), F.col("_claim_user")),
+        "created_at": "IF(_had, created_at, _birth.ts)",
+        "updated_at": "coalesce(_ts, updated_at)",
+        "user_id": "coalesce(IF(_had, user_id, _birth.user), _claim_user)",
+        **{f: f"IF(_w_{f} IS NOT NULL, _w_{f}.v, {f})" for f in (*FIELDS, "status")},
     }
-    for field in (*FIELDS, "status"):
-        write = F.col(f"_w_{field}")
-        out[field] = F.when(write.isNotNull(), write["v"]).otherwise(F.when(old, F.col(field)))
-    return final.select("id", *[out[c].alias(c) for c in COLUMNS if c != "id"]), outcomes
+    return final.selectExpr("id", *[f"{out[c]} AS {c}" for c in COLUMNS if c != "id"]), outcomes
