@@ -273,15 +273,13 @@ def trim_about(spark, sf):
     return trimmed.select("link", F.coalesce(names, "about").alias("sections"))
 
 
-@query(f"""SELECT section, array_to_string(list_sort(list(DISTINCT option_name)), ',') AS options FROM (
-             SELECT 'Accessibility' AS section, 'Wheelchair-accessible entrance' AS option_name FROM part WHERE {_ABOUT_OK} AND p_size % 2 = 0
-             UNION ALL SELECT 'Accessibility', 'Wheelchair-accessible toilet' FROM part WHERE {_ABOUT_OK} AND p_size % 3 = 0
-             UNION ALL SELECT 'Pets', 'DOGS allowed outside' FROM part WHERE {_ABOUT_OK} AND p_size % 5 = 0
-             UNION ALL SELECT 'Children', 'Good for kids birthday' FROM part WHERE {_ABOUT_OK} AND p_size % 7 = 0
-             UNION ALL SELECT 'Children', p_type || ' menu' FROM part WHERE {_ABOUT_OK}) GROUP BY section""")
+@query(f"""SELECT 'Accessibility' AS section, 'Wheelchair-accessible entrance' AS option_name FROM part WHERE {_ABOUT_OK} AND p_size % 2 = 0
+           UNION SELECT 'Accessibility', 'Wheelchair-accessible toilet' FROM part WHERE {_ABOUT_OK} AND p_size % 3 = 0
+           UNION SELECT 'Pets', 'DOGS allowed outside' FROM part WHERE {_ABOUT_OK} AND p_size % 5 = 0
+           UNION SELECT 'Children', 'Good for kids birthday' FROM part WHERE {_ABOUT_OK} AND p_size % 7 = 0
+           UNION SELECT 'Children', p_type || ' menu' FROM part WHERE {_ABOUT_OK}""")
 def about_catalogue(spark, sf):
-    grouped = clean.grouped_options(clean.about_catalogue(load(spark, sf, ABOUT)))
-    return grouped.select("section", F.array_join("options", ",").alias("options"))
+    return clean.about_catalogue(load(spark, sf, ABOUT))
 
 
 IMAGES = """
@@ -429,13 +427,6 @@ def build_theme_lists(spark, sf):
     return _theme_lists(spark, sf)
 
 
-@query(f"SELECT theme, count(*) AS labels, md5(string_agg(label || '=' || slug, ';' ORDER BY lower(label), label)) AS items_md5 FROM ({_THEMED}) GROUP BY theme")
-def theme_list_index(spark, sf):
-    index = classify.theme_list_index(_theme_lists(spark, sf))
-    items = F.array_join(F.transform("items", lambda i: F.concat(i["label"], F.lit("="), i["slug"])), ";")
-    return index.select("theme", F.size("items").cast("bigint").alias("labels"), F.md5(items).alias("items_md5"))
-
-
 REPLIES = """
 SELECT o_orderkey AS seq, 'order ' || CAST(o_orderkey AS STRING) AS asked,
   CASE o_orderkey % 5 WHEN 0 THEN 'Sure! ```json {"results":[{"label":"order ' || CAST(o_orderkey AS STRING) || '","buckets":["meal","nonsense"]}]} ``` done {x}'

@@ -91,13 +91,6 @@ def build_theme_lists(bucket_rows: DataFrame, whitelist: DataFrame, blacklist: D
         "slug", text.slug("label"))
 
 
-def theme_list_index(theme_lists: DataFrame) -> DataFrame:
-    """One row per theme with its labels and slugs, sorted without regard to case."""
-    entry = F.struct(F.lower("label").alias("k"), "label", "slug")
-    return theme_lists.groupBy("theme").agg(F.sort_array(F.collect_set(entry)).alias("e")).select(
-        "theme", F.transform("e", lambda e: F.struct(e["label"].alias("label"), e["slug"].alias("slug"))).alias("items"))
-
-
 def manage_groups(categories: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups (bucket, token) cut to the known categories, and the categories in no group."""
     known = categories.select("category").distinct()

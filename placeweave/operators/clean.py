@@ -135,14 +135,9 @@ def category_catalogue(pois: DataFrame, exclude_keywords=()) -> DataFrame:
 
 
 def about_catalogue(pois: DataFrame) -> DataFrame:
-    """(section, option) pairs that occur enabled; `grouped_options` lists them per section."""
+    """Distinct (section, option) pairs that occur enabled."""
     sections = pois.select(F.explode(media.about_sections("about")).alias("s")).select("s.*")
     options = sections.filter("name IS NOT NULL AND name <> ''").select(
         F.col("name").alias("section"), F.explode("options").alias("o"))
     return options.filter("o.enabled").select(
         "section", text.strip(F.coalesce("o.name", F.lit(""))).alias("option_name")).distinct()
-
-
-def grouped_options(pairs: DataFrame) -> DataFrame:
-    """One row per section with its options sorted; pairs are distinct, so lists are short."""
-    return pairs.groupBy("section").agg(F.sort_array(F.collect_set("option_name")).alias("options"))

@@ -65,8 +65,12 @@ def _brand_marks(df: DataFrame, id_col: str) -> DataFrame:
 
 def dedup_brand_country(df: DataFrame, id_col: str = "link") -> DataFrame:
     """Per brand and country: all listings above the threshold, all flagships, and the best
-    of the others. Short and exempt brand names, and unknown countries, are left alone."""
-    return _brand_marks(df, id_col).filter(~F.col("contested") | F.col("is_best")).select(*df.columns)
+    of the others. Short and exempt brand names, and unknown countries, are left alone. Only
+    the contested listings are shuffled, and each task sends its best per brand at most."""
+    marked = _with_brand(df)
+    order = [F.col("review_count").desc_nulls_last(), F.col("review_rating").desc_nulls_last(), F.col(id_col)]
+    best = first_per_group(marked.filter(_contested()), ["base_name", "country"], order)
+    return marked.filter(~_contested()).unionByName(best).select(*df.columns)
 
 
 def brand_country_log(df: DataFrame, id_col: str = "link") -> DataFrame:

@@ -72,8 +72,8 @@ def read_itineraries(requests: DataFrame, itineraries: DataFrame, guest_policy:
     plans = itineraries.select(F.col("id").alias("_id"), F.lit(True).alias("_found"),
                                *[F.col(c) for c in COLUMNS])
     # A missing id finds nothing; its rows get keys of their own.
-    keyed = asked.withColumn("_salt", F.when(F.col("_id").isNull(), F.xxhash64(request_id)).otherwise(F.lit(0)))
-    met = lookup_join(keyed, plans.withColumn("_salt", F.lit(0).cast("bigint")), ["_id", "_salt"], request_id, "left")
+    keyed = asked.withColumn("_alone", F.when(F.col("_id").isNull(), F.xxhash64(request_id)).otherwise(F.lit(0)))
+    met = lookup_join(keyed, plans.withColumn("_alone", F.lit(0).cast("bigint")), ["_id", "_alone"], request_id, "left")
     status = (
         F.when(F.col("_found").isNull(), "not_found")
         .when(is_forbidden("user_id", "_user", guest_policy), "forbidden").otherwise("ok")

@@ -36,20 +36,20 @@ def lookup_join(big: DataFrame, small: DataFrame, on, spread_by, how: str = "inn
     on = [on] if isinstance(on, str) else list(on)
     if (small.count() if small_rows is None else small_rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", salt(spread_by))
-    copies = salted.select(*on, "_salt").distinct().join(small, on)
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salted = big.withColumn("__salt", salt(spread_by))
+    copies = salted.select(*on, "__salt").distinct().join(small, on)
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
 def with_totals(df: DataFrame, keys, spread_by, partial: dict, merge: dict) -> DataFrame:
     """Attach per-key aggregates to every row without bringing a key's rows together.
     `partial` aggregates within (key, salt); `merge` combines those under the same names."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    salted = df.withColumn("_salt", salt(spread_by))
-    parts = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+    salted = df.withColumn("__salt", salt(spread_by))
+    parts = salted.groupBy(*keys, "__salt").agg(*[c.alias(n) for n, c in partial.items()])
     totals = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
-    lookup = parts.select(*keys, "_salt").join(totals, keys)
-    return salted.join(lookup, [*keys, "_salt"], "left").drop("_salt")
+    lookup = parts.select(*keys, "__salt").join(totals, keys)
+    return salted.join(lookup, [*keys, "__salt"], "left").drop("__salt")
 
 
 def top_per_group(df: DataFrame, keys, order, k: int, spread_by, out: str | None = None) -> DataFrame:
@@ -58,9 +58,9 @@ def top_per_group(df: DataFrame, keys, order, k: int, spread_by, out: str | None
     keys = [keys] if isinstance(keys, str) else list(keys)
     name = out or "_rank"
     if k > _RANK_CUT:
-        parts = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", salt(spread_by)).withColumn("_part", F.row_number().over(parts))
-        df = df.filter(F.col("_part") <= k).drop("_part", "_salt")
+        parts = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        df = df.withColumn("__salt", salt(spread_by)).withColumn("_part", F.row_number().over(parts))
+        df = df.filter(F.col("_part") <= k).drop("_part", "__salt")
     whole = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= k)
     return ranked if out else ranked.drop(name)

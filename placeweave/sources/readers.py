@@ -48,14 +48,16 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
 
 def read_assignments(spark: SparkSession, path) -> DataFrame:
     """A log of {label, buckets} lines with `seq`, the position in the log. Lines that cannot
-    be read are skipped; missing buckets are an empty list. Positions come from the files'
-    names and the order in them, so that later lines win."""
+    be read are skipped; missing buckets are an empty list. Later files come after earlier
+    ones, and in a file later lines after earlier ones, so that the last entry wins."""
+    place = {"written": "file_modification_time", "file": "file_path", "block": "file_block_start"}
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
-    read = lines.select("file", "line_no", F.from_json("value", schemas.ASSIGNMENT).alias("a"))
+        *[F.col(f"_metadata.{c}").alias(n) for n, c in place.items()],
+        F.monotonically_increasing_id().alias("line_no"), "value")
+    read = lines.select(*place, "line_no", F.from_json("value", schemas.ASSIGNMENT).alias("a"))
     good = read.filter("a.label IS NOT NULL")
     return good.select(
-        F.struct("file", "line_no").alias("seq"), F.col("a.label").alias("label"),
+        F.struct(*place, "line_no").alias("seq"), F.col("a.label").alias("label"),
         F.coalesce("a.buckets", F.array().cast("array<string>")).alias("buckets"))
 
 

@@ -23,6 +23,20 @@ def write_tokens(df: DataFrame, path: str, column: str = "token", ignore_case: b
     tokens.orderBy(*order).write.text(path)
 
 
+def write_groups(df: DataFrame, path: str, group: str, item: str) -> None:
+    """One folder per group with its distinct items in order, letter case aside: a range
+    partitioning spreads a large group over files whose names are in order."""
+    rows = df.select(group, F.col(item).cast("string").alias("value")).distinct()
+    order = [F.col(group), F.lower("value"), F.col("value")]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(group).text(path)
+
+
+def write_index(df: DataFrame, path: str, group: str, item: str) -> None:
+    """The same as JSON lines, with the other columns beside the item."""
+    order = [F.col(group), F.lower(item), F.col(item)]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(group).json(path)
+
+
 def write_batches(batches: DataFrame, path: str, lines_per_file: int = 10) -> None:
     """One folder per batch of (batch_no, line)."""
     batches.repartition("batch_no").write.partitionBy("batch_no").options(maxRecordsPerFile=lines_per_file).text(path)

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,13 +94,26 @@ def test_token_files(spark, tmp_path):
     assert "".join(open(os.path.join(out, f)).read() for f in parts).split() == ["A", "a", "b"]
 
 
+def test_groups_are_written_in_order(spark, tmp_path):
+    rows = [("g", "b"), ("g", "A"), ("g", "a"), ("g", "b"), ("h", "x")]
+    df = spark.createDataFrame(rows, "theme string, label string")
+    writers.write_groups(df, str(tmp_path / "t"), "theme", "label")
+    writers.write_index(df.distinct().withColumn("slug", F.lower("label")), str(tmp_path / "j"), "theme", "label")
+    folder = tmp_path / "t" / "theme=g"
+    assert "".join((folder / f).read_text() for f in sorted(os.listdir(folder)) if f.startswith("part")).split() == ["A", "a", "b"]
+    read = spark.read.json(str(tmp_path / "j"))
+    assert {tuple(r) for r in read.select("theme", "label", "slug").collect()} == {("g", "b", "b"), ("g", "A", "a"), ("g", "a", "a"), ("h", "x", "x")}
+
+
 def test_log_and_batches(spark, tmp_path):
     log = str(tmp_path / "log")
     first = spark.createDataFrame([("a", ["meal"])], "label string, buckets array<string>").coalesce(1)
     writers.append_assignments(first, log)
-    writers.append_assignments(spark.createDataFrame([("b", [])], "label string, buckets array<string>").coalesce(1), log)
-    got = {r["label"]: r["buckets"] for r in readers.read_assignments(spark, log).collect()}
-    assert got == {"a": ["meal"], "b": []}
+    time.sleep(0.05)
+    writers.append_assignments(spark.createDataFrame([("b", []), ("a", ["exclude"])], "label string, buckets array<string>").coalesce(1), log)
+    log_rows = readers.read_assignments(spark, log)
+    assert log_rows.count() == 3
+    assert {r["label"]: r["buckets"] for r in classify.last_assignments(log_rows).collect()} == {"a": ["exclude"], "b": []}
     lines = '{"label":"x","buckets":["meal"]}\nnot json\n{"label":"x"}\n{"buckets":["meal"]}\n{"label":"y","buckets":["exclude"]}\n'
     (tmp_path / "one.jsonl").write_text(lines)
     read = readers.read_assignments(spark, str(tmp_path / "one.jsonl"))
