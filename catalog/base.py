@@ -83,10 +83,10 @@ UNION ALL SELECT id, {ring}, x0, y1, x0, y0 FROM {source}
 CTE["edges"] = _rectangle("boxes")
 
 # One district per supplier: a diamond of half-width 1 with a square hole of half-width 0.2.
-# The odd offset keeps every place off the slanted borders.
+# The odd offsets keep every place off the slanted borders.
 CTE["districts"] = """
 SELECT s_suppkey AS id, s_name AS name, s_nationkey,
-       96.00037E0 + (s_suppkey * 37) % 240 / 10.0E0 AS cx, 1.00037E0 + (s_suppkey * 53) % 90 / 10.0E0 AS cy
+       96.00037E0 + (s_suppkey * 37) % 240 / 10.0E0 AS cx, 1.00061E0 + (s_suppkey * 53) % 90 / 10.0E0 AS cy
 FROM supplier
 """
 CTE["district_edges"] = """
