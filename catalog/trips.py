@@ -22,7 +22,7 @@ def _day(c):
 
 def _list_sql(where: str, limit: int, offset: int) -> str:
     return f"""SELECT id, title, destinations, status, strftime(updated_at, '%Y-%m-%d') AS updated_at, (SELECT count(*) FROM itineraries WHERE {where}) AS total_count
-               FROM itineraries WHERE {where} ORDER BY itineraries.updated_at DESC, id LIMIT {limit} OFFSET {offset}"""
+               FROM itineraries WHERE {where} ORDER BY itineraries.updated_at DESC NULLS FIRST, id LIMIT {limit} OFFSET {offset}"""
 
 
 @query(_list_sql("status = 'active'", 20, 10))

@@ -13,7 +13,7 @@ from placeweave.functions.geo import on_segment, segments_meet, turn
 from placeweave.operators.skew import first_per_group, lookup_join, with_totals
 
 BAND = 0.05
-COLUMN = 1.0
+COLUMN = 5.0
 CELL = 0.5
 
 _RING = "array<array<double>>"
@@ -126,7 +126,7 @@ def points_in_areas(points: DataFrame, edges: DataFrame, id_col: str = "id", lon
     ax, ay, bx, by, px, py = (F.col(c) for c in ("ax", "ay", "bx", "by", "px", "py"))
     crosses = (ay <= py) & (py < by) & (turn(ax, ay, bx, by, px, py) > 0)
     touches = on_segment(ax, ay, bx, by, px, py)
-    met = lookup_join(placed, banded_edges(edges, band, column), ["band", "strip"], id_col)
+    met = lookup_join(placed, banded_edges(edges, band, column), ["band", "strip"], id_col, narrow=5)
     return (
         met.select(id_col, "area_id", *carry, crosses.cast("int").alias("crosses"), touches.alias("touches"))
         .filter("crosses = 1 OR touches")

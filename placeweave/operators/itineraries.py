@@ -28,7 +28,7 @@ _OWNED_OPS = ("update_meta", "update_plan", "soft_delete")
 
 def _page(rows: DataFrame, limit: int, offset: int, columns) -> DataFrame:
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    page = rows.orderBy(F.col("updated_at").desc(), "id").offset(offset).limit(limit)
+    page = rows.orderBy(F.col("updated_at").desc_nulls_first(), "id").offset(offset).limit(limit)
     return page.withColumn("total_count", total).select(*columns, "total_count")
 
 

@@ -28,13 +28,13 @@ def small_values(df: DataFrame, *columns: str, rows: int = LITERAL_ROWS):
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on, spread_by, how: str = "inner",
-                small_rows: int | None = None) -> DataFrame:
+                small_rows: int | None = None, narrow: int = 1) -> DataFrame:
     """Join rows to a lookup table. Its rows are counted, unless the caller knows a bound, and
-    only a table within the limit is broadcast. Otherwise the rows of a key are spread over
+    only a table within the limit (`narrow` times as high for a few numbers a row) is broadcast. Otherwise the rows of a key are spread over
     salts, and the lookup is copied only to the salts its key occurs in: a hot key becomes many
     tasks, and a rare key is not copied."""
     on = [on] if isinstance(on, str) else list(on)
-    if (small.count() if small_rows is None else small_rows) <= BROADCAST_ROWS:
+    if (small.count() if small_rows is None else small_rows) <= BROADCAST_ROWS * narrow:
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("__salt", salt(spread_by))
     copies = salted.select(*on, "__salt").distinct().join(small, on)

@@ -44,6 +44,12 @@ def upsert_areas(target: DataFrame, changes: DataFrame) -> DataFrame:
     return upsert(target, changes, ["name", "country_iso2", "kind"], ["admin_level", "parent_id"])
 
 
+def replace_groups(target: DataFrame, changes: DataFrame, key: str, row_id) -> DataFrame:
+    """Replace all rows of the groups that occur in `changes`, as the edges of reloaded areas."""
+    changed = changes.select(key).distinct()
+    return lookup_join(target, changed, key, row_id, "left_anti").unionByName(changes)
+
+
 def add_pairs(target: DataFrame, pairs: DataFrame) -> DataFrame:
     """Insert pairs that are not there yet; every column is part of the key."""
     return target.unionByName(pairs).distinct()

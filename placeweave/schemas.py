@@ -18,11 +18,6 @@ RAW_LISTING = _struct(
     price_range=_S, images=_S, about=_S, open_hours=_S, timezone=_S, descriptions=_S,
 )
 
-GUIDE = _struct(
-    ID=_S, Name=_S, Address=_S, Location=_S, Price=_S, Cuisine=_S, Longitude=_D,
-    Latitude=_D, PhoneNumber=_S, Url=_S, WebsiteUrl=_S, Award=_S, Description=_S, Images=_S,
-)
-
 POI_COLUMNS = {
     "google_map_link": _S, "name": _S, "categories": T.ArrayType(_S), "address": _S,
     "timezone": _S, "open_hours": _S, "website": _S, "phone": _S, "review_count": _I,

@@ -7,21 +7,29 @@ from placeweave import schemas
 from placeweave.functions.text import strip
 
 
-def _csv(spark: SparkSession, schema):
-    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
-
-
-def read_csv(spark: SparkSession, path, schema=schemas.RAW_LISTING, recursive: bool = False) -> DataFrame:
-    """One file, a folder of files, or a whole tree. All files are one scan."""
-    reader = _csv(spark, schema)
+def _csv(spark: SparkSession, path, recursive: bool = False) -> DataFrame:
+    """All columns as text, by the names in the header. A file whose header differs from the
+    first one's is an error, not a silent shift of columns; read such feeds one by one and
+    join them with `union_feeds`."""
+    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
     if recursive:
         reader = reader.options(recursiveFileLookup=True, pathGlobFilter="*.csv")
     return reader.csv(path)
 
 
-def read_guide(spark: SparkSession, path, schema=schemas.GUIDE) -> DataFrame:
-    """Guide files by glob pattern."""
-    return _csv(spark, schema).csv(path)
+def read_csv(spark: SparkSession, path, schema=schemas.RAW_LISTING, recursive: bool = False) -> DataFrame:
+    """One file, a folder of files, or a whole tree, as one scan. Columns are taken by name;
+    one that is missing, or a value that does not fit its type, is null."""
+    raw = _csv(spark, path, recursive)
+    return raw.select(*[
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ])
+
+
+def read_guide(spark: SparkSession, path) -> DataFrame:
+    """Guide files by glob pattern, all columns as text."""
+    return _csv(spark, path)
 
 
 def read_tokens(spark: SparkSession, path) -> DataFrame:

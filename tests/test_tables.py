@@ -5,7 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from placeweave.operators import classify, skew, tables
+from placeweave import schemas
+from placeweave.operators import classify, clean, skew, tables
 from placeweave.sources import readers, writers
 
 
@@ -31,7 +32,7 @@ def test_reloading_areas_keeps_ids_and_clears_parents(spark):
         ("1", "A", "SG", "state", 5, None), ("2", "B", "SG", "state", 4, "p"), ("8", "A", "SG", "country", 2, None)}
 
 
-def test_pairs_and_deletes(spark):
+def test_pairs_and_deletes(spark, monkeypatch):
     pairs = spark.createDataFrame([("a", "r"), ("b", "r")], "category string, role string")
     want = spark.createDataFrame([("b", "r"), ("c", "r")], "category string, role string")
     assert tables.add_pairs(pairs, want).count() == 3
@@ -42,6 +43,12 @@ def test_pairs_and_deletes(spark):
     assert sorted(r["id"] for r in tables.cascade_delete(kids, gone, "user_id", "id").collect()) == [2, 3]
     parents = spark.createDataFrame([(11,)], "id int")
     assert [r["id"] for r in tables.orphans(kids, parents, "user_id").collect()] == [1]
+    edges = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "area_id string, n int")
+    newer = spark.createDataFrame([("a", 9), ("c", 8)], "area_id string, n int")
+    for rows in (skew.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", rows)
+        got = tables.replace_groups(edges, newer, "area_id", "n").collect()
+        assert {tuple(r) for r in got} == {("a", 9), ("c", 8), ("b", 3), (None, 4)}
     found = spark.createDataFrame([(2, 99)], "id int, user_id int")
     assert {tuple(r) for r in tables.fill_from(kids, found, "id", "user_id").collect()} == {(1, 10), (2, 99), (3, 11)}
 
@@ -60,16 +67,22 @@ def test_snapshots(spark, tmp_path):
 def test_csv(spark, tmp_path):
     tree = tmp_path / "map" / "deep"
     tree.mkdir(parents=True)
-    text = 'title,link,categories,review_count,review_rating\n"A ""quoted""\nname",l1,"[""x"", ""y""]",5,4.5\n'
+    text = 'cid,title,link,categories,review_count,review_rating\nz,"A ""quoted""\nname",l1,"[""x"", ""y""]",5,bad\n'
     (tmp_path / "map" / "one.csv").write_text(text)
     (tree / "two.csv").write_text(text.replace("l1", "l2"))
     (tree / "skip.txt").write_text("no")
-    from placeweave import schemas
-    from pyspark.sql import types as T
-    schema = T.StructType([schemas.RAW_LISTING[c] for c in ("title", "link", "categories", "review_count", "review_rating")])
-    flat = readers.read_csv(spark, str(tmp_path / "map" / "one.csv"), schema).collect()
-    assert [(r["title"], r["categories"], r["review_count"]) for r in flat] == [('A "quoted"\nname', '["x", "y"]', 5)]
-    assert {r["link"] for r in readers.read_csv(spark, str(tmp_path / "map"), schema, recursive=True).collect()} == {"l1", "l2"}
+    flat = readers.read_csv(spark, str(tmp_path / "map" / "one.csv"))
+    assert [f.name for f in flat.schema] == [f.name for f in schemas.RAW_LISTING]
+    assert [(r["title"], r["categories"], r["review_count"], r["review_rating"], r["phone"]) for r in flat.collect()] == [
+        ('A "quoted"\nname', '["x", "y"]', 5, None, None)]
+    assert {r["link"] for r in readers.read_csv(spark, str(tmp_path / "map"), recursive=True).collect()} == {"l1", "l2"}
+    assert [r["link"] for r in readers.read_csv(spark, str(tmp_path / "map")).collect()] == ["l1"]
+    (tmp_path / "map" / "three.csv").write_text("link,title\nl3,t\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path / "map")).collect()
+    (tmp_path / "guide_1.csv").write_text("ID,Name,PhoneNumber,PriceRange,Images\n1,N,61234567,$$,a\n")
+    guide = clean.clean_guide(readers.read_guide(spark, str(tmp_path / "guide*.csv")))
+    assert guide.first().asDict() == {"name": "N", "phone": "+6561234567", "price": "$$", "images": ["a"]}
     out = str(tmp_path / "out")
     assert writers.write_csv(spark.createDataFrame([("a", ["x"])], "k string, v array<string>"), out)
     assert spark.read.csv(out, header=True, escape='"').first()["v"] == '["x"]'
