@@ -71,12 +71,14 @@ FROM nation
 CTE["areas"] = "SELECT id, name, kind, admin_level, country_iso2, parent_id FROM boxes"
 
 
-def _rectangle(source: str, ring: int = 0) -> str:
+def _rectangle(source: str) -> str:
+    """Edges of boxes as they are after loading, with the facts of their area."""
+    facts = "x0 AS west, (x1 - x0) * (y1 - y0) AS area_size"
     return f"""
-SELECT id AS area_id, {ring} AS ring_id, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2 FROM {source}
-UNION ALL SELECT id, {ring}, x1, y0, x1, y1 FROM {source}
-UNION ALL SELECT id, {ring}, x1, y1, x0, y1 FROM {source}
-UNION ALL SELECT id, {ring}, x0, y1, x0, y0 FROM {source}
+SELECT id AS area_id, 0 AS ring_id, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2, {facts} FROM {source}
+UNION ALL SELECT id, 0, x1, y0, x1, y1, {facts} FROM {source}
+UNION ALL SELECT id, 0, x1, y1, x0, y1, {facts} FROM {source}
+UNION ALL SELECT id, 0, x0, y1, x0, y0, {facts} FROM {source}
 """
 
 

@@ -72,7 +72,7 @@ def load_areas(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .select("area_id", "polygon_id", F.posexplode("rings").alias("ring_id", "ring"))
         .select("area_id", "polygon_id", "ring_id", _ring_edges(F.col("ring"), F.col("ring_id") == 0).alias("edges"))
     )
-    edges = rings.select("area_id", "polygon_id", "ring_id", F.inline("edges"))
+    edges = with_area_facts(rings.select("area_id", "polygon_id", "ring_id", F.inline("edges")))
     areas = good.select("id", "name", "country_iso2", "kind", "admin_level", "parent_id")
     return areas, edges, rejects
 
@@ -94,17 +94,26 @@ def area_sizes(edges: DataFrame) -> DataFrame:
     return edges.groupBy("area_id").agg(_size(_twice_size()).alias("area_size"))
 
 
+def with_area_facts(edges: DataFrame) -> DataFrame:
+    """Edges with the western end (`west`) and the size (`area_size`) of their area. Loaded
+    edges have both, so that spatial joins need not aggregate them again."""
+    if {"west", "area_size"} <= set(edges.columns):
+        return edges
+    facts = with_totals(
+        edges.drop("west", "area_size"), "area_id", _COORDINATES,
+        partial={"west": F.min(F.least("x1", "x2")), "_twice": _twice_size()},
+        merge={"west": F.min("west"), "_twice": F.sum("_twice")},
+    )
+    return facts.withColumn("area_size", _size(F.col("_twice"))).drop("_twice")
+
+
 def banded_edges(edges: DataFrame, band: float = BAND, column: float = COLUMN) -> DataFrame:
     """Edges pointing upward, one row per (band, column) in which a point may need them, with
     the size of their area. Further columns of `edges` are kept."""
-    facts = with_totals(
-        edges, "area_id", _COORDINATES,
-        partial={"west": F.min(F.least("x1", "x2")), "twice": _twice_size()},
-        merge={"west": F.min("west"), "twice": F.sum("twice")},
-    )
+    facts = with_area_facts(edges)
     up = F.col("y1") <= F.col("y2")
     laid = facts.select(
-        *[c for c in edges.columns if c not in _COORDINATES], "west", _size(F.col("twice")).alias("area_size"),
+        *[c for c in facts.columns if c not in _COORDINATES],
         F.when(up, F.col("x1")).otherwise(F.col("x2")).alias("ax"), F.least("y1", "y2").alias("ay"),
         F.when(up, F.col("x2")).otherwise(F.col("x1")).alias("bx"), F.greatest("y1", "y2").alias("by"),
     )

@@ -44,6 +44,11 @@ def test_load_areas(spark):
     assert {r["name"] for r in rejects.collect()} == {"b", "c", "d", None}
     sizes = {r["name"]: r["area_size"] for r in A.area_sizes(edges).join(areas, F.col("area_id") == F.col("id")).collect()}
     assert sizes == {"a": 16.0, "e": 16.5}
+    # Loaded edges carry the same facts, and the join does not need them to.
+    assert {(r["west"], r["area_size"]) for r in edges.collect()} == {(0.0, 16.0), (0.0, 16.5)}
+    point = spark.createDataFrame([(1, 9.5, 9.2)], "id int, longitude double, latitude double")
+    for table in (edges, edges.drop("west", "area_size")):
+        assert A.smallest_area(point, table).count() == 1
 
 
 def test_points_on_borders_vertices_and_in_holes(spark):
