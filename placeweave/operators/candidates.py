@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeweave.constants import ROLES, THEMES
+from placeweave.constants import THEMES
 from placeweave.functions import geo, media, scoring
 from placeweave.operators.areas import smallest_area
 from placeweave.operators.poi import has_role, with_themes
