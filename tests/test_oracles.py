@@ -7,11 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from catalog.registry import ORACLES, QUERIES
 from check_oracles import rows_of
 from conftest import SF
 
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck():
