@@ -73,7 +73,7 @@ def term_counts(text: str, codes: _Codes) -> np.ndarray:
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Log counts times inverse document frequency; shapes, words and rates each of unit length."""
     out = np.log1p(counts) * idf
-    for a, b, weight in ((0, SHAPES, 1.0), (SHAPES, SHAPES + WORDS, 0.4), (SHAPES + WORDS, TERMS, 0.7)):
+    for a, b, weight in ((0, SHAPES, 1.0), (SHAPES, SHAPES + WORDS, 0.3), (SHAPES + WORDS, TERMS, 1.2)):
         part = out[:, a:b]
         norm = np.linalg.norm(part, axis=1, keepdims=True)
         np.divide(part * weight, norm, out=part, where=norm > 0)
