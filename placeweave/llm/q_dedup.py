@@ -1,6 +1,9 @@
 """Queries: near and exact duplicates."""
 
+from pyspark.sql import functions as F
+
 from placeweave.llm import ngram_join as N
+from placeweave.llm import repeats as R
 from placeweave.llm.registry import query, table
 
 
@@ -21,3 +24,19 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.v = d.doc_i
 def op4_ngram_join(spark, sf_dir):
     """Every document's group by word 5-grams."""
     return N.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(oracle="""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r) GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(p), 0) AS m,
+             CASE WHEN p IS NULL THEN w ELSE [w[i] FOR i IN list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(p, i)))] END AS kept
+      FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+""")
+def op2_repeats(spark, sf_dir):
+    """Every document without the word runs that occur earlier."""
+    found = R.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
