@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from placeweave.llm import ngram_join as N
 from placeweave.llm import repeats as R
+from placeweave.llm import vector_dedup as V
 from placeweave.llm.registry import query, table
 
 
@@ -40,3 +41,21 @@ def op2_repeats(spark, sf_dir):
     """Every document without the word runs that occur earlier."""
     found = R.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(oracle="""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, list_count(embedding) = len(embedding) AS full_ FROM embeddings),
+u AS (SELECT vec_id, label, x FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND full_
+      AND len(list_filter(x, lambda c: NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v),
+c AS (SELECT v, min(c) AS c FROM r GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN c ON c.v = vec_id LEFT JOIN n ON n.a = vec_id
+""")
+def op1_vector_dedup(spark, sf_dir):
+    """Every vector's links and group."""
+    return V.similar_vectors(table(spark, sf_dir, "embeddings"))
