@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHAPES, WORDS, STEPS = 512, 512, 11
 TERMS = SHAPES + WORDS + 2 * STEPS
@@ -93,92 +94,22 @@ class Model:
         norm = np.linalg.norm(latent, axis=1, keepdims=True)
         return np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 0)
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        """Label 1's share of the neighbours' votes."""
-        out = np.full(len(counts), self.prior)
-        known = counts.any(axis=1)
-        k = min(NEIGHBOURS, len(self.labels))
-        if not k or not known.any():
-            return out
-        latent = self.embed(counts[known])
-        scores = []
-        for at in range(0, len(latent), _BLOCK):
-            cosine = latent[at:at + _BLOCK] @ self.vectors.T
-            near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            votes = np.clip(np.take_along_axis(cosine, near, 1), 1e-6, None).astype(np.float64) ** SHARPNESS
-            scores.append((votes * self.labels[near]).sum(1) / votes.sum(1))
-        out[known] = np.clip(np.concatenate(scores), 0, 1)
-        return out
-
-
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_label: int, id_column: str, text_column: str):
-    """Rows (text, label) of the bounded sample, the same on every run."""
-    agreed = (
-        labels.filter(F.col(id_column).isNotNull() & F.col(label).isNotNull() & ~held_out(id_column))
-        .groupBy(F.col(id_column).alias("id")).agg(F.min(label).alias("label"), F.max(label).alias("other"))
-        .filter("label = other").drop("other")
-    )
-    chosen = None
-    for value in (0, 1):
-        some = agreed.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_label)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    docs = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    # At most 2 * per_label rows, by the limits above.
-    return docs.join(F.broadcast(chosen), "id").select("id", "text", "label")
-
-
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL,
-        dimensions: int = DIMENSIONS, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """Fit on the sample: its term counts, 2 * per_label rows at most, come to the driver."""
-    def task(batches):
-        codes = _Codes()
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            rows = [term_counts(t, codes).astype("<f4").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)],
-                                             names=["id", "counts", "label"])
-
-    sample = labelled_sample(documents, labels, label, per_label, id_column, text_column)
-    # Ids may repeat in the documents: one text of each is enough.
-    rows = (
-        sample.groupBy("id").agg(F.min("text").alias("text"), F.first("label").cast("int").alias("label"))
-        .mapInArrow(task, "id long, counts binary, label int").orderBy("id").collect()
-    )
-    return fit_counts(np.array([np.frombuffer(r["counts"], "<f4") for r in rows], np.float32).reshape(-1, TERMS),
-                      np.array([r["label"] for r in rows], np.int64), dimensions)
-
-
-def fit_counts(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    known = counts.any(axis=1)
-    prior = float(labels.mean()) if len(labels) else 0.5
-    counts, labels = counts[known], labels[known]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1).astype(np.float32)
-    weights = weigh(counts, idf)
-    values, vectors = np.linalg.eigh((weights.T @ weights).astype(np.float64))
-    model = Model(idf, np.ascontiguousarray(vectors[:, ::-1][:, :dimensions], np.float32), np.zeros((0, dimensions), np.float32), labels, prior)
-    model.vectors = model.embed(counts)
-    return model
-
-
-def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `documents` with one more column, quality_score."""
+    def score(documents: DataFrame, model: Model, text_column: str = "text", out: str = "quality_score") -> DataFrame:
+    """The rows of `documents` with one more column, `out` (which replaces one of that name)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    name = "__text_of_quality"
+    rows = documents.drop(out)
+    last = len(rows.columns)
 
     def task(batches):
         codes = _Codes()
         for batch in batches:
-            at = batch.schema.get_field_index(name)
-            texts = batch.column(at)
+            texts = batch.column(last)
             scores = []
             for begin in range(0, len(texts), _BLOCK):
                 counts = np.array([term_counts(t.as_py() or "", codes) for t in texts.slice(begin, _BLOCK)])
                 scores.append(shared.value.score(counts))
-            kept = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for n in batch.schema.names if n != name]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                                             names=[*names, "quality_score"])
-
-    rows = documents.drop("quality_score")
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.withColumn(name, F.col(text_column).cast("string")).mapInArrow(task, f"{schema}, quality_score double")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(np.concatenate(scores) if scores else [], pa.float64())],
+                                             names=[*batch.schema.names[:last], out])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
+    return rows.select("*", F.col(text_column).cast("string").alias("__text_to_score")).mapInArrow(task, schema)

@@ -19,7 +19,7 @@ they are not repeated, and of the others nothing of 20 words or more stays.
 Cases: a null text has no words. Rows are documents of their own: those that share an id are
 ordered by a hash of their text, rows equal in both are the same document, and a null id comes
 last. Texts of fewer than 20 words are left alone. Empty tables give no rows. All columns are
-passed on; `kept`, `n_words` and `n_removed` are added and replace columns of those names.
+passed on; the three that are added replace columns of their names.
 """
 
 import numpy as np
@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from placeweave.llm.common import order_id, written
@@ -263,14 +264,16 @@ def _apply(docs: DataFrame) -> DataFrame:
                 [*[batch.column(i) for i in kept_at], pa.array(kept, pa.string()),
                  pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "kept", "n_words", "n_removed"])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "spans")
-    return docs.mapInArrow(task, f"{schema}, kept string, n_words long, n_removed long")
+    kinds = {"kept": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType()}
+    return docs.mapInArrow(task, T.StructType(
+        [f for f in docs.schema.fields if f.name != "spans"] + [T.StructField(n, t) for n, t in kinds.items()]))
 
 
-def remove_repeats(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents with `kept` (the words that stay, joined by one space), `n_words` and
-    `n_removed`."""
-    others = [c for c in documents.columns if c not in ("kept", "n_words", "n_removed")]
+def remove_repeats(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text_column: str = "text",
+                   out: tuple[str, str, str] = ("kept", "n_words", "n_removed")) -> DataFrame:
+    """The documents with three more columns: the words that stay, joined by one space, and the
+    numbers of all and of removed words."""
+    others = [c for c in documents.columns if c not in out]
     wrapped = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
     docs = documents.select(
         order_id(id_column).alias("key"), F.xxhash64(F.col(text_column).cast("string")).alias("tie"),
@@ -291,4 +294,4 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, id_column: str = "doc
     spans = repeats.unionByName(copies).groupBy("key", "tie").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     done = _apply(docs.join(spans, ["key", "tie"], "left"))
     columns = [F.col("text").cast(documents.schema[c].dataType).alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in others]
-    return done.select(*columns, "kept", "n_words", "n_removed")
+    return done.select(*columns, *[F.col(a).alias(b) for a, b in zip(("kept", "n_words", "n_removed"), out, strict=True)])
