@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions.geo import on_segment, segments_meet, turn
+from placeweave.functions.text import once
 from placeweave.operators.skew import first_per_group, lookup_join, with_totals
 
 BAND = 0.05
@@ -25,16 +26,21 @@ def _area_id():
 
 def _ring_edges(ring, outer):
     """Edges of a closed ring, counter-clockwise when outer and clockwise when a hole."""
-    xy = F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    steps = F.when(F.size(ring) > 1, F.sequence(F.lit(0), F.size(ring) - 2)).otherwise(
-        F.array().cast("array<int>"))
-    edges = F.transform(steps, lambda i: F.struct(
-        F.get(xy, i)["x"].alias("x1"), F.get(xy, i)["y"].alias("y1"),
-        F.get(xy, i + 1)["x"].alias("x2"), F.get(xy, i + 1)["y"].alias("y2")))
-    doubled = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + e["x1"] * e["y2"] - e["x2"] * e["y1"])
-    flipped = F.transform(edges, lambda e: F.struct(
-        e["x2"].alias("x1"), e["y2"].alias("y1"), e["x1"].alias("x2"), e["y1"].alias("y2")))
-    return F.when((doubled < 0) == outer, flipped).otherwise(edges)
+    points = F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    count = F.greatest(F.size(ring) - 1, F.lit(0))
+
+    def between(xy):
+        return F.zip_with(F.slice(xy, 1, count), F.slice(xy, 2, count), lambda a, b: F.struct(
+            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+
+    def wound(edges):
+        doubled = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + e["x1"] * e["y2"] - e["x2"] * e["y1"])
+        flipped = F.transform(edges, lambda e: F.struct(
+            e["x2"].alias("x1"), e["y2"].alias("y1"), e["x1"].alias("x2"), e["y1"].alias("y2")))
+        return F.when((doubled < 0) == outer, flipped).otherwise(edges)
+
+    # Each step is computed once: a ring may have a hundred thousand points.
+    return once(once(points, between), wound)
 
 
 def load_areas(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
