@@ -144,11 +144,13 @@ FROM lineitem
 """
 
 
-@query(f"""SELECT google_map_link, name, review_count FROM (
-             SELECT *, row_number() OVER (PARTITION BY google_map_link ORDER BY version DESC, name, review_count) AS rn FROM ({NEW_POIS})) WHERE rn = 1
-           UNION ALL SELECT google_map_link, name, review_count FROM pois WHERE google_map_link NOT IN (SELECT google_map_link FROM ({NEW_POIS}))""")
+@query(f"""SELECT google_map_link, n.name, n.review_count, p.admin_area_id FROM (
+             SELECT *, row_number() OVER (PARTITION BY google_map_link ORDER BY version DESC, name, review_count) AS rn FROM ({NEW_POIS})) n
+           LEFT JOIN pois p USING (google_map_link) WHERE rn = 1
+           UNION ALL SELECT google_map_link, name, review_count, admin_area_id FROM pois WHERE google_map_link NOT IN (SELECT google_map_link FROM ({NEW_POIS}))""")
 def upsert_pois(spark, sf):
-    target = load(spark, sf, "SELECT google_map_link, name, review_count FROM pois")
+    """The changes bring no area: places keep the one they are linked to."""
+    target = load(spark, sf, "SELECT google_map_link, name, review_count, admin_area_id FROM pois")
     changes, _ = tables.latest_changes(load(spark, sf, NEW_POIS), "google_map_link",
                                        [F.col("version").desc(), F.col("name"), F.col("review_count")])
     return tables.upsert(target, changes.drop("version"), "google_map_link")
@@ -156,7 +158,7 @@ def upsert_pois(spark, sf):
 
 AREAS_OLD = "SELECT 'old' || CAST(s_suppkey AS STRING) AS id, s_name AS name, 'MY' AS country_iso2, 'state' AS kind, 4 AS admin_level, 'C1' AS parent_id FROM supplier"
 AREAS_NEW = """SELECT 'new' || CAST(c_custkey AS STRING) AS id, 'Supplier#' || lpad(CAST(c_custkey AS STRING), 9, '0') AS name, 'MY' AS country_iso2, 'state' AS kind,
-    5 AS admin_level, CAST(NULL AS STRING) AS parent_id FROM customer WHERE c_mktsegment = 'BUILDING'"""
+    5 AS admin_level, CAST(NULL AS STRING) AS parent_id FROM customer"""
 
 
 @query(f"""SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, CASE WHEN n.id IS NULL THEN 4 ELSE 5 END AS admin_level,

@@ -17,12 +17,15 @@ def latest_changes(changes: DataFrame, keys, order) -> tuple[DataFrame, DataFram
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys, update_columns=None) -> DataFrame:
-    """Insert new keys and replace known ones; `changes` has one row per key. With
-    `update_columns` a known row keeps its other columns."""
+    """Insert new keys and update known ones; `changes` has one row per key. A known row takes
+    the columns that `changes` has, or only `update_columns` of them, and keeps its others. A
+    column that only `changes` has is added."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if update_columns is None:
-        untouched = target.join(changes.select(*keys), keys, "left_anti")
-        return untouched.unionByName(changes, allowMissingColumns=True)
+        update_columns = [c for c in changes.columns if c not in keys]
+        for c in update_columns:
+            if c not in target.columns:
+                target = target.withColumn(c, F.lit(None).cast(changes.schema[c].dataType))
     new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c not in keys],
                          F.lit(True).alias("_changed"))
     both = target.withColumn("_known", F.lit(True)).join(new, keys, "full")
