@@ -140,7 +140,7 @@ CTE["lines"] = "SELECT doc_id, text FROM documents"
 CTE["phones"] = """
 SELECT c_custkey, c_name, c_mktsegment,
        CASE c_custkey % 10
-         WHEN 0 THEN '+65 6' || lpad(CAST(c_custkey % 40 AS STRING), 7, '0')
+         WHEN 0 THEN '+65' || CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN chr(160) ELSE '\u3000' END || '6' || lpad(CAST(c_custkey % 40 AS STRING), 7, '0')
          WHEN 1 THEN '07-' || lpad(CAST(c_custkey AS STRING), 7, '0')
          WHEN 2 THEN '8' || lpad(CAST(c_custkey % 40 AS STRING), 7, '0')
          WHEN 3 THEN '12 ' || lpad(CAST(c_custkey AS STRING), 7, '0')

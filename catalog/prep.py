@@ -149,7 +149,7 @@ SELECT c_custkey, c_name, c_mktsegment, CASE WHEN d = '' OR d IN ('nan', 'none')
     WHEN regexp_matches(d, '^[689].{7}$') THEN '+65' || d
     WHEN regexp_matches(d, '^1.{8,9}$') THEN '+60' || d
     WHEN regexp_matches(d, '^6[05]') OR regexp_matches(d, '^[0-9]+$') THEN '+' || d END AS phone
-FROM (SELECT *, regexp_replace(regexp_replace(trim(phone), '[.]0$', ''), '[- ().\\s/]', '', 'g') AS d FROM phones)
+FROM (SELECT *, regexp_replace(regexp_replace(trim(phone), '[.]0$', ''), '[- ().\\s/\\x{a0}\\x{3000}]', '', 'g') AS d FROM phones)
 """
 
 

@@ -14,7 +14,8 @@ _SPACES = "".join(map(chr, (
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )))
-_SPACE_RUN = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE_RUN = f"[{_SPACE}]+"
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
@@ -87,7 +88,7 @@ def unify_punctuation(c) -> Column:
 def phone_e164(c) -> Column:
     raw = strip(c)
     raw = F.regexp_replace(raw, r"\.0$", "")
-    d = F.regexp_replace(raw, r"[\s\-().\/]", "")
+    d = F.regexp_replace(raw, rf"[{_SPACE}\-().\/]", "")
     first, size = F.substring(d, 1, 1), F.length(d)
     number = (
         F.when(first == "+", d)

@@ -49,25 +49,28 @@ def test_brand_country(spark):
     assert (total["original"], total["kept"], total["removed"]) == (len(BRANDS), len(kept), len(removed))
 
 
-def sequential_prune(rows, patterns, flagship, exact, ranked):
-    """The rule as a loop over patterns, one listing at a time."""
-    gone = set()
-    for country in ("SG", "MY"):
-        for pattern in patterns:
-            hits = [r for r in rows if r[1] and r[2] and f'"{country}"' in r[2] and pattern.upper() in r[1].upper()]
-            if ranked:
-                hits.sort(key=lambda r: (r[3] is None, -(r[3] or 0), r[4] is None, -(r[4] or 0), r[0]))
-            kept = 0
-            for r in hits:
-                keep = (flagship and "flagship" in r[1].lower()) or (exact and r[1].lower() == pattern.lower()) or (ranked and kept == 0)
-                if keep:
-                    kept += 1
-                else:
-                    gone.add(r[0])
-    return sorted({r[0] for r in rows} - gone)
-
-
-def test_prune_equals_the_loop(spark):
+def pruned(rows, patterns, flagship, exact, ranked):
+    """What stays: a listing goes if some pattern that it matches does not protect it, by its own
+    merits or by there being no better listing that matches in the country."""
+    def matches(r, country, pattern):
+        return r[1] is not None and r[2] is not None and f'"{country}"' in r[2] and pattern.lower() in r[1].lower()
+
+    def merit(r):
+        return (r[3] is not None, r[3] or 0, r[4] is not None, r[4] or 0)
+
+    def better(a, b):
+        return merit(a) > merit(b) or (merit(a) == merit(b) and a[0] < b[0])
+
+    def goes(r, country, pattern):
+        own = (flagship and "flagship" in r[1].lower()) or (exact and r[1].lower() == pattern.lower())
+        best = ranked and not any(better(o, r) for o in rows if matches(o, country, pattern))
+        return not own and not best
+
+    return sorted({r[0] for r in rows if not any(
+        matches(r, c, p) and goes(r, c, p) for c in ("SG", "MY") for p in patterns)})
+
+
+def test_prune_keeps_what_no_pattern_takes(spark):
     rng = random.Random(3)
     words = ["Al", "tea", "TEA", "house", "Flagship", "kopi", "x"]
     rows = [(f"l{i:03}", " ".join(rng.choices(words, k=rng.randint(1, 3))) if i % 17 else None,
@@ -78,7 +81,7 @@ def test_prune_equals_the_loop(spark):
     clean_patterns = list(dict.fromkeys(p.strip() for p in patterns if p.strip()))
     for flagship, exact, ranked in ((True, True, True), (False, True, True), (True, False, False)):
         got = links(dedup.prune_by_patterns(df, pats, flagship, exact, ranked))
-        assert got == sequential_prune(rows, clean_patterns, flagship, exact, ranked)
+        assert got == pruned(rows, clean_patterns, flagship, exact, ranked)
     assert dedup.prune_by_patterns(df, pats, dry_run=True).count() == 300
     none = spark.createDataFrame([], "pattern string")
     assert dedup.prune_by_patterns(df, none).count() == 300
