@@ -2,19 +2,29 @@
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# A table is broadcast only after a bounded count has shown that it has at most this many rows.
+# A table is broadcast only after a bounded count has shown that it has at most this many rows and
+# that they take at most this many bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # A word list becomes literals only up to this many entries.
 LITERAL_ROWS = 5_000
+# Least number of salts; a cluster with more shuffle partitions gets SALTS_PER_PARTITION for each.
 SALTS = 64
+SALTS_PER_PARTITION = 4
 # Spark cuts rank filters before the shuffle up to this k (its default threshold).
 _RANK_CUT = 1000
 
 
+def salts_for(spark: SparkSession) -> int:
+    """Enough salts for one key to reach nearly all tasks of a shuffle."""
+    return max(SALTS, SALTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def salt(spread_by, salts: int = SALTS) -> Column:
     cols = [spread_by] if isinstance(spread_by, str) else spread_by
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
@@ -27,16 +37,31 @@ def small_values(df: DataFrame, *columns: str, rows: int = LITERAL_ROWS):
     return [tuple(r) for r in found] if len(found) <= rows else None
 
 
+def fits_broadcast(small: DataFrame, rows: int) -> bool:
+    """Has a table at most so many rows, and those at most BROADCAST_BYTES? It reads one row more
+    than the bound at most, and measures text and nested columns by their JSON form."""
+    if rows < 0:
+        return False
+    fixed = [f.name for f in small.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    wide = [c for c in small.columns if c not in fixed]
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide]))) if wide else F.lit(0)
+    found = small.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size.cast("long") + 8 * len(fixed)), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= rows and found["bytes"] <= BROADCAST_BYTES
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on, spread_by, how: str = "inner",
                 small_rows: int | None = None, narrow: int = 1) -> DataFrame:
-    """Join rows to a lookup table. Its rows are counted, unless the caller knows a bound, and
-    only a table within the limit (`narrow` times as high for a few numbers a row) is broadcast. Otherwise the rows of a key are spread over
-    salts, and the lookup is copied only to the salts its key occurs in: a hot key becomes many
-    tasks, and a rare key is not copied."""
+    """Join rows to a lookup table. Its rows are counted and measured, unless the caller knows a
+    bound of a few narrow rows, and only a table within the limits (`narrow` times as many rows
+    for a few numbers a row) is broadcast. Otherwise the rows of a key are spread over salts, and
+    the lookup is copied only to the salts its key occurs in: a hot key becomes many tasks, and
+    a rare key is not copied."""
     on = [on] if isinstance(on, str) else list(on)
-    if (small.count() if small_rows is None else small_rows) <= BROADCAST_ROWS * narrow:
+    most = BROADCAST_ROWS * narrow
+    if fits_broadcast(small, most) if small_rows is None else small_rows <= most:
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("__salt", salt(spread_by))
+    salted = big.withColumn("__salt", salt(spread_by, salts_for(big.sparkSession)))
     copies = salted.select(*on, "__salt").distinct().join(small, on)
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
@@ -45,7 +70,7 @@ def with_totals(df: DataFrame, keys, spread_by, partial: dict, merge: dict) -> D
     """Attach per-key aggregates to every row without bringing a key's rows together.
     `partial` aggregates within (key, salt); `merge` combines those under the same names."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    salted = df.withColumn("__salt", salt(spread_by))
+    salted = df.withColumn("__salt", salt(spread_by, salts_for(df.sparkSession)))
     parts = salted.groupBy(*keys, "__salt").agg(*[c.alias(n) for n, c in partial.items()])
     totals = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
     lookup = parts.select(*keys, "__salt").join(totals, keys)
@@ -72,10 +97,12 @@ def first_per_group(df: DataFrame, keys, order) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's checkpoint folder and go on from there. A local folder
-    is used only when the session names none, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="placeweave-"))
+    """Write the rows to the cluster's checkpoint folder and go on from there. Only a session that
+    runs in one process may go without a named folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="placeweave-"))
     return df.checkpoint()
