@@ -159,7 +159,8 @@ SELECT s_name AS name,
          || lpad(CAST(s_suppkey % 60 AS STRING), 7, '0') END AS phone,
        CASE s_suppkey % 3 WHEN 0 THEN '$$$' WHEN 1 THEN '100-200 SGD' ELSE NULL END AS price,
        CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'Guide text ' || s_name END AS description,
-       CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'g' || CAST(s_suppkey AS STRING) || '-1 , g' || CAST(s_suppkey AS STRING) || '-2' END AS images
+       CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'g' || CAST(s_suppkey AS STRING) || '-1 , g' || CAST(s_suppkey AS STRING) || '-2' END AS images,
+       -s_suppkey AS seq
 FROM supplier
 """
 

@@ -201,6 +201,27 @@ def geojson_ingest(spark, sf):
         rejects.select("name", F.col("reason").alias("status"), F.lit(0.0).alias("area_size"), F.lit(0).cast("bigint").alias("edges")))
 
 
+RING_POINTS = """SELECT o_orderpriority AS name, o_orderkey AS place, CAST(o_orderkey % 360 - 180 AS BIGINT) AS x,
+    CAST(o_custkey % 170 - 85 AS BIGINT) AS y FROM orders"""
+
+
+@query(f"""SELECT name, count(*) AS edges, round(abs(sum(x * y2 - x2 * y)) / 2.0E0, 6) AS area_size FROM (
+             SELECT name, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+             FROM ({RING_POINTS}) WINDOW w AS (PARTITION BY name ORDER BY place)) GROUP BY name""")
+def geojson_long_rings(spark, sf):
+    """One boundary per order priority, with a point for each of its orders."""
+    ring = F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.array(p["x"], p["y"]))
+    rings = load(spark, sf, RING_POINTS).groupBy("name").agg(ring.alias("ring"))
+    closed = F.concat("ring", F.slice("ring", 1, 1))
+    features = rings.select(
+        "name", F.lit("R0").alias("country_iso2"), F.lit("district").alias("kind"), F.lit(6).alias("admin_level"),
+        F.lit(None).cast("string").alias("parent_id"),
+        F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))).alias("geometry"))
+    loaded, borders, _ = A.load_areas(features)
+    sizes = borders.groupBy("area_id").agg(F.count(F.lit(1)).alias("edges")).join(A.area_sizes(borders), "area_id")
+    return loaded.join(sizes, loaded.id == F.col("area_id")).select("name", "edges", F.round("area_size", 6).alias("area_size"))
+
+
 def _scored(spark, sf):
     all_areas = A.smallest_area(plain_pois(spark, sf), edges(spark, sf))
     df = P.with_themes(pois(spark, sf), theme_map(spark, sf)).join(all_areas, "id")

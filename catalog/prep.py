@@ -297,14 +297,14 @@ def clean_images(spark, sf):
 
 
 def _guide(spark, sf):
-    raw = load(spark, sf, "SELECT name, phone, price, description, images FROM guide")
+    raw = load(spark, sf, "SELECT name, phone, price, description, images, seq FROM guide")
     return raw.withColumn("images", text.comma_list("images"))
 
 
 @query(f"""SELECT p.c_custkey AS link, CAST(CASE WHEN g.name IS NULL THEN p.c_custkey % 4 + 1 WHEN g.price = '$$$' THEN 3 WHEN g.price IS NOT NULL THEN 4 END AS INT) AS price_level,
              CASE WHEN g.name IS NULL THEN p.c_mktsegment ELSE g.description END AS descriptions,
              CASE WHEN g.images IS NULL THEN '' ELSE replace(g.images, ' , ', ',') || ',' END || 'own' AS images
-           FROM ({_E164}) p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY name) AS rn FROM guide WHERE phone IS NOT NULL) g
+           FROM ({_E164}) p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY seq, name) AS rn FROM guide WHERE phone IS NOT NULL) g
              ON g.phone = p.phone AND g.rn = 1""")
 def enrich_by_phone(spark, sf):
     df = load(spark, sf, "SELECT c_custkey AS link, phone, CAST(c_custkey % 4 + 1 AS INT) AS price_level, c_mktsegment AS descriptions FROM phones")
@@ -315,11 +315,13 @@ def enrich_by_phone(spark, sf):
 
 @query("""SELECT name, phone, price, images FROM (
             SELECT name, phone, price, coalesce(replace(images, ' , ', '|'), '') AS images,
-                   row_number() OVER (PARTITION BY name ORDER BY name) AS rn
-            FROM (SELECT * FROM guide UNION ALL SELECT * FROM guide)) WHERE rn = 1""")
+                   row_number() OVER (PARTITION BY name ORDER BY seq) AS rn
+            FROM (SELECT * FROM guide UNION ALL SELECT * REPLACE ('$' AS price, seq * 2 + 50 AS seq) FROM guide)) WHERE rn = 1""")
 def clean_guide(spark, sf):
-    raw = load(spark, sf, 'SELECT name AS `Name`, phone AS `PhoneNumber`, price AS `PriceRange`, description AS `Description`, images AS `Images`, 1 AS `ID` FROM guide')
-    done = clean.clean_guide(raw.unionByName(raw))
+    """Each entry twice; which of the two is first in the file differs from name to name."""
+    raw = load(spark, sf, 'SELECT name AS `Name`, phone AS `PhoneNumber`, price AS `PriceRange`, description AS `Description`, images AS `Images`, 1 AS `ID`, seq FROM guide')
+    again = raw.withColumns({"PriceRange": F.lit("$"), "seq": F.col("seq") * 2 + 50})
+    done = clean.clean_guide(raw.unionByName(again))
     return done.select("name", "phone", "price", F.array_join("images", "|").alias("images"))
 
 
@@ -459,7 +461,7 @@ SELECT l.link, CASE WHEN l.p_partkey % 7 = 0 THEN l.p_name || ' hall' ELSE l.tit
        '[{"name":"Offerings","options":[{"name":"Halal food","enabled":' || CASE WHEN l.p_size % 4 = 0 THEN 'true' ELSE 'false' END || '}]},{"name":"Crowd","options":[]}]' AS about,
        CASE WHEN l.p_partkey % 97 = 0 THEN NULL ELSE ((l.p_partkey * 7919) % 10500) / 1000.0E0 END AS latitude,
        CASE WHEN l.p_partkey % 97 = 0 THEN NULL ELSE 95.0E0 + ((l.p_partkey * 104729) % 26000) / 1000.0E0 END AS longitude,
-       l.p_partkey, l.p_type, l.p_name, l.p_size
+       (l.p_partkey * 7919) % 100003 AS seq, l.p_partkey, l.p_type, l.p_name, l.p_size
 FROM listings l
 """
 
@@ -470,7 +472,7 @@ SELECT link, title AS name, CASE WHEN p_partkey % 5 = 0 THEN list_append(base, '
   '+656' || lpad(CAST(p_partkey AS STRING), 7, '0') AS phone, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS INT) AS price_level,
   'https://img.example/' || p_partkey AS images, p_size % 4 = 0 AS halal_food, p_size % 3 = 0 AS vegan_options, latitude, longitude, review_rating
 FROM (SELECT *, list_filter(base, lambda x: x NOT IN ('economy', 'red')) AS kept FROM (
-  SELECT *, row_number() OVER (PARTITION BY title ORDER BY link) AS name_rn,
+  SELECT *, row_number() OVER (PARTITION BY title ORDER BY seq, link) AS name_rn,
          list_concat([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)], CASE WHEN p_size % 3 = 0 THEN ['vegan restaurant'] ELSE [] END) AS base
   FROM ({source}) WHERE complete_address LIKE '%"country":%' AND review_count >= 50 AND review_rating >= 2.5))
 WHERE name_rn = 1 AND (p_partkey % 5 = 0 OR p_type <> 'ECONOMY')
@@ -523,7 +525,7 @@ _PRUNED = f"SELECT * FROM {_BRAND_KEPT} WHERE link NOT IN (SELECT link FROM ({hi
              (SELECT coalesce(min(CASE WHEN b.kind = 'state' THEN b.id END), min(b.id)) FROM boxes b
               WHERE c.longitude BETWEEN b.x0 AND b.x1 AND c.latitude BETWEEN b.y0 AND b.y1) AS admin_area_id
            FROM ({cleaned(_PRUNED)}) c
-           LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY name) AS rn FROM guide WHERE phone IS NOT NULL) g
+           LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY seq, name) AS rn FROM guide WHERE phone IS NOT NULL) g
              ON g.phone = c.phone AND g.rn = 1""")
 def prepare_places(spark, sf):
     done = prepare([_raw(spark, sf)], load(spark, sf, "SELECT pattern FROM patterns"), load(spark, sf, EXCLUDED), _guide(spark, sf),

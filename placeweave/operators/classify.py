@@ -118,13 +118,20 @@ def build_theme_map(token_lists: DataFrame) -> DataFrame:
     return pairs.filter(F.col("theme").isin(*THEMES) & (F.col("category") != "")).distinct()
 
 
-def numbered(df: DataFrame, key: str, size: int, digits: int = 3) -> DataFrame:
+# Rows that one task should number, and the most digits that keep the buckets' table small.
+BUCKET_ROWS, MOST_DIGITS = 1_000_000, 5
+
+
+def numbered(df: DataFrame, key: str, size: int, digits: int | None = None) -> DataFrame:
     """Add `batch_no`: rows with unique keys in batches of `size`. The order is that of the
     keys' hashes, whose first hex digits split them into even buckets: the buckets, at most
     16 ** digits rows, are counted, and each is numbered on its own from where the one before
-    it ends."""
-    if not 1 <= digits <= 4:
-        raise ValueError("digits must be 1 to 4")
+    it ends. The number of digits follows from the number of rows, and changes no result."""
+    if digits is None:
+        rows = df.count()
+        digits = next((d for d in range(1, MOST_DIGITS) if rows <= BUCKET_ROWS * 16 ** d), MOST_DIGITS)
+    if not 1 <= digits <= MOST_DIGITS:
+        raise ValueError(f"digits must be 1 to {MOST_DIGITS}")
     hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows"))
@@ -136,7 +143,7 @@ def numbered(df: DataFrame, key: str, size: int, digits: int = 3) -> DataFrame:
     return placed.select(batch.alias("batch_no"), *df.columns)
 
 
-def distinct_batches(lines: DataFrame, n: int = 10, digits: int = 3) -> DataFrame:
+def distinct_batches(lines: DataFrame, n: int = 10, digits: int | None = None) -> DataFrame:
     """(batch_no, line): distinct trimmed lines, n to a batch."""
     clean = lines.select(text.strip("line").alias("line")).filter("line <> ''").distinct()
     return numbered(clean, "line", n, digits)

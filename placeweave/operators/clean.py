@@ -69,6 +69,12 @@ def trim_about(df: DataFrame, removed=K.ABOUT_SECTIONS_REMOVED) -> DataFrame:
     return df.withColumn("about", F.coalesce(F.to_json(media.keep_sections(sections, removed)), "about"))
 
 
+def _file_order(df: DataFrame, *ids: str) -> list[str]:
+    """What decides which of several rows is the first: the place in its file, where the reader
+    has noted it in `seq`, and then the ids."""
+    return [c for c in ("seq", *ids) if c in df.columns]
+
+
 def standardise(raw: DataFrame) -> DataFrame:
     """Row-wise part of the cleaning, before the choice of one listing per name."""
     df = keep_quality_rows(unify_strings(raw)).drop(*K.SCRAPER_COLUMNS_DROPPED)
@@ -79,8 +85,10 @@ def standardise(raw: DataFrame) -> DataFrame:
 
 
 def clean_listings(raw: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Raw listings to clean ones: one per name, standard columns, flags, trimmed `about`."""
-    df = keep_first_by_name(standardise(raw), "link")
+    """Raw listings to clean ones: one per name (the first read, if there is a `seq`), standard
+    columns, flags, trimmed `about`."""
+    df = standardise(raw)
+    df = keep_first_by_name(df, *_file_order(df, "link")).drop("seq")
     df = df.withColumn("price_range", text.price_level("price_range")).withColumnRenamed(
         "price_range", "price_level")
     df = df.withColumn("categories", text.move_last("categories", "tourist attraction"))
@@ -101,16 +109,16 @@ def clean_guide(raw: DataFrame) -> DataFrame:
     df = rename_guide(raw).withColumns({
         "phone": text.phone_e164("phone"), "images": text.comma_list("images"),
     })
-    rest = [c for c in ("phone", "price", "description") if c in df.columns]
-    return keep_first_by_name(df, *rest)
+    return keep_first_by_name(df, *_file_order(df, "phone", "price", "description"))
 
 
-def enrich_from_guide(pois: DataFrame, guide: DataFrame, id_col: str = "link", guide_order=("name",)) -> DataFrame:
+def enrich_from_guide(pois: DataFrame, guide: DataFrame, id_col: str = "link", guide_order=None) -> DataFrame:
     """Where the phone is in the guide: its price and description replace the listing's, even
-    with null, and its images come first. A missing phone matches nothing and is given a key
+    with null, and its images come first. Of several entries with a phone the first in the file
+    counts, if the guide has a `seq`, and else the first by name. A missing phone matches nothing and is given a key
     of its own, so that missing phones do not meet in one task."""
     first = first_per_group(
-        guide.filter("phone IS NOT NULL"), "phone", [F.col(c) for c in guide_order]
+        guide.filter("phone IS NOT NULL"), "phone", [F.col(c) for c in guide_order or _file_order(guide, "name")]
     ).select(
         F.col("phone").alias("_phone"), F.lit(True).alias("_hit"), F.col("price").alias("_price"),
         F.col("description").alias("_description"), F.col("images").alias("_images"),

@@ -1,5 +1,7 @@
 """Reading listings, guides, word lists, logs and boundaries, always with a schema."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,29 +9,54 @@ from placeweave import schemas
 from placeweave.functions.text import strip
 
 
-def _csv(spark: SparkSession, path, recursive: bool = False) -> DataFrame:
-    """All columns as text, by the names in the header. A file whose header differs from the
-    first one's is an error, not a silent shift of columns; read such feeds one by one and
-    join them with `union_feeds`."""
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
-    if recursive:
-        reader = reader.options(recursiveFileLookup=True, pathGlobFilter="*.csv")
-    return reader.csv(path)
-
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
 
-def read_csv(spark: SparkSession, path, schema=schemas.RAW_LISTING, recursive: bool = False) -> DataFrame:
-    """One file, a folder of files, or a whole tree, as one scan. Columns are taken by name;
-    one that is missing, or a value that does not fit its type, is null."""
-    raw = _csv(spark, path, recursive)
-    return raw.select(*[
-        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schema.fields
-    ])
 
-
-def read_guide(spark: SparkSession, path) -> DataFrame:
+def _csv(spark: SparkSession, path, positions: bool = False) -> DataFrame:
+    """All columns as text, by the names in the header. A file whose header differs from the
+    first one's is an error, not a silent shift of columns. With `positions` a column `seq` has
+    the place of each row: its file, block and number."""
+    raw = spark.read.options(**_CSV).csv(path)
+    if not positions:
+        return raw
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("line"))
+    return raw.select("*", place.alias("seq"))
+
+
+def csv_by_header(spark: SparkSession, root: str) -> list[list[str]]:
+    """The CSV files below a folder, those with equal headers together. Only first lines are
+    read; what comes to the driver is a row per file, as in any listing of files."""
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv").text(root).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        groups.setdefault(row["header"], []).append(row["file"])
+    return list(groups.values())
+
+
+def read_csv(spark: SparkSession, path, schema=schemas.RAW_LISTING, recursive: bool = False,
+             positions: bool = False) -> DataFrame:
+    """One file, a folder of files, or a whole tree. Columns are taken by name; one that is
+    missing, or a value that does not fit its type, is null. The files of a tree may differ in
+    their headers: each kind of header is one scan. `positions` adds `seq`."""
+    def typed(raw: DataFrame) -> DataFrame:
+        return raw.select(*[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+        ], *(["seq"] if positions else []))
+
+    groups = csv_by_header(spark, path) if recursive else [path]
+    if not groups:
+        return typed(spark.createDataFrame([], "seq struct<file:string,block:bigint,line:bigint>"))
+    return reduce(DataFrame.unionByName, [typed(_csv(spark, files, positions)) for files in groups])
+
+
+def read_guide(spark: SparkSession, path, positions: bool = False) -> DataFrame:
     """Guide files by glob pattern, all columns as text."""
-    return _csv(spark, path)
+    return _csv(spark, path, positions)
 
 
 def read_tokens(spark: SparkSession, path) -> DataFrame:
@@ -39,8 +66,8 @@ def read_tokens(spark: SparkSession, path) -> DataFrame:
 
 
 def read_token_lists(spark: SparkSession, root: str) -> DataFrame:
-    """(bucket, token) of all .txt files under a folder; the bucket is the file's path below
-    it without the ending, such as `meal` or `attractions/nature`."""
+    """(bucket, token) of all .txt files under a folder; the bucket is the file's name without the
+    ending, behind `attractions/` if its folder has that name: `meal`, `attractions/nature`."""
     lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.txt").text(root)
     stem = F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -1)
     folder = F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -2)

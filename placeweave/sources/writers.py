@@ -37,9 +37,22 @@ def write_index(df: DataFrame, path: str, group: str, item: str) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(group).json(path)
 
 
-def write_batches(batches: DataFrame, path: str, lines_per_file: int = 10) -> None:
-    """One folder per batch of (batch_no, line)."""
-    batches.repartition("batch_no").write.partitionBy("batch_no").options(maxRecordsPerFile=lines_per_file).text(path)
+# Folders that one export may make.
+EXPORT_BATCHES = 10_000
+
+
+def write_batches(batches: DataFrame, path: str) -> None:
+    """(batch_no, line) as Parquet, ranges of batches in files of the usual size."""
+    batches.repartitionByRange("batch_no").sortWithinPartitions("batch_no").write.parquet(path)
+
+
+def export_batches(batches: DataFrame, path: str) -> None:
+    """One folder per batch of (batch_no, line), for a small number of batches: more than
+    EXPORT_BATCHES are an error."""
+    many = batches.select("batch_no").distinct().limit(EXPORT_BATCHES + 1).count()
+    if many > EXPORT_BATCHES:
+        raise ValueError(f"more than {EXPORT_BATCHES} batches; use write_batches")
+    batches.repartition("batch_no").write.partitionBy("batch_no").text(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -117,3 +117,26 @@ def test_distance(spark):
     for i, (_, _, want) in enumerate(cases):
         assert rows[i][f"d{i}"] == pytest.approx(want, abs=0.002)
     assert rows[-1]["d0"] is None and rows[0]["none"] is None
+
+
+def test_long_rings_load_in_linear_time(spark):
+    import time
+
+    def load(n):
+        ring = spark.range(1).select(F.sequence(F.lit(0), F.lit(n - 1)).alias("steps")).select(F.transform(
+            "steps", lambda s: F.array(F.cos(s * 2 * F.pi() / n), F.sin(s * 2 * F.pi() / n))).alias("ring"))
+        closed = ring.select(F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
+        features = closed.select(
+            F.lit("round").alias("name"), F.lit("R0").alias("country_iso2"), F.lit("state").alias("kind"), F.lit(4).alias("admin_level"),
+            F.lit(None).cast("string").alias("parent_id"),
+            F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates"))).alias("geometry")).cache()
+        begun = time.perf_counter()
+        _, edges, _ = A.load_areas(features)
+        found = edges.agg(F.count("*").alias("n"), F.max("area_size").alias("size")).first()
+        assert found["n"] == n and abs(found["size"] - 3.14159265) < 1e-4
+        return time.perf_counter() - begun
+
+    load(1000)
+    times = [load(n) for n in (10_000, 20_000, 40_000)]
+    # Twice the points may take twice as long, not four times; most is the start of the job.
+    assert times[2] < 3 * times[0] + 2

@@ -175,7 +175,7 @@ def test_buckets_and_theme_lists(spark):
 
 def test_batches_are_full_and_whole(spark):
     lines = spark.createDataFrame([(f" line {i % 97} ",) for i in range(500)] + [("",), ("  ",)], "line string")
-    for digits in (1, 3):
+    for digits in (1, 3, None):
         rows = classify.distinct_batches(lines, 10, digits).collect()
         sizes = {}
         for r in rows:

@@ -80,6 +80,13 @@ def test_csv(spark, tmp_path):
     (tmp_path / "map" / "three.csv").write_text("link,title\nl3,t\n")
     with pytest.raises(Exception, match="header"):
         readers.read_csv(spark, str(tmp_path / "map")).collect()
+    every = {(r["link"], r["title"], r["cid"] if "cid" in r else None) for r in readers.read_csv(spark, str(tmp_path / "map"), recursive=True).collect()}
+    assert {(link, title) for link, title, _ in every} == {("l1", 'A "quoted"\nname'), ("l2", 'A "quoted"\nname'), ("l3", "t")}
+    (tmp_path / "order.csv").write_text("link,title,complete_address,review_count,review_rating,categories\n" + "".join(
+        f'{link},tea,"{{""country"":""SG""}}",99,4.5,cafe\n' for link in ("z", "a", "m")))
+    placed = readers.read_csv(spark, str(tmp_path / "order.csv"), positions=True)
+    assert [r["link"] for r in placed.orderBy("seq").collect()] == ["z", "a", "m"]
+    assert [r["link"] for r in clean.clean_listings(placed).collect()] == ["z"] and "seq" not in clean.clean_listings(placed).columns
     (tmp_path / "guide_1.csv").write_text("ID,Name,PhoneNumber,PriceRange,Images\n1,N,61234567,$$,a\n")
     guide = clean.clean_guide(readers.read_guide(spark, str(tmp_path / "guide*.csv")))
     assert guide.first().asDict() == {"name": "N", "phone": "+6561234567", "price": "$$", "images": ["a"]}
@@ -132,7 +139,9 @@ def test_log_and_batches(spark, tmp_path):
     read = readers.read_assignments(spark, str(tmp_path / "one.jsonl"))
     assert {r["label"]: r["buckets"] for r in classify.last_assignments(read).collect()} == {"x": [], "y": ["exclude"]}
     batches = classify.distinct_batches(spark.range(25).select(F.concat(F.lit("line "), "id").alias("line")))
-    writers.write_batches(batches, str(tmp_path / "batches"))
+    writers.write_batches(batches, str(tmp_path / "rows"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == {tuple(r) for r in batches.collect()}
+    writers.export_batches(batches, str(tmp_path / "batches"))
     again = spark.read.text(str(tmp_path / "batches"))
     assert again.count() == 25 and {r["n"] for r in again.groupBy("batch_no").agg(F.count("*").alias("n")).collect()} == {10, 5}
 
@@ -173,6 +182,26 @@ def test_checkpoint_goes_to_the_named_folder(spark):
     assert spark.sparkContext.getCheckpointDir() is not None
 
 
+def test_broadcasts_are_counted_and_measured(spark, monkeypatch):
+    narrow = spark.range(1000)
+    assert skew.fits_broadcast(narrow, 1000) and not skew.fits_broadcast(narrow, 999)
+    wide = narrow.withColumn("body", F.repeat(F.lit("x"), 1000))
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 500_000)
+    assert skew.fits_broadcast(narrow, 1000) and not skew.fits_broadcast(wide, 1000)
+    joined = skew.lookup_join(spark.range(5), wide, "id", "id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().optimizedPlan().toString() and joined.count() == 5
+    # The count stops one row after the bound: a row behind it would raise.
+    trap = spark.range(0, 100, 1, 1).select(F.when(F.col("id") > 50, F.raise_error(F.lit("read too far"))).otherwise(F.col("id")).alias("id"))
+    assert not skew.fits_broadcast(trap, 20)
+
+
+def test_a_hot_key_reaches_the_tasks(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(4000).withColumn("k", F.lit(1)).withColumn("s", skew.salt("id", skew.salts_for(spark)))
+    dealt = rows.repartition(tasks, "k", "s").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == tasks and max(r["count"] for r in dealt) < 3 * 4000 / tasks
+
+
 def test_numbering_rejects_bad_digits(spark):
     with pytest.raises(ValueError):
         classify.numbered(spark.range(1), "id", 10, 0)
