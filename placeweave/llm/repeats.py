@@ -56,9 +56,13 @@ class Parse:
         whole = np.arange(n) + size <= last  # windows inside one document
         self.windows = np.flatnonzero(whole)
         self.low, self.high = self.windows.copy(), self.windows + size
+        # Without a whole phrase between them, the bounds of a window tell nothing any more.
+        self.safe = np.ones(len(self.windows), bool)
         for k in range(ROUNDS):
             self._runs()
+            self.safe &= self.low < self.high
             self._pairs(np.uint64(k + 1))
+            self.safe &= self.low < self.high
 
     def _following(self, x: np.ndarray) -> np.ndarray:
         """The first phrase bound after each position."""
@@ -119,9 +123,10 @@ def anchors(hashes: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarr
     bounds = parse.starts[parse.starts < len(names)]
     order = join(names[bounds], parse.names[: len(bounds)], 11)
     low = np.searchsorted(bounds, parse.low)
-    high = np.searchsorted(bounds, np.minimum(parse.high, parse.windows + size - ANCHOR), "right")
+    # Whole phrases only: the name of one that begins at the last safe bound may differ.
+    high = np.searchsorted(bounds, np.minimum(parse.high, parse.windows + size - ANCHOR + 1), "left")
     position, name = parse.windows.copy(), np.zeros(len(parse.windows), np.uint64)
-    safe = high > low
+    safe = parse.safe & (high > low)
     chosen = _smallest(order, low[safe], high[safe])
     position[safe], name[safe] = bounds[chosen], names[bounds[chosen]]
     # Without a safe bound, as inside a long run, the window is its own anchor.
