@@ -1,5 +1,7 @@
 """Shared helpers: row keys, tables in the shared folder, connected components."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 LAST_ID = (1 << 63) - 1
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let executors import this package, unless their PYTHONPATH has it: once per application."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(":") or context.applicationId in _SHIPPED:
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="placeweave-code-"), "placeweave"), "zip", root, "placeweave")
+    context.addPyFile(made)
+    _SHIPPED.add(context.applicationId)
+
+
 def order_id(column: str) -> Column:
     """The id by which rows are compared; a null id counts as the largest."""
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
