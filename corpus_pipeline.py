@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from placeweave.llm import decontaminate, ngram_join, packing, quality, repeats
 from placeweave.llm.common import order_id, written
+from placeweave.llm.registry import shipped
 
 # The classifier and the rows of four stages cannot be stated in SQL: tests compare each stage
 # with a brute-force version.
@@ -63,11 +64,11 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
-    ("quality", quality_classifier),
-    ("near_duplicates", near_duplicates),
-    ("repeats", substring_dedup),
-    ("decontamination", benchmark_decontamination),
-    ("packing", best_fit_packing),
+    ("quality", shipped(quality_classifier)),
+    ("near_duplicates", shipped(near_duplicates)),
+    ("repeats", shipped(substring_dedup)),
+    ("decontamination", shipped(benchmark_decontamination)),
+    ("packing", shipped(best_fit_packing)),
 ]
 
 
