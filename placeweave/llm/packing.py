@@ -2,7 +2,8 @@
 
 Each input task encodes its documents, cuts only those that are too long, and packs what is left
 best-fit decreasing. Bins that are nearly full are final; underfull ones go up a tree of fewer
-and fewer tasks, where a bin is one item and is packed best-fit with others. Each round is
+and fewer tasks, where a bin is one item and is packed best-fit with others, or is opened where
+its pieces alone take fewer bins. Each round is
 written to the shared folder, so that a lost executor changes nothing that a later round has
 used. A task passes on its emptiest bins, at most `CARRY`: the rest are final as they are, which
 loses no document, and at most part of a sequence that could have been shared.
@@ -62,9 +63,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(items: list[list[tuple]], length: int, last: bool, number: int):
-    """Pack items (lists of pieces) into bins and yield the rows of a round in batches."""
+    """Pack items (lists of pieces) into bins and yield the rows of a round in batches. Where
+    bins are the items, they are opened if their pieces need fewer bins one by one."""
     sizes = [sum(p[3] for p in item) for item in items]
     bins = best_fit(sizes, length)
+    pieces = [piece for item in items for piece in item]
+    if len(pieces) > len(items):
+        alone = best_fit([p[3] for p in pieces], length)
+        if len(alone) < len(bins):
+            items, sizes, bins = [[p] for p in pieces], [p[3] for p in pieces], alone
     used = [sum(sizes[i] for i in members) for members in bins]
     rest = sorted((u, b) for b, u in enumerate(used) if length - u > NEARLY_FULL)
     up = set() if last else {b for _, b in rest[:CARRY]}
