@@ -116,7 +116,8 @@ class Archive:
         raw = dictionary.as_bytes()
         files, path = _file(self.path)
         files.create_dir(path.rpartition("/")[0], recursive=True)
-        self._out = files.open_output_stream(path)
+        # The file's ending must not make the file system compress once more.
+        self._out = files.open_output_stream(path, compression=None)
         self._out.write(struct.pack("<II", _SKIPPABLE, len(raw)) + raw)
         self._compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary).compress
         for data in self._waiting:
@@ -134,7 +135,7 @@ def read_archive(path: str):
     import zstandard
 
     files, path = _file(path)
-    with files.open_input_stream(path) as source:
+    with files.open_input_stream(path, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != _SKIPPABLE:
             raise ValueError(f"{path} does not begin with a dictionary")
