@@ -27,6 +27,7 @@ SELECT p.p_partkey AS id,
        CASE WHEN p.p_partkey % 13 = 0 THEN NULL ELSE p.p_size % 3 = 0 END AS vegan_options,
        p.p_size % 7 = 0 AS vegetarian_options,
        CASE WHEN p.p_partkey % 17 = 0 THEN NULL ELSE p.p_size % 5 = 0 END AS kids_friendly,
+       CASE WHEN p.p_partkey % 7 = 0 THEN NULL ELSE 'from ' || CAST(p.p_size AS STRING) END AS open_hours,
        p.p_size % 4 = 0 AS pets_friendly,
        p.p_partkey % 6 = 0 AS wheelchair_accessible_entrance,
        CASE WHEN p.p_partkey % 19 = 0 THEN NULL ELSE p.p_partkey % 10 = 0 END AS wheelchair_accessible_seating,

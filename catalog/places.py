@@ -269,7 +269,8 @@ SELECT id, name, replace(categories_csv, ',', '|') AS categories,
        CASE WHEN list_contains(roles, 'attraction') THEN {ordered('themes', THEME_ORDER)} ELSE '' END AS themes,
        {ordered('roles', ROLE_ORDER)} AS roles, review_count, CAST(review_rating AS DOUBLE) AS review_rating, latitude, longitude,
        CASE WHEN images_csv IS NULL THEN '' ELSE split_part(images_csv, ',', 1) END AS images,
-       kids_friendly, halal_food, vegan_options, vegetarian_options, role_pick, area_name, round(distance_m, 3) AS distance_m
+       open_hours, kids_friendly, pets_friendly, wheelchair_accessible_entrance, wheelchair_accessible_seating, wheelchair_accessible_toilet,
+       halal_food, vegan_options, vegetarian_options, role_pick, area_name, round(distance_m, 3) AS distance_m
 FROM (
   SELECT *, row_number() OVER (PARTITION BY role_pick ORDER BY {_ORDER}) AS rn_role,
          row_number() OVER (PARTITION BY id ORDER BY CASE role_pick WHEN 'attraction' THEN 1 WHEN 'meal' THEN 2 ELSE 3 END) AS rn_id
@@ -297,8 +298,9 @@ def poi_candidates(spark, sf):
     return found.select(
         "id", "name", F.array_join("categories", "|").alias("categories"), F.array_join("themes", ",").alias("themes"),
         F.array_join("roles", ",").alias("roles"), "review_count", F.col("review_rating").cast("double").alias("review_rating"),
-        "latitude", "longitude", F.array_join("images", ",").alias("images"), "kids_friendly", "halal_food", "vegan_options",
-        "vegetarian_options", "role_pick", "area_name", F.round("distance_m", 3).alias("distance_m"))
+        "latitude", "longitude", F.array_join("images", ",").alias("images"), "open_hours", "kids_friendly", "pets_friendly",
+        "wheelchair_accessible_entrance", "wheelchair_accessible_seating", "wheelchair_accessible_toilet", "halal_food",
+        "vegan_options", "vegetarian_options", "role_pick", "area_name", F.round("distance_m", 3).alias("distance_m"))
 
 
 def _grams(text: str) -> str:

@@ -55,14 +55,18 @@ def _folds():
 def to_ascii(c) -> Column:
     """Compatibility-decompose, then drop what is not ASCII. A decomposition works character
     by character, so a lookup table generated from the Unicode data gives the same text and
-    stays out of Python workers. ASCII strings skip the tables."""
+    stays out of Python workers. ASCII strings skip the tables, and strings without a character
+    that becomes several skip the slower one."""
     one, many = _folds()
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
 
-    def fold(s):
+    def widen(s):
         present = F.array_distinct(F.regexp_extract_all(s, F.lit(f"({_NON_ASCII})"), F.lit(1)))
         known = F.filter(present, lambda ch: F.try_element_at(table, ch).isNotNull())
-        widened = F.aggregate(known, s, lambda acc, ch: F.replace(acc, ch, F.try_element_at(table, ch)))
+        return F.aggregate(known, s, lambda acc, ch: F.replace(acc, ch, F.try_element_at(table, ch)))
+
+    def fold(s):
+        widened = F.when(F.translate(s, "".join(many), "") == s, s).otherwise(widen(s))
         narrow = F.translate(widened, "".join(one), "".join(one.values()))
         return F.when(s.rlike(_NON_ASCII), F.regexp_replace(narrow, _NON_ASCII, "")).otherwise(s)
 

@@ -6,16 +6,19 @@ the point can be crossed, so edges are filed under latitude bands (and under the
 the area's western end to the edge), and points meet them in an equi-join.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions.geo import on_segment, segments_meet, turn
 from placeweave.functions.text import once
+from placeweave.operators import skew
 from placeweave.operators.skew import first_per_group, lookup_join, with_totals
 
 BAND = 0.05
 COLUMN = 5.0
 CELL = 0.5
+# Edges may be broadcast up to so many times the usual number of rows: they are a few numbers.
+NARROW = 5
 
 _RING = "array<array<double>>"
 
@@ -128,20 +131,59 @@ def banded_edges(edges: DataFrame, band: float = BAND, column: float = COLUMN) -
     return laid.withColumn("band", F.explode(bands)).withColumn("strip", F.explode(columns)).drop("west")
 
 
+def _relation(edge, px: Column, py: Column) -> tuple[Column, Column]:
+    """Does the ray from a point to the east cross an edge, and does the point lie on it?"""
+    ax, ay, bx, by = (edge(c) for c in ("ax", "ay", "bx", "by"))
+    crosses = (ay <= py) & (py < by) & (turn(ax, ay, bx, by, px, py) > 0)
+    return crosses, on_segment(ax, ay, bx, by, px, py)
+
+
+def with_areas(points: DataFrame, banded: DataFrame, facts, lon: str, lat: str, out: str, band: float, column: float) -> DataFrame:
+    """Points with the areas that hold each, as an array of structs of `facts` (ending with the
+    area's id). `banded` is small enough to broadcast: the edges of a band and strip become an
+    array, every point meets one, and no point is shuffled."""
+    laid = banded.groupBy(F.col("band").alias("__b"), F.col("strip").alias("__s")).agg(F.collect_list(F.struct(
+        F.struct(*facts).alias("area"), "ax", "ay", "bx", "by")).alias("__edges"))
+    keyed = points.withColumns({
+        "__band": F.floor(F.col(lat) / band), "__strip": F.floor(F.col(lon) / column)})
+    met = keyed.join(F.broadcast(laid), (F.col("__band") == F.col("__b")) & (F.col("__strip") == F.col("__s")), "left")
+
+    def close(e):
+        crosses, touches = _relation(lambda c: e[c], F.col(lon), F.col(lat))
+        return F.struct(e["area"].alias("area"), crosses.alias("crosses"), touches.alias("touches"))
+
+    def holding(found):
+        def inside(area):
+            mine = F.filter(found, lambda h: h["area"] == area)
+            return (F.size(F.filter(mine, lambda h: h["crosses"])) % 2 == 1) | F.exists(mine, lambda h: h["touches"])
+        return F.filter(F.array_distinct(F.transform(found, lambda h: h["area"])), inside)
+
+    near = F.filter(F.transform("__edges", close), lambda h: h["crosses"] | h["touches"])
+    return met.withColumn(out, once(near, holding)).select(*points.columns, out)
+
+
 def points_in_areas(points: DataFrame, edges: DataFrame, id_col: str = "id", lon: str = "longitude",
                     lat: str = "latitude", carry=(), band: float = BAND, column: float = COLUMN) -> DataFrame:
     """(id, area_id) for every area that holds the point, its border included. Rows that
     neither cross the ray nor touch the point are dropped inside the join, so few are left to
     aggregate. Points without coordinates are in no area. `carry` names columns of `edges`
     that are the same all over an area, or `area_size`, to be passed on."""
+    banded = banded_edges(edges, band, column)
+    if skew.fits_broadcast(banded, skew.BROADCAST_ROWS * NARROW):
+        facts = [c for c in carry if c != "area_id"] + ["area_id"]
+        held = with_areas(points.select(id_col, lon, lat), banded, facts, lon, lat, "__areas", band, column)
+        return held.select(id_col, F.inline("__areas")).select(id_col, "area_id", *carry)
+    return _crossings(points, banded, id_col, lon, lat, carry, band, column)
+
+
+def _crossings(points: DataFrame, banded: DataFrame, id_col: str, lon: str, lat: str, carry, band: float, column: float) -> DataFrame:
+    """The same for edges that are too many to broadcast: a salted join and a count per pair."""
     placed = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(
         id_col, F.col(lon).alias("px"), F.col(lat).alias("py"),
         F.floor(F.col(lat) / band).alias("band"), F.floor(F.col(lon) / column).alias("strip"),
     )
-    ax, ay, bx, by, px, py = (F.col(c) for c in ("ax", "ay", "bx", "by", "px", "py"))
-    crosses = (ay <= py) & (py < by) & (turn(ax, ay, bx, by, px, py) > 0)
-    touches = on_segment(ax, ay, bx, by, px, py)
-    met = lookup_join(placed, banded_edges(edges, band, column), ["band", "strip"], id_col, narrow=5)
+    crosses, touches = _relation(F.col, F.col("px"), F.col("py"))
+    met = lookup_join(placed, banded, ["band", "strip"], id_col, small_rows=skew.BROADCAST_ROWS * NARROW + 1, narrow=NARROW)
     return (
         met.select(id_col, "area_id", *carry, crosses.cast("int").alias("crosses"), touches.alias("touches"))
         .filter("crosses = 1 OR touches")
@@ -154,9 +196,21 @@ def points_in_areas(points: DataFrame, edges: DataFrame, id_col: str = "id", lon
 
 def smallest_area(points: DataFrame, edges: DataFrame, id_col: str = "id", **columns) -> DataFrame:
     """(id, area_id): the smallest area that holds the point; of equals the lowest id."""
-    pairs = points_in_areas(points, edges, id_col, carry=["area_size"], **columns)
-    best = F.min(F.struct("area_size", "area_id"))["area_id"]
-    return pairs.groupBy(id_col).agg(best.alias("area_id"))
+    return with_first_area(points, edges, "area_size", id_col, **columns).filter("area_id IS NOT NULL").select(id_col, "area_id")
+
+
+def with_first_area(points: DataFrame, edges: DataFrame, rank: str, id_col: str = "id", out: str = "area_id",
+                    lon: str = "longitude", lat: str = "latitude", band: float = BAND, column: float = COLUMN) -> DataFrame:
+    """Points (with unique ids) with the first of the areas that hold them, by a column of the
+    edges and then by id; null where there is none. Points are shuffled only if the edges are
+    too many to broadcast."""
+    banded = banded_edges(edges, band, column)
+    if skew.fits_broadcast(banded, skew.BROADCAST_ROWS * NARROW):
+        held = with_areas(points, banded, [rank, "area_id"], lon, lat, "__areas", band, column)
+        return held.withColumn(out, F.array_min("__areas")["area_id"]).drop("__areas")
+    pairs = _crossings(points, banded, id_col, lon, lat, [rank], band, column)
+    first = pairs.groupBy(id_col).agg(F.min(F.struct(rank, "area_id"))["area_id"].alias(out))
+    return points.join(first, id_col, "left")
 
 
 def link_poi_areas(pois: DataFrame, areas: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
@@ -165,9 +219,7 @@ def link_poi_areas(pois: DataFrame, areas: DataFrame, edges: DataFrame, id_col:
     linkable = areas.filter(F.col("kind").isin("country", "state")).select(
         F.col("id").alias("area_id"), F.when(F.col("kind") == "state", 0).otherwise(1).alias("rank"))
     borders = lookup_join(edges, linkable, "area_id", _COORDINATES)
-    pairs = points_in_areas(pois, borders, id_col, carry=["rank"])
-    pick = pairs.groupBy(id_col).agg(F.min(F.struct("rank", "area_id"))["area_id"].alias("_area"))
-    linked = pois.join(pick, id_col, "left")
+    linked = with_first_area(pois, borders, "rank", id_col, out="_area")
     old = F.col("admin_area_id") if "admin_area_id" in pois.columns else F.lit(None).cast("string")
     return linked.withColumn("admin_area_id", F.coalesce("_area", old)).drop("_area")
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from placeweave.constants import THEMES
 from placeweave.functions import geo, media, scoring
-from placeweave.operators.areas import smallest_area
+from placeweave.operators.areas import with_first_area
 from placeweave.operators.poi import has_role, with_themes
 from placeweave.operators.skew import BROADCAST_ROWS, lookup_join, small_values, top_per_group
 
@@ -219,7 +219,7 @@ def poi_candidates(pois: DataFrame, areas: DataFrame, edges: DataFrame, theme_ma
         "themes", F.when(has_role("attraction"), F.col("all_themes")).otherwise(F.array().cast("array<string>"))
     ).select("id", "poi_roles", "themes", "review_rating", "review_count", "latitude", "longitude")
 
-    placed = able.join(smallest_area(able, borders), "id")
+    placed = with_first_area(able, borders, "area_size").filter("area_id IS NOT NULL")
     rows = role_rows(score(placed, want.themes, seed_lon, seed_lat), want.roles).select(
         "id", "area_id", "role_pick", "themes", "theme_match", "quality_score", "distance_m")
     quotas = dict(zip(("attraction", "meal", "accommodation"),

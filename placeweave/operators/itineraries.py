@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeweave.operators.skew import lookup_join, with_totals
+from placeweave.operators.skew import cut_lineage, lookup_join, with_totals
 
 LISTS = ("destinations", "hotels", "mandatory_pois", "ideas")
 OBJECTS = ("dates", "travelers", "preferences", "flags", "plan")
@@ -85,13 +85,11 @@ def read_itineraries(requests: DataFrame, itineraries: DataFrame, guest_policy:
 
 def _with_lives(requests: DataFrame, chunks: int) -> DataFrame:
     """Add `life`, the number of earlier deletes of the same plan, and `last_life`, the number
-    of all. Requests are cut into ranges of `seq`; deletes are counted per plan and range, the
-    counts are summed up over the ranges, and only within a range are a plan's requests put
-    in order."""
-    bounds = requests.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    low = bounds.select("lo").scalar()
-    width = bounds.select((F.col("hi") - F.col("lo")) / chunks + 1).scalar()
-    cut = requests.withColumn("_chunk", F.floor((F.col("seq") - low) / width))
+    of all. Requests are dealt into ranges of `seq` with about as many rows each; deletes are
+    counted per plan and range, the counts are summed up over the ranges, and only within a
+    range are a plan's requests put in order. The ranges are written, so that all later steps
+    see the same ones."""
+    cut = cut_lineage(requests.repartitionByRange(chunks, "seq").withColumn("_chunk", F.spark_partition_id()))
     deletes = (F.col("op") == "delete").cast("int")
     counts = cut.groupBy("id", "_chunk").agg(F.sum(deletes).alias("n"))
     earlier = Window.partitionBy("id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,18 +186,20 @@ def assign_ids(requests: DataFrame) -> DataFrame:
 
 def apply_itinerary_changes(snapshot: DataFrame, requests: DataFrame, as_of=None,
                             guest_policy: str = "documented", preserve_missing: bool = False,
-                            chunks: int = 256) -> tuple[DataFrame, DataFrame]:
+                            chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply requests (seq unique, op, id, user_id, field columns, optional ts) to a snapshot, in
     the order of `seq`. Returns the new snapshot and the outcomes (seq, id, op, success,
     error_code). `as_of` stamps requests without a `ts` column; it defaults to the clock.
 
-    `preserve_missing=False` is the published upsert: a field left out is reset to its default."""
+    `preserve_missing=False` is the published upsert: a field left out is reset to its default.
+    `chunks` is the number of ranges of `seq`, as many as there are shuffle partitions by default."""
     for field in (*FIELDS, "status"):
         if field not in requests.columns:
             requests = requests.withColumn(field, F.lit(None).cast("string"))
     if "ts" not in requests.columns:
         requests = requests.withColumn("ts", F.lit(as_of) if as_of is not None else F.current_timestamp())
     requests = assign_ids(requests)
+    chunks = chunks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Without an id nothing can be found; such requests would all meet in one group.
     keyless = requests.filter("id IS NULL").withColumns({
         "present": F.lit(False), "owner": F.lit(None).cast(snapshot.schema["user_id"].dataType)})
@@ -207,7 +207,9 @@ def apply_itinerary_changes(snapshot: DataFrame, requests: DataFrame, as_of=None
         "error_code": F.when(F.col("op").isin("create", "upsert"), "id_is_null").otherwise(F.col("error_code")),
         "success": F.lit(False)})
     control = requests.filter("id IS NOT NULL").select("seq", "id", "op", "user_id")
-    met = _with_outcome(_with_state(control, snapshot, chunks), guest_policy)
+    # Both results start from here.
+    met = cut_lineage(_with_outcome(_with_state(control, snapshot, chunks), guest_policy).select(
+        "seq", "id", "op", "user_id", "life", "last_life", "present", "owner", "success", "error_code"))
     columns = ("seq", "id", "op", "success", "error_code")
     outcomes = met.select(*columns).unionByName(keyless_out.select(*columns))
 

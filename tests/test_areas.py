@@ -140,3 +140,12 @@ def test_long_rings_load_in_linear_time(spark):
     times = [load(n) for n in (10_000, 20_000, 40_000)]
     # Twice the points may take twice as long, not four times; most is the start of the job.
     assert times[2] < 3 * times[0] + 2
+
+
+def test_points_are_not_shuffled_while_edges_fit(spark):
+    from catalog import places
+
+    plan = A.link_poi_areas(places.plain_pois(spark, "/root/testdata/sf0.001").select("id", "admin_area_id", "longitude", "latitude"),
+                            places.areas(spark, "/root/testdata/sf0.001"), places.edges(spark, "/root/testdata/sf0.001"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in text and "SortMergeJoin" not in text

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from placeweave.operators import itineraries as T
 
@@ -67,24 +68,25 @@ def one_at_a_time(snapshot, requests, guests_pass, preserve):
     return plans, outcomes
 
 
-def random_case(seed, n):
+def random_case(seed, n, share=0.5):
     rng = random.Random(seed)
     snapshot = [{"id": f"p{i}", "created_at": T0, "updated_at": T0, "user_id": rng.choice([None, 1, 2]),
                  **{f: rng.choice([None, f"old {f}"]) for f in T.FIELDS}, "status": "active"} for i in range(6)]
     requests = []
     for seq in range(n):
         requests.append({
-            # One plan gets half of all requests.
-            "seq": seq * 3 + 5, "id": "p0" if rng.random() < 0.5 else f"p{rng.randint(1, 9)}",
+            # One plan gets half of all requests, or all, and one number lies far from the others.
+            "seq": seq * 3 + 5 + (10 ** 12 if seq == n - 1 else 0), "id": "p0" if rng.random() < share else f"p{rng.randint(1, 9)}",
             "op": rng.choice([*T.OPS, "claim", "update_meta", "nonsense"]), "user_id": rng.choice([None, 1, 2, 3]),
             **{f: rng.choice([None, f"{f} {seq}"]) for f in T.FIELDS}, "status": rng.choice([None, "archived"]), "ts": stamp(seq)})
     return snapshot, requests
 
 
-@pytest.mark.parametrize("seed, n, guests, preserve, chunks", [
-    (1, 400, "documented", False, 16), (2, 400, "as_coded", True, 1), (3, 60, "documented", True, 256), (4, 12, "as_coded", False, 5)])
-def test_changes_equal_one_at_a_time(spark, seed, n, guests, preserve, chunks):
-    snapshot, requests = random_case(seed, n)
+@pytest.mark.parametrize("seed, n, guests, preserve, chunks, share", [
+    (1, 400, "documented", False, 16, 0.5), (2, 400, "as_coded", True, 1, 0.5), (3, 60, "documented", True, 256, 0.5),
+    (4, 12, "as_coded", False, 5, 0.5), (5, 400, "documented", False, None, 1.0)])
+def test_changes_equal_one_at_a_time(spark, seed, n, guests, preserve, chunks, share):
+    snapshot, requests = random_case(seed, n, share)
     snap = spark.createDataFrame([tuple(p[c] for c in T.COLUMNS) for p in snapshot], SNAP)
     names = [f.split()[0] for f in REQ.split(", ")]
     reqs = spark.createDataFrame([tuple(r[c] for c in names) for r in requests], REQ)
@@ -97,6 +99,18 @@ def test_changes_equal_one_at_a_time(spark, seed, n, guests, preserve, chunks):
         k: tuple(p[c] for c in T.COLUMNS) for k, p in plans.items()}
 
 
+def test_busy_plans_are_dealt_over_ranges(spark):
+    reqs = spark.range(1000).select(
+        F.when(F.col("id") == 999, 10 ** 12).otherwise(F.col("id")).alias("seq"), F.lit("p").alias("id"), F.lit("update").alias("op"), F.lit(1).alias("user_id"))
+    reqs = reqs.withColumn("seq", F.col("seq").cast("long"))
+    lives = T._with_lives(reqs, 8)
+    scans = lives._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in scans and "Range (" not in scans  # the ranges are read from what was written
+    snap = spark.createDataFrame([], SNAP)
+    after, outcomes = T.apply_itinerary_changes(snap, reqs, as_of=T0)
+    assert {r["error_code"] for r in outcomes.select("error_code").distinct().collect()} == {"not_found"} and after.count() == 0
+
+
 def test_ids_and_time_are_filled_in(spark):
     snap = spark.createDataFrame([], SNAP)
     reqs = spark.createDataFrame([(1, None, "create", 7, "t"), (2, None, "update", 7, "t"), (3, None, "claim", None, None), (4, None, "upsert", 7, "t")],
