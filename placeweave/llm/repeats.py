@@ -37,8 +37,8 @@ SIZE = 20
 ROUNDS = 2
 # Words that an anchor's name stands for.
 ANCHOR = 6
-# Words that are recompressed together.
-CHUNK = 400_000
+# Words that are recompressed together, when anchors are found and when windows are named.
+CHUNK, NAMED_CHUNK = 100_000, 400_000
 
 _RUN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -48,8 +48,8 @@ class Parse:
 
     def __init__(self, hashes: np.ndarray, begins: np.ndarray, size: int):
         """`begins`: where documents begin in `hashes`, and the end."""
-        n = len(hashes)
-        self.starts, self.names = np.arange(n), mix(hashes)
+        n = self._count = len(hashes)
+        self._cut(np.arange(n), mix(hashes))
         self._barrier = np.zeros(n + 1, bool)
         self._barrier[begins] = True
         last = np.repeat(begins[1:], np.diff(begins))
@@ -64,14 +64,21 @@ class Parse:
             self._pairs(np.uint64(k + 1))
             self.safe &= self.low < self.high
 
+    def _cut(self, starts: np.ndarray, names: np.ndarray) -> None:
+        self.starts, self.names = starts, names
+        marks = np.zeros(self._count + 2, np.int64)
+        marks[starts + 1] = 1
+        # Number of phrases that begin before each position.
+        self.before = np.cumsum(marks)
+
     def _following(self, x: np.ndarray) -> np.ndarray:
         """The first phrase bound after each position."""
-        bounds = np.append(self.starts, len(self._barrier) - 1)
-        return bounds[np.minimum(np.searchsorted(bounds, x, "right"), len(bounds) - 1)]
+        bounds = np.append(self.starts, self._count)
+        return bounds[np.minimum(self.before[x + 1], len(self.starts))]
 
     def _containing(self, x: np.ndarray) -> np.ndarray:
         """The phrase that has each position."""
-        return np.searchsorted(self.starts, x, "right") - 1
+        return self.before[x + 1] - 1
 
     def _runs(self) -> None:
         head = np.ones(len(self.names), bool)
@@ -79,8 +86,7 @@ class Parse:
         at = np.flatnonzero(head)
         length = np.diff(np.append(at, len(head)))
         names = self.names[at]
-        self.names = np.where(length > 1, mix(names + length.astype(np.uint64) * _RUN), names)
-        self.starts = self.starts[at]
+        self._cut(self.starts[at], np.where(length > 1, mix(names + length.astype(np.uint64) * _RUN), names))
         # The run at either end of a window may go on outside it.
         self.low = self._following(self.low)
         self.high = self.starts[self._containing(self.high - 1)]
@@ -88,7 +94,7 @@ class Parse:
     def _pairs(self, seed: np.uint64) -> None:
         right = (mix(self.names + seed) >> np.uint64(63)).astype(bool)
         # A left symbol at the window's end, or a right one at its start, may pair outside.
-        first = np.minimum(self._containing(self.low), len(right) - 1)
+        first = self._containing(np.minimum(self.low, self._count - 1))
         after = self._following(self.low)
         self.low = np.where(right[first], after, self.low)
         final = self._containing(self.high - 1)
@@ -99,7 +105,7 @@ class Parse:
         names = self.names.copy()
         at = np.flatnonzero(pair)
         names[at] = join(self.names[at], self.names[at + 1], int(seed))
-        self.names, self.starts = names[~second], self.starts[~second]
+        self._cut(self.starts[~second], names[~second])
 
 
 def _smallest(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -122,9 +128,9 @@ def anchors(hashes: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarr
     names = windows(hashes, ANCHOR, seed=7)
     bounds = parse.starts[parse.starts < len(names)]
     order = join(names[bounds], parse.names[: len(bounds)], 11)
-    low = np.searchsorted(bounds, parse.low)
+    low = np.minimum(parse.before[parse.low], len(bounds))
     # Whole phrases only: the name of one that begins at the last safe bound may differ.
-    high = np.searchsorted(bounds, np.minimum(parse.high, parse.windows + size - ANCHOR + 1), "left")
+    high = np.minimum(parse.before[np.minimum(parse.high, parse.windows + size - ANCHOR + 1)], len(bounds))
     position, name = parse.windows.copy(), np.zeros(len(parse.windows), np.uint64)
     safe = parse.safe & (high > low)
     chosen = _smallest(order, low[safe], high[safe])
@@ -136,26 +142,26 @@ def anchors(hashes: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarr
     return parse.windows, position, name
 
 
-def chunks(batches, text_column: int, seen: WordHashes):
+def chunks(batches, text_column: int, seen: WordHashes, most: int):
     """Batches in chunks: (batch, first row, word hashes, where documents begin)."""
     for batch in batches:
         texts, first, parts, total = batch.column(text_column), 0, [], 0
         for i in range(len(texts)):
             parts.append(seen.of((texts[i].as_py() or "").encode("utf-8", "replace").split()))
             total += len(parts[-1])
-            if total >= CHUNK or i == len(texts) - 1:
+            if total >= most or i == len(texts) - 1:
                 begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                 yield batch, first, np.concatenate(parts), begins
                 first, parts, total = i + 1, [], 0
 
 
 def scan(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (key, tie, n, node, proof, names, again): all documents' words as two hashes, the
-    names of the document's anchors, and those that it has in several places. Of equal documents
-    in a task the first has the names."""
+    """Rows (key, tie, n, node, proof, names, again): all documents' words as two hashes, and the
+    names of the document's anchors, apart from those that it has in several places. Of equal
+    documents in a task the first has the names."""
     def task(batches):
         seen, known = WordHashes(), set()
-        for batch, first, hashes, begins in chunks(batches, 2, seen):
+        for batch, first, hashes, begins in chunks(batches, 2, seen, CHUNK):
             count = len(begins) - 1
             sizes = np.diff(begins)
             prints = [hashes[begins[i]:begins[i + 1]].tobytes() for i in range(count)]
@@ -164,15 +170,22 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
             names, again = [[]] * count, [[]] * count
             if len(hashes) >= size:
                 start, position, name = anchors(hashes, begins, size)
+                # Windows that follow each other mostly share their anchor.
+                fresh = np.append(True, position[1:] != position[:-1])
+                start, position, name = start[fresh], position[fresh], name[fresh]
                 doc = np.searchsorted(begins, start, "right") - 1
-                places = np.unique(np.stack([doc.astype(np.uint64), name, position.astype(np.uint64)], 1), axis=0)
-                pairs, times = np.unique(places[:, :2], axis=0, return_counts=True)
-                cut = np.searchsorted(pairs[:, 0], np.arange(count + 1).astype(np.uint64))
+                order = np.lexsort((position, name, doc))
+                doc, name, position = doc[order], name[order], position[order]
+                head = np.append(True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1]))
+                moved = np.append(False, ~head[1:] & (position[1:] != position[:-1]))
+                often = np.add.reduceat(moved, np.flatnonzero(head)) > 0
+                doc, name = doc[head], name[head].view(np.int64)
+                cut = np.searchsorted(doc, np.arange(count + 1))
                 for i in np.flatnonzero(np.diff(cut)):
                     if (nodes[i], proofs[i]) not in known:
                         known.add((nodes[i], proofs[i]))
-                        mine = pairs[cut[i]:cut[i + 1], 1].view(np.int64)
-                        names[i], again[i] = mine, mine[times[cut[i]:cut[i + 1]] > 1]
+                        mine, twice = name[cut[i]:cut[i + 1]], often[cut[i]:cut[i + 1]]
+                        names[i], again[i] = mine[~twice], mine[twice]
             rows = batch.slice(first, count)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -186,13 +199,13 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
 
 def repeated_names(rows: DataFrame) -> DataFrame:
     """Rows (node, names): the anchors of a node that other nodes have too, or it itself again."""
-    found = rows.select("node", F.explode("names").alias("name"), F.lit(False).alias("again")).unionByName(
-        rows.select("node", F.explode("again").alias("name"), F.lit(True).alias("again")))
-    several = (
-        found.groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("again").alias("again"))
-        .filter("a <> b OR again").select("name")
-    )
-    return found.filter("NOT again").select("node", "name").join(several, "name").groupBy("node").agg(F.collect_set("name").alias("names"))
+    def told(column, again):
+        return F.transform(column, lambda name: F.struct(name.alias("name"), F.lit(again).alias("again")))
+
+    found = rows.select("node", F.explode(F.concat(told("names", False), told("again", True))).alias("anchor")).select("node", "anchor.*")
+    near = Window.partitionBy("name").orderBy("node")
+    beside = found.select("node", "name", "again", F.lag("node").over(near).alias("a"), F.lead("node").over(near).alias("b"))
+    return beside.filter("again OR a <> node OR b <> node").groupBy("node").agg(F.collect_set("name").alias("names"))
 
 
 def shared_windows(docs: DataFrame, size: int) -> DataFrame:
@@ -203,7 +216,7 @@ def shared_windows(docs: DataFrame, size: int) -> DataFrame:
 
     def task(batches):
         seen = WordHashes()
-        for batch, first, hashes, begins in chunks(batches, text_at, seen):
+        for batch, first, hashes, begins in chunks(batches, text_at, seen, NAMED_CHUNK):
             if len(hashes) < size:
                 continue
             rows = batch.slice(first, len(begins) - 1)

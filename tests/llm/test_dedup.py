@@ -175,6 +175,7 @@ def removed_brute(docs, ties, size):
 @pytest.mark.parametrize("seed,size", [(0, 20), (1, 20), (2, 8), (3, 20)])
 def test_repeats_equal_brute_force(spark, tables, monkeypatch, seed, size):
     monkeypatch.setattr(R, "CHUNK", 500)
+    monkeypatch.setattr(R, "NAMED_CHUNK", 700)
     rng = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(30)]
     texts = corpus(seed, 60) + ["run " * 70, "run " * 25 + "end", "start " + "run " * 40, "a b " * 40, "x a b " * 30, "b a " * 21]
