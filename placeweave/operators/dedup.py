@@ -75,7 +75,8 @@ def dedup_brand_country(df: DataFrame, id_col: str = "link") -> DataFrame:
 
 def brand_country_log(df: DataFrame, id_col: str = "link") -> DataFrame:
     """What happened, and why, to each listing whose brand occurs twice or more in a country."""
-    marked = _brand_marks(df, id_col).filter(
+    narrow = df.select(id_col, "title", "complete_address", "review_count", "review_rating")
+    marked = _brand_marks(narrow, id_col).filter(
         F.col("country").isNotNull() & ~text.is_brand_exempt("base_name")
     )
     sized = with_totals(

@@ -78,9 +78,11 @@ def cascade_delete(children: DataFrame, deleted: DataFrame, key: str, row_id: st
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
-    """Rows whose parent is named but does not exist."""
-    known = parents.select(F.col(parent_key).alias(key)).distinct()
-    return children.filter(F.col(key).isNotNull()).join(known, key, "left_anti").select(*children.columns)
+    """Rows whose parent is named but does not exist. Only the distinct parents named are looked
+    up among all parents; the children of one parent are spread."""
+    named = children.select(key).filter(F.col(key).isNotNull()).distinct()
+    missing = named.join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
+    return lookup_join(children, missing, key, children.columns).select(*children.columns)
 
 
 def fill_from(target: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
