@@ -2,12 +2,14 @@
 
 All n-grams have one global order: those that a corpus-wide count sketch shows as frequent come
 last, the others are ordered by hash. Two sets of Jaccard similarity s share a gram within the
-first (1 - s) part of either, so only these prefixes are shuffled. Documents that meet at a
-prefix gram and whose sizes allow the similarity are chained, and the chains' connected parts
-(candidates) are joined exactly, each in a prefix tree: sets are paths, shared partial overlaps
-are counted once, and subtrees whose remaining length cannot reach the similarity are left out,
-as are those that are already connected to the probe. Candidate parts too large for one task are
-cut into blocks, and each pair of blocks is a task of bounded size.
+first (1 - s) part of either, and k grams within prefixes that are k - 1 longer. Only such
+prefixes are shuffled. Sets that share fewer than k prefix grams with sets of fitting size are
+out, and of the others those that share less than s of all their grams with such sets. The rest
+are chained where they meet at a prefix gram, and the chains' connected parts (candidates) are
+joined exactly, each in a prefix tree: sets are paths, shared partial overlaps are counted once,
+and subtrees whose remaining length cannot reach the similarity are left out, as are those that
+are already connected to the probe. Candidate parts too large for one task are cut into blocks,
+and each pair of blocks is a task of bounded size.
 
 Equal sets are one node, so copies cost nothing. The result is a component per document; links
 within a component are not all listed. The count sketch has a fixed size and orders grams only:
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeweave.llm.common import LAST_ID, components, order_id, written
-from placeweave.llm.shingles import WordHashes, shingle_set
+from placeweave.llm.shingles import WordHashes, shingle_sets, slices
 
 SIZE = 5
 # Similarity as a fraction: 75 of 100.
 SIMILAR, OF = 75, 100
+# Share of a set by which its prefix is longer than one common gram asks for.
+EXTRA, OF_EXTRA = 8, 100
 # Cells of the count sketch, its parts, and how far above the mean a cell is frequent.
 CELLS, PARTS, FREQUENT, LEAST_FREQUENT = 1 << 21, 64, 4, 16
 # Grams that a task joins at most; larger candidate parts are cut into blocks of half as many.
@@ -48,8 +52,10 @@ def count_sketch(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         seen, cells = WordHashes(), np.zeros(CELLS, np.int64)
         for batch in batches:
-            grams = [shingle_set(t.as_py(), size, seen) for t in batch.column(0)]
-            cells += np.bincount((np.concatenate(grams) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            for texts in slices(batch.column(0)):
+                grams = np.concatenate(shingle_sets(texts, size, seen))
+                cell, times = np.unique((grams & np.uint64(CELLS - 1)).astype(np.int64), return_counts=True)
+                cells[cell] += times
         for part, counts in enumerate(np.split(cells, PARTS)):
             if counts.any():
                 small = counts.astype(np.min_scalar_type(int(counts.max())))
@@ -75,11 +81,12 @@ def frequent_cells(cells: np.ndarray) -> np.ndarray:
 
 
 def prefix(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first grams in global order, one of which any similar set shares within its own."""
+    """The first grams in global order: enough for any similar set to share 1 + EXTRA% of the
+    smaller of the two within its own prefix."""
     n = len(grams)
     common = frequent[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
     ordered = np.concatenate([grams[~common], grams[common]])
-    return ordered[: n - -(-n * SIMILAR // OF) + 1]
+    return ordered[: n - -(-n * SIMILAR // OF) + 1 + n * EXTRA // OF_EXTRA]
 
 
 def sets_of(documents: DataFrame, size: int, frequent) -> DataFrame:
@@ -89,13 +96,13 @@ def sets_of(documents: DataFrame, size: int, frequent) -> DataFrame:
         seen, known = WordHashes(), set()
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
-            for text in batch.column(3):
-                grams = shingle_set(text.as_py(), size, seen)
-                node = node_of(grams)
-                nodes.append(node)
-                sizes.append(len(grams))
-                prefixes.append(prefix(grams, frequent.value).view(np.int64) if len(grams) and node not in known else [])
-                known.add(node)
+            for texts in slices(batch.column(3)):
+                for grams in shingle_sets(texts, size, seen):
+                    node = node_of(grams)
+                    nodes.append(node)
+                    sizes.append(len(grams))
+                    prefixes.append(prefix(grams, frequent.value).view(np.int64) if len(grams) and node not in known else [])
+                    known.add(node)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["key", "tie", "doc_id", "node", "n", "grams"])
@@ -215,46 +222,76 @@ def spanning_links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
     return links
 
 
-def _join_group(batch: pa.Table) -> pa.Table:
-    data = dict(zip(batch.column("node").to_pylist(), batch.column("grams").to_pylist(), strict=True))
-    links = spanning_links(np.array(list(data)), [np.frombuffer(g, np.uint64) for g in data.values()]) if len(data) > 1 else []
+def _join_group(table: pa.Table) -> pa.Table:
+    lists = table.column("grams").combine_chunks()
+    grams, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    found = {node: grams[a:b] for node, a, b in zip(table.column("node").to_pylist(), offsets[:-1], offsets[1:], strict=True)}
+    links = spanning_links(np.array(list(found)), list(found.values())) if len(found) > 1 else []
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def candidate_parts(rows: DataFrame) -> DataFrame:
-    """Rows (node, part): nodes that may be similar to another, with the part they fall in."""
-    grams = rows.select(F.explode("grams").alias("gram"), "n", "node")
+def _met(grams: DataFrame) -> DataFrame:
+    """Each (gram, n, node) with its neighbours by size among the sets that have the gram. If any
+    of these is of a size that allows the similarity, the next smaller or larger one is. (Rows
+    that repeat a node are next to each other and count as one.)"""
     near = Window.partitionBy("gram").orderBy("n", "node")
-    chained = grams.select("node", "n", F.lag("node").over(near).alias("before"), F.lag("n").over(near).alias("smaller"))
-    edges = chained.filter((F.col("node") != F.col("before")) & (F.col("smaller") * OF >= F.col("n") * SIMILAR))
-    linked = components(edges.select("node", "before").distinct())
-    return linked.select(F.col("v").alias("node"), F.col("m").alias("part")).unionByName(
-        linked.select(F.col("m").alias("node"), F.col("m").alias("part")).distinct())
+    return grams.select(
+        "n", "node", F.lag("node").over(near).alias("before"), F.lag("n").over(near).alias("smaller"),
+        F.lead("node").over(near).alias("after"), F.lead("n").over(near).alias("larger"))
 
 
-def links_in_parts(documents: DataFrame, rows: DataFrame, parts: DataFrame, size: int) -> DataFrame:
-    """Spanning links of every candidate part."""
+_BEFORE = f"node <> before AND smaller * {OF} >= n * {SIMILAR}"
+_AFTER = f"node <> after AND n * {OF} >= larger * {SIMILAR}"
+
+
+def _sharing(grams: DataFrame, least) -> DataFrame:
+    """Nodes that share at least so many of their grams with others of fitting size."""
+    shared = _met(grams).filter(f"({_BEFORE}) OR ({_AFTER})").groupBy("node", "n").agg(F.count("*").alias("shared"))
+    return shared.filter(F.col("shared") >= least).select("node")
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode("grams").alias("gram"), "n", "node")
+
+
+def whole_sets(documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Rows (node, n, grams) with all grams of the nodes whose prefixes share enough."""
+    # A partner has SIMILAR of n grams at least, and its prefix the extra of those.
+    least = F.floor(F.ceil(F.col("n") * SIMILAR / OF) * EXTRA / OF_EXTRA) + 1
+    sharing = written(_sharing(_exploded(rows), least), "sharing")
     members = (
-        rows.filter("n > 0").select("node", "n", "key", "tie").join(parts, "node").groupBy("part", "node", "n")
-        .agg(F.min(F.struct("key", "tie")).alias("first")).select("part", "node", "n", "first.*")
+        rows.filter("n > 0").select("node", "n", "key", "tie").join(sharing, "node").groupBy("node", "n")
+        .agg(F.min(F.struct("key", "tie")).alias("first")).select("node", "n", "first.*")
     )
-    totals = members.groupBy("part").agg(F.sum("n").alias("grams"))
-    half = TASK_GRAMS // 2
-    blocks = F.when(F.col("grams") <= TASK_GRAMS, 1).otherwise(F.ceil(F.col("grams") / half)).cast("int")
-    dealt = members.join(totals.select("part", blocks.alias("blocks")), "part").withColumn(
-        "block", F.pmod("node", F.col("blocks")).cast("int")).select("part", "node", "key", "tie", "blocks", "block")
 
     def task(batches):
         seen = WordHashes()
         for batch in batches:
-            grams = [shingle_set(t.as_py(), size, seen).tobytes() for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.binary())],
-                                             names=["part", "node", "blocks", "block", "grams"])
+            grams = [g.view(np.int64) for texts in slices(batch.column(2)) for g in shingle_sets(texts, size, seen)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "grams"])
+
+    texts = documents.join(members, ["key", "tie"]).select("node", "n", "text")
+    return texts.mapInArrow(task, "node long, n long, grams array<long>")
+
 
-    texts = documents.join(dealt, ["key", "tie"]).select("part", "node", "blocks", "block", "text")
-    sets = texts.mapInArrow(task, "part long, node long, blocks int, block int, grams binary")
+def candidate_parts(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, part): nodes that may be similar to another, with the part they fall in."""
+    close = written(_sharing(_exploded(sets), F.ceil(F.col("n") * SIMILAR / OF)), "close")
+    edges = _met(_exploded(rows.join(close, "node"))).filter(_BEFORE)
+    linked = components(edges.select("node", "before").distinct())
+    return linked.select(F.col("v").alias("node"), F.col("m").alias("part")).unionByName(
+        linked.select(F.col("m").alias("node"), F.col("m").alias("part")).distinct())
+
+
+def links_in_parts(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Spanning links of every candidate part."""
+    members = parts.join(sets.select("node", "n"), "node")
+    totals = members.groupBy("part").agg(F.sum("n").alias("grams"))
+    blocks = F.when(F.col("grams") <= TASK_GRAMS, 1).otherwise(F.ceil(F.col("grams") / (TASK_GRAMS // 2))).cast("int")
+    dealt = parts.join(totals.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod("node", F.col("blocks")).cast("int"))
     # A block meets every block of its part, itself included: one row per meeting.
-    meets = sets.select("part", "node", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    meets = sets.join(dealt, "node").select(
+        "part", "node", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meets = meets.select("part", "node", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return meets.groupBy("part", "i", "j").applyInArrow(lambda table: _join_group(table), "a long, b long")
 
@@ -269,7 +306,8 @@ def similar_documents(documents: DataFrame, size: int = SIZE, id_column: str = "
     spark = documents.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_cells(count_sketch(docs.select("text"), size)))
     rows = written(sets_of(docs, size, frequent), "sets")
-    links = written(links_in_parts(docs, rows, written(candidate_parts(rows), "parts"), size), "similar")
+    whole = written(whole_sets(docs, rows, size), "whole")
+    links = written(links_in_parts(whole, written(candidate_parts(rows, whole), "parts")), "similar")
     roots = components(links)
     narrow = rows.select("doc_id", "key", "tie", "n", "node").join(roots.withColumnRenamed("v", "node"), "node", "left")
     root = F.coalesce("m", "node")

@@ -53,11 +53,40 @@ def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
         power = join(power[: len(power) - width // 2], power[width // 2:], seed)
 
 
-def shingle_set(text: str | None, size: int, seen: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text; the whole of a shorter one."""
-    words = seen.of((text or "").encode("utf-8", "replace").translate(LOWER).split())
-    if not len(words):
-        return words
-    if len(words) < size:
-        return windows(words, len(words)) ^ np.uint64(len(words))
-    return np.unique(windows(words, size))
+def shingle_sets(texts: list[str | None], size: int, seen: WordHashes) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles; a shorter text is one shingle."""
+    words: list[bytes] = []
+    ends = []
+    for text in texts:
+        words += (text or "").encode("utf-8", "replace").translate(LOWER).split()
+        ends.append(len(words))
+    hashes = seen.of(words)
+    grams = windows(hashes, size)
+    out, begin = [], 0
+    for end in ends:
+        count = end - begin - size + 1
+        if count > 0:
+            found = np.sort(grams[begin:begin + count])
+            fresh = np.empty(count, bool)
+            fresh[0] = True
+            np.not_equal(found[1:], found[:-1], out=fresh[1:])
+            out.append(found[fresh])
+        elif end > begin:
+            out.append(windows(hashes[begin:end], end - begin) ^ np.uint64(end - begin))
+        else:
+            out.append(hashes[:0])
+        begin = end
+    return out
+
+
+def slices(texts, most: int = 1_500_000):
+    """Lists of texts of an Arrow column, of about `most` characters each."""
+    out, chars = [], 0
+    for text in texts:
+        out.append(text.as_py())
+        chars += len(out[-1] or "")
+        if chars >= most:
+            yield out
+            out, chars = [], 0
+    if out:
+        yield out
