@@ -44,7 +44,8 @@ def benchmark_windows(benchmark: DataFrame, size: int, id_column: str, text_colu
 
 
 def word_positions(docs: DataFrame) -> DataFrame:
-    return docs.select("key", "tie", F.size("words").alias("n_words"), F.posexplode("words").alias("position", "word"))
+    words = docs.select("key", "tie", item_words(F.col("text")).alias("words"))
+    return words.select("key", "tie", F.size("words").alias("n_words"), F.posexplode("words").alias("position", "word"))
 
 
 def union_length(spans: Column) -> Column:
@@ -65,7 +66,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     words are hit and at least one in `share` of its words is."""
     docs = documents.select(
         F.col(id_column).alias("doc_id"), order_id(id_column).alias("key"),
-        F.xxhash64(text_column).alias("tie"), item_words(F.col(text_column)).alias("words"))
+        F.xxhash64(text_column).alias("tie"), F.col(text_column).cast("string").alias("text"))
     windows = benchmark_windows(benchmark, size, item_column, item_text)
     listed = windows.select("window", "length", F.posexplode(F.split("window", " ")).alias("offset", "word"))
     vocabulary = listed.select("word").distinct()
@@ -73,7 +74,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     small = F.broadcast if few else (lambda df: df)
 
     # Rarity: occurrences over the whole corpus. Words it lacks make their windows impossible.
-    spread = docs.select(F.explode("words").alias("word"))
+    spread = docs.select(F.explode(item_words(F.col("text"))).alias("word"))
     if not few:  # one row per word before it meets the vocabulary
         counts = spread.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word")
     else:
@@ -90,8 +91,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
         .filter("start >= 0 AND start + length <= n_words")
         .groupBy("key", "tie").agg(F.collect_set(F.struct("start", "length")).alias("places"))
     )
+    # The texts are moved, and cut into words again where they arrive: the words would be longer.
     checked = (
-        docs.select("key", "tie", "words").join(places, ["key", "tie"])
+        docs.select("key", "tie", "text").join(places, ["key", "tie"])
+        .select("key", "tie", item_words(F.col("text")).alias("words"), "places")
         .select("key", "tie", "words", F.explode("places").alias("place"))
         .select("key", "tie", "place", F.array_join(
             F.slice("words", F.col("place.start") + 1, F.col("place.length")), " ").alias("window"))
@@ -104,7 +107,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     )
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
-        docs.select("doc_id", "key", "tie", F.size("words").cast("long").alias("n_words"))
+        docs.select("doc_id", "key", "tie", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
         .join(hits, ["key", "tie"], "left")
         .select("doc_id", "tie", "n_words", n_hit.alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"))
