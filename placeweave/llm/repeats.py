@@ -300,7 +300,7 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, id_column: str = "doc
     rows = written(scan(docs, size), "anchors")
     long_enough = rows.filter(F.col("n") >= size)
     firsts = long_enough.groupBy("node", "proof").agg(F.min(F.struct("key", "tie")).alias("first"))
-    names = repeated_names(rows)
+    names = written(repeated_names(rows), "repeated")
     wanted = firsts.join(names, "node").select("first.key", "first.tie", "names")
     shared = shared_windows(docs.join(wanted, ["key", "tie"]), size)
     ranked = shared.withColumn("rank", F.rank().over(Window.partitionBy("name", "proof", "known").orderBy("key", "tie", "start")))
