@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import text
-from placeweave.operators.skew import cut_lineage, first_per_group, lookup_join, small_values, with_totals
+from placeweave.operators.skew import first_per_group, lookup_join, small_values, with_totals
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -126,30 +126,20 @@ def _pieces(c, lengths):
 
 def pattern_matches(df: DataFrame, patterns: DataFrame, id_col: str = "link") -> DataFrame:
     """Listings whose title contains a pattern, letter case aside, with the verdict per
-    pattern. A title can contain a pattern only if it holds all pieces of three characters of
-    it, so ids and pieces of titles meet each pattern at the piece of it that is rarest among
-    the titles, and only titles that have that piece are fetched and checked as a whole."""
+    pattern. A title can contain a pattern only if it holds the pattern's first three
+    characters, so ids and pieces of titles meet the patterns in an equi-join on those, and only
+    titles that have such a piece are fetched and checked as a whole."""
     needles = patterns.select(text.strip("pattern").alias("pattern")).filter("pattern <> ''").distinct().withColumn(
         "needle", F.upper("pattern"))
-    size = F.least(F.length("needle"), F.lit(PIECE))
-    starts = F.sequence(F.lit(1), F.length("needle") - size + 1)
-    wanted = needles.select("pattern", "needle", F.explode(F.array_distinct(
-        F.transform(starts, lambda i: F.substring("needle", i, size)))).alias("piece"))
-    lengths = [n for (n,) in small_values(needles.select(size.alias("n")), "n")]
+    needles = needles.withColumn("piece", F.substring("needle", 1, PIECE))
+    lengths = [n for (n,) in small_values(needles.select(F.length("piece").alias("n")), "n")]
     titles = df.select(
         id_col, "title", "review_count", "review_rating",
         text.country_tag("complete_address").alias("country"), F.upper("title").alias("haystack"),
     ).filter("country IS NOT NULL AND title IS NOT NULL")
     pieces = _pieces(F.col("haystack"), lengths) if lengths else F.array().cast("array<string>")
     held = titles.select(id_col, F.explode(pieces).alias("piece"))
-    counts = lookup_join(held, wanted.select("piece").distinct(), "piece", id_col).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    # A piece that no title has rules its pattern out.
-    rarest = (
-        wanted.join(counts, "piece", "left").groupBy("pattern", "needle")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("first"))
-        .filter("first.n > 0").select("pattern", "needle", F.col("first.piece").alias("piece"))
-    )
-    met = lookup_join(held, rarest, "piece", id_col).select(id_col, "pattern", "needle")
+    met = lookup_join(held, needles, "piece", id_col).select(id_col, "pattern", "needle")
     hits = titles.join(met, id_col).filter(F.col("haystack").contains(F.col("needle")))
     return hits.select(
         id_col, "title", "country", "pattern", "review_count", "review_rating",
@@ -162,8 +152,8 @@ def pattern_removals(df, patterns, keep_flagship=True, keep_exact=True, rank_by_
                      id_col: str = "link") -> DataFrame:
     """(id, country, pattern) of every removal. The best listing of a country and pattern
     stays; it is found by a partial aggregate and excluded by an anti-join that has the id
-    in its key, so no pattern is too popular. The matches are written once, without texts."""
-    hits = cut_lineage(pattern_matches(df, patterns, id_col).drop("title"))
+    in its key, so no pattern is too popular."""
+    hits = pattern_matches(df, patterns, id_col).drop("title")
     losers = hits
     if keep_flagship:
         losers = losers.filter(~F.col("is_flagship"))
