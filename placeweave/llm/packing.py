@@ -1,24 +1,27 @@
 """Best-fit packing of documents into training sequences by hierarchical residual packing.
 
 Each input task encodes its documents, cuts only those that are too long, and packs what is left
-best-fit decreasing. Bins that are nearly full are final; underfull ones go up a tree of fewer
-and fewer tasks, where a bin is one item and is packed best-fit with others, or is opened where
-its pieces alone take fewer bins. Each round is
-written to the shared folder, so that a lost executor changes nothing that a later round has
-used. A task passes on its emptiest bins, at most `CARRY`: the rest are final as they are, which
-loses no document, and at most part of a sequence that could have been shared.
+best-fit decreasing. Bins that are nearly full are final; all others go up, however many they are
+and however empty. What is left of all tasks is packed at once: best-fit decreasing depends on the
+lengths alone, and there are at most `LENGTH` of them, so it runs over counts of lengths and takes
+equal bins together. Bins are items, or are opened where their pieces alone take fewer. Tasks
+then find the place of a piece from its length and its rank among the pieces of that length, so
+no task ever holds more than its share. The tasks' bins are written to the shared folder, so that
+a lost executor changes nothing that a later step has used.
 
 Cases: a null or empty text is its end mark alone. Every row is packed, repeated rows and ids
 too; a null id is kept. An empty table gives no rows. Other columns are not read.
 """
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from placeweave.llm.common import written
 from placeweave.llm.tokens import encoder, vocabulary_path
@@ -26,11 +29,14 @@ from placeweave.llm.tokens import encoder, vocabulary_path
 LENGTH, END = 1024, 2
 # A bin with at most this much room is final.
 NEARLY_FULL = 4
-# Underfull bins that a task passes on, and tasks whose bins meet in one of the next round.
-CARRY, FAN_IN = 4096, 8
+# Rows of a batch that a task hands on.
+CARRY = 50_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_SCHEMA = f"{_PIECE}, bin long, offset long, final boolean"
+# used: ids in the bin; nth_bin and nth_piece: ranks among the task's underfull bins with as many
+# ids and among their pieces of that length.
+_SCHEMA = f"{_PIECE}, bin long, offset long, final boolean, part int, used long, nth_bin long, nth_piece long"
+_PLACED = f"{_PIECE}, bin long, offset long"
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:
@@ -62,66 +68,126 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(items: list[list[tuple]], length: int, last: bool, number: int):
-    """Pack items (lists of pieces) into bins and yield the rows of a round in batches. Where
-    bins are the items, they are opened if their pieces need fewer bins one by one."""
-    sizes = [sum(p[3] for p in item) for item in items]
-    bins = best_fit(sizes, length)
-    pieces = [piece for item in items for piece in item]
-    if len(pieces) > len(items):
-        alone = best_fit([p[3] for p in pieces], length)
-        if len(alone) < len(bins):
-            items, sizes, bins = [[p] for p in pieces], [p[3] for p in pieces], alone
-    used = [sum(sizes[i] for i in members) for members in bins]
-    rest = sorted((u, b) for b, u in enumerate(used) if length - u > NEARLY_FULL)
-    up = set() if last else {b for _, b in rest[:CARRY]}
-    rows = []
-    for b, members in enumerate(bins):
-        offset = 0
-        for i in members:
-            for piece in items[i]:
-                rows.append((*piece, number + b, offset, b not in up))
-                offset += piece[3]
-        if len(rows) >= 50_000 or b == len(bins) - 1:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(
-                    zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_()), strict=True)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "final"])
-            rows = []
-
-
-def _first_number(level: int) -> int:
-    """Bins are numbered by round and task."""
-    return (level << 57) | (TaskContext.get().partitionId() << 32)
+def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """The bins that `best_fit` takes for items of which only the number of each size is known,
+    and where these go: (size, rank, bin, each, offset) sends the items of a size from this rank on,
+    up to the next entry, to the bins from this one on, `each` to a bin, the first at the offset.
+
+    Neighbouring bins that are equally full are one entry. A bin that got an item is the fullest
+    for the next of that size, so it is filled before another one is touched, and a size cuts
+    at most one entry into three."""
+    bins, placed = 0, []
+    by_room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # (first bin, number of bins)
+    for size in sorted((s for s, n in counts.items() if n), reverse=True):
+        left, rank = counts[size], 0
+        changed = []
+        for room in sorted(r for r in by_room if r >= size):
+            each, same = room // size, by_room[room]
+            while same and left:
+                first, n = same.pop()
+                take = min(n, left // each)
+                if take < n:
+                    same.append((first + take, n - take))
+                if take:
+                    changed.append((room - each * size, first, take))
+                else:  # the last items of the size, too few to fill one more bin
+                    same.pop()
+                    if n > 1:
+                        same.append((first + 1, n - 1))
+                    changed.append((room - left * size, first, 1))
+                placed.append((size, rank, first, each, capacity - room))
+                done = take * each or left
+                left, rank = left - done, rank + done
+            if not left:
+                break
+        if left:
+            each = capacity // size
+            placed.append((size, rank, bins, each, 0))
+            full, some = divmod(left, each)
+            if full:
+                changed.append((capacity - each * size, bins, full))
+            if some:
+                changed.append((capacity - some * size, bins + full, 1))
+            bins += full + (some > 0)
+        for room, first, n in changed:
+            if room:
+                by_room[room].append((first, n))
+    return bins, placed
+
+
+def _batches(rows, schema: pa.Schema):
+    """Batches of at most CARRY rows."""
+    for at in range(0, len(rows), CARRY):
+        columns = zip(*rows[at:at + CARRY], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+    ("bin", pa.int64()), ("offset", pa.int64()), ("final", pa.bool_()), ("part", pa.int32()), ("used", pa.int64()),
+    ("nth_bin", pa.int64()), ("nth_piece", pa.int64())])
 
 
 def encode_and_pack(documents: DataFrame, path: str, length: int, end: int, last: bool) -> DataFrame:
+    """Rows of each task's bins; all are final if there is one task only."""
     def task(batches):
         encode = encoder(path)
         mark = end.to_bytes(4, "little")
-        items = []
+        pieces = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = encode(text.as_py() or "") + mark
                 for k, (start, n) in enumerate(cuts(len(data) // 4, length)):
-                    items.append([(doc_id, k, start, n, zlib.crc32(data[4 * start:4 * (start + n)]))])
-        yield from _pack(items, length, last, _first_number(0))
+                    pieces.append((doc_id, k, start, n, zlib.crc32(data[4 * start:4 * (start + n)])))
+        part = TaskContext.get().partitionId()
+        rows, bins_seen, pieces_seen = [], Counter(), Counter()
+        for b, members in enumerate(best_fit([p[3] for p in pieces], length)):
+            used, offset = sum(pieces[i][3] for i in members), 0
+            final = last or length - used <= NEARLY_FULL
+            for i in members:
+                n = pieces[i][3]
+                rows.append((*pieces[i], part << 32 | b, offset, final, part, used, bins_seen[used], pieces_seen[n]))
+                offset += n
+                pieces_seen[n] += not final
+            bins_seen[used] += not final
+        yield from _batches(rows, _ARROW)
 
     return documents.mapInArrow(task, _SCHEMA)
 
 
-def merge_bins(rows: DataFrame, parts: int, length: int, level: int, last: bool) -> DataFrame:
-    """Pack underfull bins as items, those of FAN_IN tasks together."""
+def place_residue(rows: DataFrame, length: int) -> DataFrame:
+    """Pack the bins that are not final, of all tasks together."""
+    def counted(rows, size):
+        return rows.groupBy("part", F.col(size).alias("size")).agg(F.count("*").alias("n"))
+
+    def totals(counts):
+        return {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+
+    bins, pieces = counted(rows.filter("offset = 0"), "used"), counted(rows, "length")
+    together, alone = (best_fit_counts(totals(counts), length) for counts in (bins, pieces))
+    opened = alone[0] < together[0]
+    counts, placed = (pieces, alone[1]) if opened else (bins, together[1])
+    # Sizes are positive and below 2^16, ranks below 2^47.
+    table = np.array(placed, np.int64).reshape(-1, 5)
+    keys = (table[:, 0] << 47) + table[:, 1]
+    order = np.argsort(keys)
+    shared = rows.sparkSession.sparkContext.broadcast((keys[order], table[order]))
+
     def task(batches):
-        items = defaultdict(list)
+        keys, table = shared.value
         for batch in batches:
-            for *piece, bin_, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                items[bin_].append((offset, tuple(piece)))
-        found = [[p for _, p in sorted(items[b])] for b in sorted(items)]
-        yield from _pack(found, length, last, _first_number(level))
+            size, rank, inside = (batch.column(i).to_numpy() for i in (5, 6, 7))
+            at = np.searchsorted(keys, (size << 47) + rank, side="right") - 1
+            _, first_rank, bin_, each, offset = table[at].T
+            into, nth = np.divmod(rank - first_rank, each)
+            found = [pa.array((1 << 57) + bin_ + into), pa.array(offset + nth * size + inside)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *found], names=[*_ARROW.names[:7]])
 
-    group = F.pmod(F.shiftright("bin", 32), F.lit(parts))
-    return rows.drop("final").repartition(parts, group).mapInArrow(task, _SCHEMA)
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select("part", "size", F.coalesce(before, F.lit(0)).alias("before"))
+    size, nth, inside = ("length", "nth_piece", F.lit(0).cast("long")) if opened else ("used", "nth_bin", F.col("offset"))
+    items = rows.withColumn("size", F.col(size)).join(ranks, ["part", "size"])
+    return items.select(*_ARROW.names[:5], "size", (F.col("before") + F.col(nth)).alias("rank"), inside.alias("inside")).mapInArrow(task, _PLACED)
 
 
 def pack(documents: DataFrame, length: int = LENGTH, end: int = END, vocabulary: str | None = None,
@@ -130,11 +196,7 @@ def pack(documents: DataFrame, length: int = LENGTH, end: int = END, vocabulary:
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     parts = docs.rdd.getNumPartitions()
     rows = written(encode_and_pack(docs, vocabulary or vocabulary_path(), length, end, parts <= 1), "packed")
-    done = rows.filter("final")
-    level = 1
-    while parts > 1:
-        parts = -(-parts // FAN_IN)
-        rows = written(merge_bins(rows.filter("NOT final"), parts, length, level, parts == 1), "packed")
-        done = done.unionByName(rows.filter("final"))
-        level += 1
+    done = rows.filter("final").select(*_ARROW.names[:7])
+    if parts > 1:
+        done = done.unionByName(place_residue(rows.filter("NOT final"), length))
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")

@@ -80,6 +80,37 @@ def test_packing_is_an_exact_cover(spark, texts, monkeypatch, parts, carry):
     assert len(places) <= (least + 2 if carry > 3 else least + 20)
 
 
+@pytest.mark.parametrize("seed", range(50))
+def test_best_fit_of_counts_is_that_of_the_items(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 100, 1024])
+    low, high = sorted(rng.randint(1, capacity) for _ in range(2))
+    sizes = sorted((rng.randint(low, high) for _ in range(rng.randrange(400))), reverse=True)
+    n, placed = P.best_fit_counts({s: sizes.count(s) for s in sizes}, capacity)
+    assert n == len(P.best_fit(sizes, capacity))
+    bins = {}
+    for at, size in enumerate(sizes):
+        rank = at - sizes.index(size)
+        _, first, bin_, each, offset = max(p for p in placed if p[0] == size and p[1] <= rank)
+        into, nth = divmod(rank - first, each)
+        bins.setdefault(bin_ + into, []).append((offset + nth * size, size))
+    assert sorted(bins) == list(range(n))
+    for members in bins.values():
+        members.sort()
+        assert [o for o, _ in members] == [sum(s for _, s in members[:i]) for i in range(len(members))]
+        assert sum(s for _, s in members) <= capacity
+
+
+def test_lengths_that_differ_between_tasks_share_sequences(spark):
+    # 9,000 documents of 600 ids in one task and 9,000 of 420 in the other: one of each fits.
+    texts = spark.range(18_000, numPartitions=2).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit(" a"), F.when(F.col("id") < 9_000, 599).otherwise(419)).alias("text"))
+    rows = P.pack(texts)
+    assert rows.select("doc_id").distinct().count() == rows.count() == 18_000
+    assert rows.select("sequence_id").distinct().count() == 9_000
+    assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("offset").alias("o")).filter("n <> 1020 OR o <> 600").count() == 0
+
+
 def test_packing_of_nothing(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
