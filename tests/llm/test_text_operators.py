@@ -38,6 +38,36 @@ def test_ids_are_those_of_the_tokenizer(texts):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids  # and again from memory
 
 
+def test_added_tokens_are_those_of_the_library_by_default(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from placeweave.llm.tokens import encoder
+
+    end = "<|endoftext|>"
+    some = [*ODD, f"a {end} b", end, f"{end}{end}", f"x{end}", f" {end}  y", f"a\n{end}\n\n b ", f"<|endof{end}text|>", "<|endoftext|"]
+    path = vocabulary_path()
+    reference = Tokenizer.from_file(path)
+    ids = [x.ids for x in reference.encode_batch(some, add_special_tokens=False)]
+    assert ids[len(ODD)] == [64, 220, 50256, 275]
+    encode = encoder(path)
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in some] == ids
+    rows = P.pack(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows if r["piece"] == 0 and r["doc_id"] >= len(ODD)} == {
+        i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(ids) if i >= len(ODD)}
+    # Tokens with flags, and one that begins another.
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    model["added_tokens"].append(model["added_tokens"][0] | {"id": 50257, "content": "<|end", "lstrip": True})
+    other = tmp_path / "added.json"
+    other.write_text(json.dumps(model))
+    some += ["a  <|end b", f"a  {end} <|end"]
+    ids = [x.ids for x in Tokenizer.from_file(str(other)).encode_batch(some, add_special_tokens=False)]
+    encode = encoder(str(other))
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in some] == ids
+
+
 # Packing
 
 def test_pieces_of_a_document():
