@@ -1,13 +1,16 @@
 """Near-duplicate embeddings of equal label by a forest of random-projection trees.
 
-Equal vectors are one node with a weight. A tree splits a cell by random directions at the median
-of a bounded sample of the cell (`SAMPLE` nodes with the smallest hash); nodes within `SPILL` of
-the split go to both sides, so a near pair is seldom torn apart, and seldom in all of `TREES`
-trees. Cells of more than `LEAF` nodes are split again in another round. Cells that stay larger,
-since their nodes lie too close together, are cut into blocks and each pair of blocks is a task,
-so nothing is left out. Within a leaf all cosines are taken in double precision. A pair that
-several leaves hold counts in the one with the smallest number, which its members' lists of
-leaves tell; so leaves give sums of links and a spanning set of links, never all pairs.
+Equal vectors are one node with a weight. A tree splits a cell by random directions at one of the
+eighths of a bounded sample of the cell (`SAMPLE` nodes with the smallest hash), the one that
+leaves the fewest pairs; nodes within `SPILL` of the split go to both sides, so a near pair is
+seldom torn apart, and seldom in all of `TREES` trees. Cells of more than `LEAF` nodes are split
+again in another round. A split that would leave no fewer pairs than it finds, since the nodes lie
+too close together, is not made: such a cell, and what is large after `ROUNDS` rounds, is cut into
+blocks and each pair of blocks is a task, so nothing is left out. If that is a whole tree, it holds
+all pairs and the other trees of its root are not needed. Within a leaf all cosines are taken in
+double precision. A pair that several leaves hold counts in the one with the smallest number, which
+its members' lists of leaves tell; so leaves give sums of links and a spanning set of links, never
+all pairs.
 
 Cases: vectors that are null, zero or hold null or non-finite components, or whose label is null,
 link with nothing and are their own component. Vectors of different length are not compared.
@@ -17,7 +20,7 @@ the largest. Empty tables give no rows. Other columns are not read.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,8 +47,21 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
+def _split_point(values: np.ndarray) -> float | None:
+    """The eighth of the values with the fewest pairs on its sides, spill included; none if
+    these are no fewer than all pairs."""
+    ordered = np.sort(values)
+    eighths = ordered[len(ordered) * np.array([4, 3, 5, 2, 6, 1, 7]) // 8]
+    left = np.searchsorted(ordered, eighths + SPILL, side="right")
+    right = len(ordered) - np.searchsorted(ordered, eighths - SPILL, side="right")
+    pairs = left * left + right * right
+    best = int(np.argmin(pairs))
+    return float(eighths[best]) if pairs[best] < len(ordered) ** 2 else None
+
+
 def _fit(table: pa.Table) -> pa.Table:
-    """Split points of a cell from its sample, in heap order; not a number where a branch ends."""
+    """Split points of a cell from its sample, in heap order; not a number where a branch ends.
+    The first is none if the cell cannot be split."""
     cell, n = table.column("cell")[0].as_py(), table.column("n")[0].as_py()
     x = _matrix(table.column("vector").combine_chunks())
     depth = min(DEPTH, max(1, int(np.ceil(np.log2(2 * n / LEAF)))))
@@ -57,9 +73,13 @@ def _fit(table: pa.Table) -> pa.Table:
         if members is None or len(members) < 8:
             continue
         values = projected[members, split]
-        points[split] = np.median(values)
-        branches[2 * split + 1] = members[values <= points[split]]
-        branches[2 * split + 2] = members[values > points[split]]
+        point = _split_point(values)
+        if point is None:
+            continue
+        points[split] = point
+        # With spill, as the rows of the cell will go.
+        branches[2 * split + 1] = members[values <= point + SPILL]
+        branches[2 * split + 2] = members[values > point - SPILL]
     return pa.table({"cell": pa.array([cell], pa.int64()), "points": pa.array([points.tobytes()], pa.binary())})
 
 
@@ -100,6 +120,10 @@ def _split(rows: DataFrame, rules: dict[int, bytes]) -> DataFrame:
     return rows.mapInArrow(task, _ROW)
 
 
+def _cells(spark: SparkSession, cells) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(c,) for c in cells], "cell long"))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Rows (cell, node, weight, vector) of all trees; nodes: root, node, weight, vector."""
     sizes = nodes.groupBy("root").agg(F.count("*").alias("n"))
@@ -108,23 +132,36 @@ def leaves(nodes: DataFrame) -> DataFrame:
     roots = sizes.select("root", "n", F.explode(trees).alias("tree")).withColumn("cell", F.xxhash64("root", "tree"))
     rows = nodes.join(roots.select("root", "cell"), "root").select("cell", "node", "weight", "vector")
     counts = roots.select("cell", "n")
-    done = None
+    spark, done = nodes.sparkSession, None
     for level in range(ROUNDS):
         large = counts.filter(F.col("n") > LEAF)
         waiting = rows.join(large, "cell")
         picked = Window.partitionBy("cell").orderBy(F.xxhash64("node", "cell"), "node")
         sample = waiting.withColumn("rank", F.row_number().over(picked)).filter(F.col("rank") <= SAMPLE).select("cell", "n", "vector")
         found = sample.groupBy("cell").applyInArrow(lambda table: _fit(table), "cell long, points binary")
-        rules = {r["cell"]: bytes(r["points"]) for r in found.orderBy("cell").limit(RULES).collect()}
+        fitted = {r["cell"]: bytes(r["points"]) for r in found.orderBy("cell").limit(RULES).collect()}
+        if not fitted:
+            break
+        top = max(fitted)
+        whole = [c for c, points in fitted.items() if np.isnan(np.frombuffer(points)[0])]
+        if whole and not level:
+            # A whole tree has all pairs of its root: one is kept, and no other tree.
+            ended = roots.join(_cells(spark, whole), "cell").groupBy("root").agg(F.min("cell").alias("first"))
+            family = roots.join(F.broadcast(ended), "root").select("cell", "first").collect()
+            whole = sorted({r["first"] for r in family})
+            spare = {r["cell"] for r in family} - set(whole)
+            rows, counts, large = (df.join(_cells(spark, spare), "cell", "left_anti") for df in (rows, counts, large))
+            fitted = {c: points for c, points in fitted.items() if c not in spare}
+        rules = {c: points for c, points in fitted.items() if not np.isnan(np.frombuffer(points)[0])}
+        if whole:
+            large = large.join(_cells(spark, whole), "cell", "left_anti")
         settled = rows.join(large.select("cell"), "cell", "left_anti")
         done = settled if done is None else done.unionByName(settled)
-        if not rules:
-            return done
-        split = _split(rows.join(large.select("cell"), "cell").filter(F.col("cell") <= max(rules)), rules)
-        rest = rows.join(large.select("cell"), "cell").filter(F.col("cell") > max(rules))
+        split = _split(rows.join(large.select("cell"), "cell").filter(F.col("cell") <= top), rules)
+        rest = rows.join(large.select("cell"), "cell").filter(F.col("cell") > top)
         rows = written(split.unionByName(rest), "cells")
         counts = written(rows.groupBy("cell").agg(F.count("*").alias("n")), "counts")
-    return done.unionByName(rows)
+    return rows if done is None else done.unionByName(rows)
 
 
 def _link(table: pa.Table, threshold: float) -> pa.Table:

@@ -283,5 +283,28 @@ def test_dense_group_is_cut_into_blocks(tables, monkeypatch):
     assert {r["n_links"] for r in got} == {99} and {r["component_id"] for r in got} == {0} and [r["vec_id"] for r in got if r["kept"]] == [0]
 
 
+def dense(seed, n, cosine, length=64):
+    """Vectors of which any two have about this cosine."""
+    rng = np.random.default_rng(seed)
+    out = rng.normal(0, 1, length) / np.sqrt(length) + rng.normal(0, np.sqrt((1 / cosine - 1) / length), (n, length))
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cosine", [0.999, 0.98])
+def test_dense_cells_are_not_multiplied(spark, monkeypatch, cosine):
+    monkeypatch.setattr(V, "LEAF", 128)
+    nodes = [(1, i, 1, v.tolist()) for i, v in enumerate(dense(3, 600, cosine))]
+    # A root that is spread out, with a dense group inside it.
+    wide = np.random.default_rng(4).normal(0, 1, (600, 64))
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    nodes += [(2, 1000 + i, 1, v.tolist()) for i, v in enumerate([*wide, *dense(5, 300, cosine)])]
+    found = V.leaves(spark.createDataFrame(nodes, "root long, node long, weight long, vector array<double>")).cache()
+    # The dense root is one cell of one tree, and every node is in a cell of each tree of the other.
+    first = found.filter("node < 1000")
+    assert first.count() == 600 and first.select("cell").distinct().count() == 1
+    assert found.filter("node >= 1000").groupBy("node").count().filter(f"count < {V.TREES}").count() == 0
+    assert found.filter("node >= 1600").count() <= 3 * V.TREES * 300
+
+
 def test_vectors_empty(tables):
     assert V.similar_vectors(tables([(1, [1.0], 1)], "vec_id long, embedding array<float>, label int").limit(0)).count() == 0
