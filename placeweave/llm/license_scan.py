@@ -4,14 +4,18 @@ Words that are unique in both a stretch of text and a template are anchors; the
 anchors in the same order is kept, and the gaps between them are aligned again in the same way
 (a word may be unique in a gap). Coverage is the share of the template's words that align.
 
+A template of fewer than `SHORT` words must be there word by word, since any of them may name the
+licence. In longer ones the words that tell a licence from its kin (`NEEDED`: name, version) must
+be there word by word, and words of its kin must not.
+
 Whole texts are searched. A notice that covers a template has one of its words from any set of
 words larger than what may be missing, so stretches around the template words that are rarest in
 the text are aligned, all of them.
 
 Cases: null and empty texts have no notices. Every row has a result, repeated rows and null ids
 too. Of templates with equal coverage that align with equally many words, the first by name is
-the best one; of equal stretches of one template, the earliest counts. Templates without words are ignored. An empty
-table gives no rows. Other columns are not read.
+the best one, and reserved rights come after every licence; of equal stretches of one template,
+the earliest counts. Templates without words are ignored. An empty table gives no rows. Other columns are not read.
 """
 
 from bisect import bisect_left
@@ -22,9 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.license_texts import TEMPLATES
+from placeweave.llm.license_texts import MORE, NEEDED, RESERVED, TEMPLATES
 
-COVERAGE = 0.8
+COVERAGE, SHORT = 0.8, 10
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SEEN = 400_000
 
@@ -81,7 +85,16 @@ class Template:
     def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words = name, words_of(text)
         self.counts = Counter(self.words)
-        self.need = -(-len(self.words) * int(coverage * 1000) // 1000)
+        short = len(self.words) < SHORT
+        self.need = len(self.words) if short else -(-len(self.words) * int(coverage * 1000) // 1000)
+        phrases, barred = ((), ()) if short else NEEDED.get(name, ((), ()))
+        self.phrases, self.barred = ([p.split() for p in some] for some in (phrases, barred))
+
+    def told(self, stretch: list[str]) -> bool:
+        """Whether a stretch holds the words that tell this licence from others."""
+        def held(phrase):
+            return any(stretch[i:i + len(phrase)] == phrase for i in range(len(stretch) - len(phrase) + 1))
+        return all(map(held, self.phrases)) and not any(map(held, self.barred))
 
     def best(self, words: list[str], places: dict[str, list[int]]) -> tuple[int, int, int]:
         """(aligned words, first and last word of the stretch) of the best stretch, or zeros."""
@@ -95,13 +108,16 @@ class Template:
         best = (0, 0, 0)
         for start in starts:
             first = max(0, start - slack)
-            pairs = align(words[first:start + size + slack], self.words)
-            if len(pairs) >= self.need and len(pairs) > best[0]:
+            if size < SHORT:  # word by word
+                pairs = [(start - first + i, i) for i in range(size)] if start >= 0 and words[start:start + size] == self.words else []
+            else:
+                pairs = align(words[first:start + size + slack], self.words)
+            if len(pairs) >= self.need and len(pairs) > best[0] and self.told(words[first + pairs[0][0]:first + pairs[-1][0] + 1]):
                 best = len(pairs), first + pairs[0][0], first + pairs[-1][0]
         return best
 
 
-def scan(documents: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE,
+def scan(documents: DataFrame, templates=TEMPLATES + MORE, coverage: float = COVERAGE,
          id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, n_words, license, coverage, first_word, last_word, licenses): the best
     template that is covered, where it is, and the names of all that are."""
@@ -139,8 +155,8 @@ def scan(documents: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE,
                     found.append((-aligned / len(template.words), -aligned, template.name, first, last))
         if not found:
             return at, None, None, None, None, []
-        covered, _, name, first, last = min(found)
-        return at, name, -covered, first, last, sorted(f[2] for f in found)
+        covered, _, name, first, last = min(found, key=lambda f: (f[2] == RESERVED, f))
+        return at, name, -covered, first, last, sorted({f[2] for f in found})
 
     def task(batches):
         known = Known()

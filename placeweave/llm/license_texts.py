@@ -23,3 +23,47 @@ TEMPLATES = (
         The above copyright notice and this permission notice shall be included in all copies or substantial portions
         of the Software."""),
 )
+
+# Other common wordings, those of reserved rights last.
+RESERVED = "all-rights-reserved"
+_GNU = "This work is licensed under the GNU {}General Public License, version {}."
+_CC = "Licensed under CC {}."
+MORE = (
+    ("AGPL-3.0", _GNU.format("Affero ", "3")),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("Apache", "Released under the Apache License."),
+    ("Apache", "Licensed under the Apache License."),
+    ("BSD", "Released under the BSD License."),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD-2-Clause-text", """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the
+        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution."""),
+    *((f"CC-{kind}-4.0", _CC.format(f"{kind} 4.0")) for kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("GPL-2.0", _GNU.format("", "2")),
+    ("GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it under the terms of the
+        GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
+        (at your option) any later version."""),
+    ("LGPL-2.1", _GNU.format("Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser ", "3")),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    (RESERVED, "All rights reserved."),
+)
+# What a stretch must hold word by word, and what it must not hold, to be that licence.
+_OTHER_GNU = ("lesser general", "affero general", "library general")
+NEEDED = {
+    "AGPL-3.0": (("affero general public", "version 3"), ("lesser general",)),
+    "Apache-2.0-header": (("apache license version 2 0",), ()),
+    "GPL-2.0": (("gnu general public", "version 2"), _OTHER_GNU),
+    "GPL-2.0-or-later": (("general public", "version 2", "any later version"), _OTHER_GNU),
+    "GPL-3.0": (("gnu general public", "version 3"), _OTHER_GNU),
+    "GPL-3.0-or-later": (("general public", "version 3", "any later version"), _OTHER_GNU),
+    "LGPL-2.1": (("lesser general public", "version 2 1"), ("affero general",)),
+    "LGPL-3.0": (("lesser general public", "version 3"), ("affero general",)),
+    "MPL-2.0": (("mozilla public license v 2 0",), ()),
+}

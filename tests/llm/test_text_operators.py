@@ -252,6 +252,21 @@ def test_notices_are_found(tables):
     assert all(r["license"] is None for r in L.scan(tables(docs, "doc_id long, text string"), templates=(("none", "..."),)).collect())
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Released under the BSD License.", ["BSD"]), ("Released under the Apache License.", ["Apache"]), ("Released under the XYZ License.", []),
+    ("Released under the MIT License.", ["MIT"]), ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("Licensed under CC BY-NC 3.0.", []),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("(C) X. All rights reserved. Released under the MIT License.", ["MIT", "all-rights-reserved"]), ("All rights reserved.", ["all-rights-reserved"])])
+def test_the_word_that_names_a_licence_counts(text, want, spark):
+    docs = spark.createDataFrame([(1, f"some words before. {text} And some words after")], "doc_id long, text string")
+    row = L.scan(docs).first()
+    assert row["licenses"] == want and row["license"] == (want[0] if want else None)
+
+
 # Quality
 
 def test_held_out_rows_are_those_of_the_checksum(spark):
