@@ -7,8 +7,9 @@ the first one is a sufficient prefix. Its occurrences, less its offset, are the
 where the window can start; places that leave the document are cut off (position and length
 bounds). The words found there are compared with the windows exactly.
 
-Cases: null texts have no words. Items without an id or without words are skipped; an item id
-that is listed several times has all its texts. Documents that share an id are judged each on
+Cases: null texts have no words. Items without words are skipped; the words of items without
+an id are hit as well, but these are not listed. An item id that is listed several times has all
+its texts. Documents that share an id are judged each on
 its own text, and a null id is kept. Empty tables give no rows, or no hits. Columns other than
 the id and the text are not read.
 """
@@ -31,10 +32,10 @@ def item_words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """Rows (window, length, items): each distinct window with the ids of its items."""
+    """Rows (window, length, items): each distinct window with the ids of its items, if any has one."""
     words = (
         benchmark.select(F.col(id_column).cast("string").alias("item"), item_words(F.col(text_column)).alias("words"))
-        .filter(F.col("item").isNotNull() & (F.size("words") > 0))
+        .filter(F.size("words") > 0)
     )
     length = F.least(F.size("words"), F.lit(size))
     starts = F.sequence(F.lit(1), F.size("words") - length + 1)

@@ -41,6 +41,13 @@ DOCS = [
 ITEMS = [(1, PASSAGE), (2, "Short item"), (2, "w3 w4 w5"), (None, "the the"), (3, None), (4, "..."), (5, "the the the"), (1, PASSAGE)]
 
 
+def test_items_without_an_id_are_hit_and_not_listed(spark):
+    docs = spark.createDataFrame([(1, "aa secret passage here"), (2, "other words"), (3, "a listed passage")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "secret passage"), (7, "listed passage")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in D.decontaminate(docs, items).collect()}
+    assert got == {1: (2, [], True), 2: (0, [], False), 3: (2, ["7"], True)}
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontaminate_equals_brute_force(tables, monkeypatch, broadcast):
     if not broadcast:
