@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as registered
 from catalog.registry import ORACLES, QUERIES
 from check_oracles import rows_of
-from conftest import SF
+from paths import SF
 
 
 @pytest.fixture(scope="module")
