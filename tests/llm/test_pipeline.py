@@ -98,25 +98,6 @@ def test_stages_bear_odd_rows(spark):
     assert [(r["doc_id"], r["text"]) for r in near].count((2, "twice")) == 1 and len(near) == 6
 
 
-def test_the_rest_imports_without_this_subpackage(tmp_path):
-    code = """
-import sys
-class Gone:
-    def find_spec(self, name, path=None, target=None):
-        if name in ("placeweave.llm", "corpus_pipeline"):
-            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
-sys.meta_path.insert(0, Gone())
-import __spark_entry__ as e
-names = set(e.queries())
-assert "poi_candidates" in names and "pipeline" not in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
-assert set(e.oracle_sql()) <= names
-"""
-    import os
-
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
-
-
 def test_all_eleven_are_registered():
     import __spark_entry__ as e
 
