@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm import conversation_repair as R
+from placeweave.llm import conversation_trie as P
 from placeweave.llm.registry import query, table
 
 # CRC-32 of the string column `s` of a relation, by a table of 256 entries that SQL computes.
@@ -103,3 +104,49 @@ def op11_repair(spark, sf_dir):
     """Every conversation's faults and cheapest repair, after the damage."""
     given = table(spark, sf_dir, "conversations")
     return R.with_all(given, R.digests(R.repair(damage(given))))
+
+
+# A rebuilt conversation has fewer first turns of another one than this.
+HEADS = 6
+
+TRIE_SQL = f"""
+WITH {CRC_SQL},
+ids AS (SELECT conv_id, {crc_sql("CAST(conv_id AS VARCHAR)")} % {HEADS} AS h, conv_id - conv_id % 100 AS first
+        FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS q
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (SELECT ids.conv_id, list_concat(coalesce(f.q[1:h], []), own.q[h + 1:]) AS q
+            FROM ids JOIN own ON own.conv_id = ids.conv_id LEFT JOIN own f ON f.conv_id = first),
+member AS (SELECT conv_id, d, q[1:d] AS path, len(q) = d AS ends FROM (SELECT *, unnest(range(0, len(q) + 1)) AS d FROM rebuilt)),
+node AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends
+         FROM member GROUP BY path, d),
+child AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n - 1) * length(node.path[d].t) ELSE 0 END AS w
+          FROM node LEFT JOIN child ON child.path = node.path),
+above AS (SELECT path[1:k] AS path, CAST(sum(w) AS BIGINT) AS saved, count(*) FILTER (n_children = 0) AS leaves
+          FROM (SELECT path, w, n_children, unnest(range(0, d + 1)) AS k FROM full_) GROUP BY 1)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n AS n_convs, a.n_children, leaves AS n_leaves, saved AS saved_tokens, a.ends AS ends_sha256
+FROM full_ a JOIN above ON above.path = a.path LEFT JOIN node p ON a.d > 0 AND p.d = a.d - 1 AND p.path = a.path[1:a.d - 1]
+"""
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv_id, place, key, chars) of conversations that begin with the first turns of the first
+    one in their hundred, and all conv_ids."""
+    turns = P.sequences(P.turn_keys(conversations), "turn")
+    ids = conversations.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    h = F.crc32(F.col("conv_id").cast("string")) % HEADS
+    first = F.col("conv_id") - F.col("conv_id") % 100
+    heads = turns.filter(F.col("depth") < HEADS).filter("conv_id % 100 = 0").select(F.col("conv_id").alias("first"), F.col("depth").alias("place"), "key", "chars")
+    taken = ids.select("conv_id", first.alias("first"), h.alias("h")).join(heads, "first").filter("place <= h")
+    length = heads.groupBy("first").agg(F.max("place").alias("had"))
+    rest = turns.filter(F.col("depth") > h).withColumn("first", first).join(length, "first", "left").select(
+        "conv_id", (F.col("depth") - h + F.least(h, F.coalesce("had", F.lit(0)))).alias("place"), "key", "chars")
+    return taken.select("conv_id", "place", "key", "chars").unionByName(rest), ids
+
+
+@query(oracle=TRIE_SQL)
+def op12_trie(spark, sf_dir):
+    """Every node of the prefix trie of the rebuilt conversations."""
+    turns, ids = rebuilt(table(spark, sf_dir, "conversations"))
+    return P.prefix_trie(turns, "place", ids)
