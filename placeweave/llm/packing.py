@@ -1,20 +1,24 @@
 """Best-fit packing of documents into training sequences by hierarchical residual packing.
 
 Each input task encodes its documents, cuts only those that are too long, and packs what is left
-best-fit decreasing. Bins that are nearly full are final; all others go up, however many they are
-and however empty. What is left of all tasks is packed at once: best-fit decreasing depends on the
+best-fit decreasing, CHUNK pieces at a time. Bins that are nearly full are final; all others go up a
+tree as items. A round deals the bins that are still open by hash to groups of FAN tasks of the round
+before, so that each group sees bins of all sizes, and packs each group best-fit decreasing again;
+bins that this makes nearly full are final, and the others go on. Groups get fewer from round to
+round, but none gets more than ITEMS bins. The rounds end with one group, or with a round that saves
+no bin. What then is left is packed once more over all groups: best-fit decreasing depends on the
 lengths alone, and there are at most `LENGTH` of them, so it runs over counts of lengths and takes
-equal bins together. Bins are items, or are opened where their pieces alone take fewer. Tasks
-then find the place of a piece from its length and its rank among the pieces of that length, so
-no task ever holds more than its share. The tasks' bins are written to the shared folder, so that
-a lost executor changes nothing that a later step has used.
+equal bins together. There bins are items, or are opened where their pieces alone take fewer. Tasks
+find the place of a piece from its length and its rank among the pieces of that length, so no
+task ever holds more than its share. Every round is written to the shared folder, so that a lost
+executor changes nothing that a later step has used.
 
 Cases: a null or empty text is its end mark alone. Every row is packed, repeated rows and ids
 too; a null id is kept. An empty table gives no rows. Other columns are not read.
 """
 
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,14 @@ LENGTH, END = 1024, 2
 NEARLY_FULL = 4
 # Rows of a batch that a task hands on.
 CARRY = 50_000
+# Pieces that a task packs at a time, groups that a round makes one, and bins that one may get.
+CHUNK, FAN, ITEMS = 400_000, 4, 200_000
+# Parts among which the open bins of the end are ranked.
+SPREAD = 256
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-# used: ids in the bin; nth_bin and nth_piece: ranks among the task's underfull bins with as many
-# ids and among their pieces of that length.
-_SCHEMA = f"{_PIECE}, bin long, offset long, final boolean, part int, used long, nth_bin long, nth_piece long"
+# used: ids in the bin.
+_SCHEMA = f"{_PIECE}, bin long, offset long, final boolean, used long"
 _PLACED = f"{_PIECE}, bin long, offset long"
 
 
@@ -124,39 +131,95 @@ def _batches(rows, schema: pa.Schema):
 
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-    ("bin", pa.int64()), ("offset", pa.int64()), ("final", pa.bool_()), ("part", pa.int32()), ("used", pa.int64()),
-    ("nth_bin", pa.int64()), ("nth_piece", pa.int64())])
+    ("bin", pa.int64()), ("offset", pa.int64()), ("final", pa.bool_()), ("used", pa.int64())])
+# Task and bin of the first packing; round, group and bin of a later one.
+_TASK, _ROUND = 28, 52
 
 
-def encode_and_pack(documents: DataFrame, path: str, length: int, end: int, last: bool) -> DataFrame:
-    """Rows of each task's bins; all are final if there is one task only."""
+def encode_and_pack(documents: DataFrame, path: str, length: int, end: int) -> DataFrame:
+    """Rows of each task's bins."""
     def task(batches):
         encode = encoder(path)
         mark = end.to_bytes(4, "little")
-        pieces = []
+        part = TaskContext.get().partitionId() << _TASK
+        pieces, bins = [], 0
+
+        def packed():
+            nonlocal bins
+            rows = []
+            for members in best_fit([p[3] for p in pieces], length):
+                used, offset = sum(pieces[i][3] for i in members), 0
+                for i in members:
+                    rows.append((*pieces[i], part + bins, offset, length - used <= NEARLY_FULL, used))
+                    offset += pieces[i][3]
+                bins += 1
+            pieces.clear()
+            return _batches(rows, _ARROW)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = encode(text.as_py() or "") + mark
                 for k, (start, n) in enumerate(cuts(len(data) // 4, length)):
                     pieces.append((doc_id, k, start, n, zlib.crc32(data[4 * start:4 * (start + n)])))
-        part = TaskContext.get().partitionId()
-        rows, bins_seen, pieces_seen = [], Counter(), Counter()
-        for b, members in enumerate(best_fit([p[3] for p in pieces], length)):
-            used, offset = sum(pieces[i][3] for i in members), 0
-            final = last or length - used <= NEARLY_FULL
-            for i in members:
-                n = pieces[i][3]
-                rows.append((*pieces[i], part << 32 | b, offset, final, part, used, bins_seen[used], pieces_seen[n]))
-                offset += n
-                pieces_seen[n] += not final
-            bins_seen[used] += not final
-        yield from _batches(rows, _ARROW)
+                if len(pieces) >= CHUNK:
+                    yield from packed()
+        yield from packed()
 
     return documents.mapInArrow(task, _SCHEMA)
 
 
+_MERGED = pa.schema([("bin", pa.int64()), ("into", pa.int64()), ("shift", pa.int64()), ("used", pa.int64()), ("final", pa.bool_())])
+
+
+def merge_round(bins: DataFrame, groups: int, number: int, length: int) -> DataFrame:
+    """Bins (bin, used), dealt by hash to so many groups and packed: rows (bin, into, shift, used, final)
+    say which bin each becomes part of, behind how many ids, and how full that one is."""
+    def task(batches):
+        rows = sorted((-used, b) for batch in batches for b, used in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        first = (number << _ROUND) + (TaskContext.get().partitionId() << _TASK)
+        merged = []
+        for k, members in enumerate(best_fit([-used for used, _ in rows], length)):
+            used, shift = -sum(rows[i][0] for i in members), 0
+            for i in members:
+                merged.append((rows[i][1], first + k, shift, used, length - used <= NEARLY_FULL))
+                shift -= rows[i][0]
+        yield from _batches(merged, _MERGED)
+
+    dealt = bins.select("bin", "used").repartition(groups, F.xxhash64("bin", F.lit(number)))
+    return dealt.mapInArrow(task, "bin long, into long, shift long, used long, final boolean")
+
+
+def merge_up(bins: DataFrame, parts: int, length: int) -> DataFrame:
+    """All rounds over the open bins of `parts` tasks: rows (bin, into, shift, used, final) for each of
+    them, with the bin that it is in after the last round."""
+    whole, groups, number = None, parts, 0
+    while True:
+        number += 1
+        n = bins.count()
+        groups = max(-(-groups // FAN), -(-n // ITEMS), 1)
+        merged = written(merge_round(bins, groups, number, length), "merged")
+        left = merged.filter("shift = 0").count()
+        if whole is None:
+            whole = merged
+        else:
+            later = merged.select(F.col("bin").alias("_bin"), *[F.col(c).alias(f"_{c}") for c in ("into", "shift", "used", "final")])
+            whole = written(whole.join(later, F.col("into") == F.col("_bin"), "left").select(
+                "bin", F.coalesce("_into", "into").alias("into"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"),
+                F.coalesce("_used", "used").alias("used"), F.coalesce("_final", "final").alias("final")), "merged")
+        if groups == 1 or left == n:
+            return whole
+        bins = merged.filter("shift = 0 AND NOT final").select(F.col("into").alias("bin"), "used")
+
+
 def place_residue(rows: DataFrame, length: int) -> DataFrame:
-    """Pack the bins that are not final, of all tasks together."""
+    """Pack the bins that no round has filled, of all groups together."""
+    spread = F.pmod(F.xxhash64("bin"), F.lit(SPREAD)).alias("part")
+    rows = rows.select("*", spread)
+
+    def ranked(items, size, order):
+        """Items with the number of those of their size and part before them."""
+        return items.withColumn("size", F.col(size)).withColumn("nth", F.row_number().over(Window.partitionBy("part", "size").orderBy(*order)) - 1)
+
     def counted(rows, size):
         return rows.groupBy("part", F.col(size).alias("size")).agg(F.count("*").alias("n"))
 
@@ -180,23 +243,30 @@ def place_residue(rows: DataFrame, length: int) -> DataFrame:
             at = np.searchsorted(keys, (size << 47) + rank, side="right") - 1
             _, first_rank, bin_, each, offset = table[at].T
             into, nth = np.divmod(rank - first_rank, each)
-            found = [pa.array((1 << 57) + bin_ + into), pa.array(offset + nth * size + inside)]
+            found = [pa.array((1 << 62) + bin_ + into), pa.array(offset + nth * size + inside)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *found], names=[*_ARROW.names[:7]])
 
     before = F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranks = counts.select("part", "size", F.coalesce(before, F.lit(0)).alias("before"))
-    size, nth, inside = ("length", "nth_piece", F.lit(0).cast("long")) if opened else ("used", "nth_bin", F.col("offset"))
-    items = rows.withColumn("size", F.col(size)).join(ranks, ["part", "size"])
-    return items.select(*_ARROW.names[:5], "size", (F.col("before") + F.col(nth)).alias("rank"), inside.alias("inside")).mapInArrow(task, _PLACED)
+    if opened:
+        items = ranked(rows, "length", ["bin", "offset"]).withColumn("inside", F.lit(0).cast("long"))
+    else:
+        heads = ranked(rows.filter("offset = 0"), "used", ["bin"]).select("bin", "size", "nth")
+        items = rows.join(heads, "bin").withColumn("inside", F.col("offset"))
+    placed = items.join(ranks, ["part", "size"])
+    return placed.select(*_ARROW.names[:5], "size", (F.col("before") + F.col("nth")).alias("rank"), "inside").mapInArrow(task, _PLACED)
 
 
 def pack(documents: DataFrame, length: int = LENGTH, end: int = END, vocabulary: str | None = None,
          id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset): one per piece."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    parts = docs.rdd.getNumPartitions()
-    rows = written(encode_and_pack(docs, vocabulary or vocabulary_path(), length, end, parts <= 1), "packed")
-    done = rows.filter("final").select(*_ARROW.names[:7])
-    if parts > 1:
-        done = done.unionByName(place_residue(rows.filter("NOT final"), length))
+    rows = written(encode_and_pack(docs, vocabulary or vocabulary_path(), length, end), "packed")
+    placed = _ARROW.names[:7]
+    open_ = rows.filter("NOT final")
+    whole = merge_up(open_.filter("offset = 0").select("bin", "used"), docs.rdd.getNumPartitions(), length)
+    moved = written(open_.drop("used", "final").join(whole, "bin").select(
+        *placed[:5], F.col("into").alias("bin"), (F.col("offset") + F.col("shift")).alias("offset"), "final", "used"), "merged")
+    done = rows.filter("final").select(*placed).unionByName(moved.filter("final").select(*placed)).unionByName(
+        place_residue(moved.filter("NOT final"), length))
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")

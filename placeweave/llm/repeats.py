@@ -5,13 +5,17 @@ document id, then earlier start); the words that any later one covers are remove
 judged on the input.
 
 Words are recompressed in rounds: runs of equal symbols get a name, then pairs whose left symbol
-is of one half of the alphabet and whose right one is of the other. Names are hashes of what
-they stand for, and so are the halves, so all tasks give equal words equal names without
-exchanging anything. Inside equal windows the rounds then cut equal phrases, except near the
-ends, where the neighbours outside have a say; how far they have is known from the window alone.
-Of the phrase bounds that are safe, each window takes the one with the smallest name as its
-anchor. Windows whose anchor's name occurs only once in the corpus are unique. Only the others
-are named whole (96 bits, pairs of pairs of words), shuffled by that name and ranked.
+is of one half of the alphabet and whose right one is of the other. A name is a hash of what it
+stands for, and so are the halves: names are global without a table of them, equal words get
+equal symbols in every task, and a round needs no exchange. Inside equal windows the rounds cut
+equal phrases, except near the ends, where the neighbours outside have a say; how far they have is
+known from the window alone. `JOINED` neighbouring phrases that are safe in a window are one symbol of
+a higher level, a pair of pairs, about seven words long, and the smallest of these names is the
+window's anchor. Anchors are what Spark groups: windows whose anchor occurs only once in the corpus
+are unique. A name that several documents of a chunk have is known to be repeated there, and only
+one of them goes on to meet the rest of the corpus. Windows with a repeated anchor are then named
+whole (96 bits, pairs of pairs of words), shuffled by that name and ranked; of those that a chunk
+has several times only the first is, and the others leave it as spans.
 
 Documents whose words are all equal are one node throughout: the first keeps its words as far as
 they are not repeated, and of the others nothing of 20 words or more stays.
@@ -35,8 +39,8 @@ from placeweave.llm.shingles import WordHashes, join, mix, windows
 
 SIZE = 20
 ROUNDS = 2
-# Words that an anchor's name stands for.
-ANCHOR = 6
+# Neighbouring phrases that an anchor's name stands for: a power of two.
+JOINED = 4
 # Words that are recompressed together, when anchors are found and when windows are named.
 CHUNK, NAMED_CHUNK = 100_000, 400_000
 
@@ -125,17 +129,18 @@ def _smallest(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
 def anchors(hashes: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of a chunk: its start, its anchor's position and its anchor's name."""
     parse = Parse(hashes, begins, size)
-    names = windows(hashes, ANCHOR, seed=7)
-    bounds = parse.starts[parse.starts < len(names)]
-    order = join(names[bounds], parse.names[: len(bounds)], 11)
-    low = np.minimum(parse.before[parse.low], len(bounds))
-    # Whole phrases only: the name of one that begins at the last safe bound may differ.
-    high = np.minimum(parse.before[np.minimum(parse.high, parse.windows + size - ANCHOR + 1)], len(bounds))
+    # Phrase i and its neighbours to the right, as one symbol.
+    names = windows(parse.names, JOINED, seed=7)
+    bounds = parse.starts
+    order = mix(names)
+    low = np.minimum(parse.before[parse.low], len(names))
+    # Whole phrases only: the last one of a symbol ends where what is safe ends.
+    high = np.minimum(parse.before[parse.high] - (JOINED - 1), len(names))
     position, name = parse.windows.copy(), np.zeros(len(parse.windows), np.uint64)
     safe = parse.safe & (high > low)
     chosen = _smallest(order, low[safe], high[safe])
-    position[safe], name[safe] = bounds[chosen], names[bounds[chosen]]
-    # Without a safe bound, as inside a long run, the window is its own anchor.
+    position[safe], name[safe] = bounds[chosen], names[chosen]
+    # Without so many safe phrases, as inside a long run, the window is its own anchor.
     own = ~safe
     if own.any():
         name[own] = windows(hashes, size, seed=13)[parse.windows[own]]
@@ -156,8 +161,9 @@ def chunks(batches, text_column: int, seen: WordHashes, most: int):
 
 
 def scan(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (key, tie, n, node, proof, names, again): all documents' words as two hashes, and the
-    names of the document's anchors, apart from those that it has in several places. Of equal
+    """Rows (key, tie, n, node, proof, names, again, shared): all documents' words as two hashes, and the
+    names of the document's anchors: those that it has once, those that are known to be repeated and
+    that others have to learn of, and those that another document of the chunk makes known. Of equal
     documents in a task the first has the names."""
     def task(batches):
         seen, known = WordHashes(), set()
@@ -167,7 +173,7 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
             prints = [hashes[begins[i]:begins[i + 1]].tobytes() for i in range(count)]
             nodes = [xxhash.xxh3_64_intdigest(p, seed=1) - (1 << 63) for p in prints]
             proofs = [xxhash.xxh3_64_intdigest(p, seed=2) - (1 << 63) for p in prints]
-            names, again = [[]] * count, [[]] * count
+            names, again, shared = [[]] * count, [[]] * count, [[]] * count
             if len(hashes) >= size:
                 start, position, name = anchors(hashes, begins, size)
                 # Windows that follow each other mostly share their anchor.
@@ -181,20 +187,31 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
                 often = np.add.reduceat(moved, np.flatnonzero(head)) > 0
                 doc, name = doc[head], name[head].view(np.int64)
                 cut = np.searchsorted(doc, np.arange(count + 1))
+                fresh = np.zeros(count, bool)
                 for i in np.flatnonzero(np.diff(cut)):
                     if (nodes[i], proofs[i]) not in known:
                         known.add((nodes[i], proofs[i]))
-                        mine, twice = name[cut[i]:cut[i + 1]], often[cut[i]:cut[i + 1]]
-                        names[i], again[i] = mine[~twice], mine[twice]
+                        fresh[i] = True
+                # Of the documents that have a name the first tells the rest of the corpus.
+                doc, name, often = (x[fresh[doc]] for x in (doc, name, often))
+                _, first_at, which, total = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+                often |= total[which] > 1
+                told = np.ones(len(name), bool)
+                told[total[which] > 1] = False
+                told[first_at] = True
+                cut = np.searchsorted(doc, np.arange(count + 1))
+                for i in np.flatnonzero(np.diff(cut)):
+                    mine, twice, tells = (x[cut[i]:cut[i + 1]] for x in (name, often, told))
+                    names[i], again[i], shared[i] = mine[~twice], mine[twice & tells], mine[~tells]
             rows = batch.slice(first, count)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(proofs, pa.int64()), pa.array(names, longs), pa.array(again, longs)],
-                names=["key", "tie", "n", "node", "proof", "names", "again"])
+                 pa.array(proofs, pa.int64()), pa.array(names, longs), pa.array(again, longs), pa.array(shared, longs)],
+                names=["key", "tie", "n", "node", "proof", "names", "again", "shared"])
 
     return docs.select("key", "tie", "text").mapInArrow(
-        task, "key long, tie long, n long, node long, proof long, names array<long>, again array<long>")
+        task, "key long, tie long, n long, node long, proof long, names array<long>, again array<long>, shared array<long>")
 
 
 def repeated_names(rows: DataFrame) -> DataFrame:
@@ -205,7 +222,9 @@ def repeated_names(rows: DataFrame) -> DataFrame:
     found = rows.select("node", F.explode(F.concat(told("names", False), told("again", True))).alias("anchor")).select("node", "anchor.*")
     near = Window.partitionBy("name").orderBy("node")
     beside = found.select("node", "name", "again", F.lag("node").over(near).alias("a"), F.lead("node").over(near).alias("b"))
-    return beside.filter("again OR a <> node OR b <> node").groupBy("node").agg(F.collect_set("name").alias("names"))
+    met = beside.filter("again OR a <> node OR b <> node").select("node", "name")
+    known = rows.select("node", F.explode("shared").alias("name"))
+    return met.unionByName(known).groupBy("node").agg(F.collect_set("name").alias("names"))
 
 
 def shared_windows(docs: DataFrame, size: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,51 @@ def test_lengths_that_differ_between_tasks_share_sequences(spark):
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("offset").alias("o")).filter("n <> 1020 OR o <> 600").count() == 0
 
 
+def without_rounds(tasks):
+    """Sequences if the open bins of all tasks are packed once, together, by counts."""
+    final, open_, pieces = 0, Counter(), Counter()
+    for sizes in tasks:
+        for members in P.best_fit(sizes, 1024):
+            used = sum(sizes[i] for i in members)
+            if 1024 - used <= P.NEARLY_FULL:
+                final += 1
+            else:
+                open_[used] += 1
+                pieces.update(sizes[i] for i in members)
+    return final + min(P.best_fit_counts(c, 1024)[0] for c in (open_, pieces))
+
+
+@pytest.mark.parametrize("case", ["sizes by task", "two sizes", "small ones", "many tasks"])
+def test_rounds_take_no_more_sequences(spark, monkeypatch, case):
+    rng = random.Random(3)
+    tasks = {
+        "sizes by task": [[rng.randint(560, 700) for _ in range(3000)] for _ in range(3)] + [[rng.randint(300, 440) for _ in range(3000)] for _ in range(5)],
+        "two sizes": [[600] * 3000, [420] * 3000],
+        "small ones": [[rng.randint(1, 90) for _ in range(40)] for _ in range(30)],
+        "many tasks": [[min(1024, int(rng.lognormvariate(5.5, 1))) or 1 for _ in range(60)] for _ in range(40)],
+    }[case]
+    monkeypatch.setattr(P, "ITEMS", 3000)
+    seen = []
+    merge = P.merge_round
+    monkeypatch.setattr(P, "merge_round", lambda bins, groups, *a: seen.append(groups) or merge(bins, groups, *a))
+    rows = []
+    for t, sizes in enumerate(tasks):
+        for b, members in enumerate(P.best_fit(sizes, 1024)):
+            used, offset = sum(sizes[i] for i in members), 0
+            for i in members:
+                rows.append((t * 10**6 + i, 0, 0, sizes[i], 0, (t << P._TASK) + b, offset, 1024 - used <= P.NEARLY_FULL, used))
+                offset += sizes[i]
+    docs = spark.createDataFrame([(0, "")] * len(tasks), "doc_id long, text string").repartition(len(tasks))
+    table = spark.createDataFrame(rows, P._SCHEMA)
+    monkeypatch.setattr(P, "encode_and_pack", lambda *a: table)
+    placed = P.pack(docs, vocabulary="none")
+    assert placed.select("doc_id").distinct().count() == placed.count() == len(rows)
+    found = placed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("o"), F.count("*").alias("c"))
+    assert found.filter("n > 1024 OR end <> n OR o <> c").count() == 0
+    assert found.count() <= without_rounds(tasks)
+    assert len(seen) >= 2 if len(tasks) > 4 and case != "sizes by task" else seen
+
+
 def test_packing_of_nothing(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
