@@ -74,7 +74,7 @@ CTE["areas"] = "SELECT id, name, kind, admin_level, country_iso2, parent_id FROM
 
 def _rectangle(source: str) -> str:
     """Edges of boxes as they are after loading, with the facts of their area."""
-    facts = "x0 AS west, (x1 - x0) * (y1 - y0) AS area_size"
+    facts = "(x1 - x0) * (y1 - y0) AS area_size, CAST(-floor(log2((x1 - x0 + y1 - y0) / 24)) AS INT) AS fineness"
     return f"""
 SELECT id AS area_id, 0 AS ring_id, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2, {facts} FROM {source}
 UNION ALL SELECT id, 0, x1, y0, x1, y1, {facts} FROM {source}
@@ -129,6 +129,13 @@ SELECT 'https://maps.example/' || lpad(CAST(p_partkey AS STRING), 9, '0') AS lin
 FROM part
 """
 
+# Listings as they are scraped: some without a link, some that share one, some twice.
+CTE["scraped"] = """
+SELECT CASE p_partkey % 11 WHEN 3 THEN NULL WHEN 5 THEN 'https://maps.example/shared' ELSE link END AS link, title, complete_address, review_count, review_rating
+FROM listings
+UNION ALL SELECT link, title, complete_address, review_count, review_rating FROM listings WHERE p_partkey % 7 = 2 AND p_partkey % 11 NOT IN (3, 5)
+"""
+
 CTE["patterns"] = """
 SELECT DISTINCT upper(split_part(p_name, ' ', 2)) AS pattern FROM part WHERE split_part(p_name, ' ', 2) IN ('widget', 'ring', 'bolt')
 UNION SELECT DISTINCT p_name FROM part WHERE split_part(p_name, ' ', 1) = 'cold'

@@ -9,6 +9,7 @@ from placeweave.operators import areas as A
 from placeweave.operators import candidates as C
 from placeweave.operators import poi as P
 from placeweave.operators import search as S
+from placeweave.operators.search_many import search_locations_many
 
 SEED = (98.5, 3.25)
 
@@ -141,6 +142,29 @@ def pip_districts(spark, sf):
     return A.points_in_areas(plain_pois(spark, sf), load(spark, sf, "SELECT * FROM district_edges"))
 
 
+# Points on and beside the slanted border of a triangle, in tenths of a degree as they are written:
+# neither the points nor the border's line are exact as doubles.
+BORDER_POINTS = """SELECT c_custkey AS id, CAST(96.1 + (c_custkey % 13) / 10.0 AS DECIMAL(9, 4)) AS x,
+    CAST(1.3 + (c_custkey % 13) * 0.075 + CASE c_custkey % 5 WHEN 1 THEN 0.0001 WHEN 2 THEN -0.0001 ELSE 0 END AS DECIMAL(9, 4)) AS y FROM customer"""
+TRIANGLE = (("96.1", "1.3"), ("97.3", "2.2"), ("96.1", "2.2"))
+
+
+@query(f"""SELECT count(*) FILTER (x BETWEEN 96.1 AND 97.3 AND y BETWEEN 1.3 AND 2.2 AND 1.2 * (y - 1.3) >= 0.9 * (x - 96.1)) AS held,
+                  count(*) FILTER (x BETWEEN 96.1 AND 97.3 AND y BETWEEN 1.3 AND 2.2 AND 1.2 * (y - 1.3) = 0.9 * (x - 96.1)) AS on_border, count(*) AS points
+           FROM ({BORDER_POINTS})""")
+def points_on_borders(spark, sf):
+    """Places in a triangle, and on its slanted border, by coordinates that are decimals."""
+    points = load(spark, sf, BORDER_POINTS).select("id", *[F.col(c).cast("double").alias(n) for c, n in (("x", "longitude"), ("y", "latitude"))])
+    ring = [f"struct(double({a}) AS x1, double({b}) AS y1, double({c}) AS x2, double({d}) AS y2)"
+            for (a, b), (c, d) in zip(TRIANGLE, TRIANGLE[1:] + TRIANGLE[:1], strict=True)]
+    borders = spark.range(1).selectExpr("'t' AS area_id", f"inline(array({', '.join(ring)}))")
+    held = A.points_in_areas(points, borders)
+    slant = [f"{c}D" for c in (*TRIANGLE[0], *TRIANGLE[1])]
+    on = F.expr(f"{geo.side_sql(*slant, 'longitude', 'latitude')} = 0 AND {geo.within_sql(*slant, 'longitude', 'latitude')}")
+    marked = points.join(held, "id", "left")
+    return marked.agg(F.count("area_id").alias("held"), F.count(F.when(on, 1)).alias("on_border"), F.count(F.lit(1)).alias("points"))
+
+
 @query("SELECT id, area_id FROM o_smallest")
 def smallest_area(spark, sf):
     return A.smallest_area(plain_pois(spark, sf), edges(spark, sf))
@@ -201,15 +225,16 @@ def geojson_ingest(spark, sf):
         rejects.select("name", F.col("reason").alias("status"), F.lit(0.0).alias("area_size"), F.lit(0).cast("bigint").alias("edges")))
 
 
-RING_POINTS = """SELECT o_orderpriority AS name, o_orderkey AS place, CAST(o_orderkey % 360 - 180 AS BIGINT) AS x,
-    CAST(o_custkey % 170 - 85 AS BIGINT) AS y FROM orders"""
+# A ring has the points of a priority and of 50,000 order keys, so rings grow in number, not in length.
+RING_POINTS = """SELECT o_orderpriority || ' ' || CAST(CAST(floor(o_orderkey / 50000) AS BIGINT) AS STRING) AS name, o_orderkey AS place,
+    CAST(o_orderkey % 360 - 180 AS BIGINT) AS x, CAST(o_custkey % 170 - 85 AS BIGINT) AS y FROM orders"""
 
 
 @query(f"""SELECT name, count(*) AS edges, round(abs(sum(x * y2 - x2 * y)) / 2.0E0, 6) AS area_size FROM (
              SELECT name, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
              FROM ({RING_POINTS}) WINDOW w AS (PARTITION BY name ORDER BY place)) GROUP BY name""")
 def geojson_long_rings(spark, sf):
-    """One boundary per order priority, with a point for each of its orders."""
+    """One boundary per order priority and range of keys, with a point for each of its orders."""
     ring = F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.array(p["x"], p["y"]))
     rings = load(spark, sf, RING_POINTS).groupBy("name").agg(ring.alias("ring"))
     closed = F.concat("ring", F.slice("ring", 1, 1))
@@ -340,6 +365,36 @@ def search_locations_by_id(spark, sf):
     return found.select("id", "name", "country_iso2", "admin_level")
 
 
+# What many users type: the beginnings of names, names with a letter wrong, and words of them.
+ASKED = """SELECT substring(c_name, 1, 3 + c_custkey % 15) AS query FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT replace(s_name, '0', 'O') FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT lower(n_name) || ' town' FROM nation UNION ALL SELECT '' UNION ALL SELECT NULL UNION ALL SELECT n_name FROM nation"""
+
+
+@query(f"""WITH asked AS (SELECT DISTINCT query FROM ({ASKED}) WHERE query IS NOT NULL),
+           q AS (SELECT query, {_grams('query')} AS q FROM asked), n AS (SELECT id, name, {_grams('name')} AS g FROM places),
+           r AS (SELECT query, id, starts_with(lower(name), lower(query)) AS prefix, length(name) AS len,
+                        CASE WHEN len(list_concat(g, q)) = 0 THEN 0 ELSE {_sim('g', 'q')} END AS sim FROM q, n),
+           k AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY prefix DESC, sim DESC, len, id) AS rank FROM r WHERE prefix OR sim >= 0.3)
+           SELECT query, CAST(rank AS BIGINT) AS rank, id FROM k WHERE rank <= 7""")
+def search_many(spark, sf):
+    """The best areas for each of many texts, in one join."""
+    found = search_locations_many(load(spark, sf, "SELECT * FROM places"), load(spark, sf, ASKED), limit=7)
+    return found.select("query", F.col("rank").cast("bigint").alias("rank"), "id")
+
+
+DEEP = 0.6
+
+
+@query(f"""SELECT id, review_count, CAST((SELECT count(*) FROM pois) AS BIGINT) AS total_count FROM pois
+           ORDER BY review_count DESC NULLS LAST, review_rating DESC NULLS LAST, id LIMIT 30 OFFSET (SELECT CAST(floor(count(*) * {DEEP}) AS BIGINT) FROM pois)""")
+def deep_page(spark, sf):
+    """A page far down the list of places, without sorting all of them."""
+    df = plain_pois(spark, sf).select("id", "review_count", "review_rating")
+    page, total = S.page_of(df, int(df.count() * DEEP), 30, rows=500)
+    return page.select("id", "review_count", F.lit(total).cast("bigint").alias("total_count"))
+
+
 def _listed(df):
     return df.select(
         "id", "name", F.array_join("categories", ",").alias("categories"), "address", F.array_join("roles", ",").alias("roles"),

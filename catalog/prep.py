@@ -92,6 +92,30 @@ def prune_by_patterns(spark, sf):
     return dedup.prune_by_patterns(listings(spark, sf), patterns).select("link", "title")
 
 
+def _scraped(spark, sf):
+    return load(spark, sf, "SELECT link, title, complete_address, review_count, review_rating FROM scraped")
+
+
+_ALL = "link, title, complete_address, review_count, review_rating"
+# Equal rows are told apart by a number; all but the first of them come after it in the ranking.
+_NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY {_ALL}) AS copy, row_number() OVER () AS row FROM scraped"
+_SCRAPED_HITS = hits(f"({_NUMBERED})").replace("b.link)", "b.link NULLS LAST, b.title, b.copy)").replace("SELECT b.link,", "SELECT b.row, b.link,")
+
+
+@query(f"""WITH numbered AS MATERIALIZED ({_NUMBERED}), hit AS ({_SCRAPED_HITS.replace(f"({_NUMBERED})", "numbered")})
+           SELECT link, title, review_count FROM numbered WHERE row NOT IN (SELECT row FROM hit WHERE NOT is_flagship AND NOT is_exact AND rn > 1)""")
+def prune_scraped(spark, sf):
+    """Pruning of rows without links, with shared links and with copies."""
+    patterns = load(spark, sf, "SELECT pattern FROM patterns")
+    return dedup.prune_by_patterns(_scraped(spark, sf), patterns).select("link", "title", "review_count")
+
+
+@query(f"SELECT link, title, pattern, is_exact FROM ({hits('scraped')})")
+def scraped_matches(spark, sf):
+    patterns = load(spark, sf, "SELECT pattern FROM patterns")
+    return dedup.pattern_matches(_scraped(spark, sf), patterns).select("link", "title", "pattern", "is_exact")
+
+
 @query(f"SELECT link, country, pattern FROM ({_HITS}) WHERE NOT is_exact")
 def pattern_removals_unranked(spark, sf):
     patterns = load(spark, sf, "SELECT pattern FROM patterns")

@@ -72,28 +72,63 @@ def distance(lon, lat, seed_lon, seed_lat) -> Column:
     return F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), once(point, solve))
 
 
-def turn(ax, ay, bx, by, px, py) -> Column:
-    """Sign tells on which side of the line a-b the point lies; 0 is on the line."""
-    return (bx - ax) * (py - ay) - (px - ax) * (by - ay)
+# Digits behind the point that the exact test of sides keeps of a coordinate below 1000.
+_EXACT = "decimal(17,14)"
 
 
-def on_segment(ax, ay, bx, by, px, py) -> Column:
-    return (
-        (turn(ax, ay, bx, by, px, py) == 0)
-        & px.between(F.least(ax, bx), F.greatest(ax, bx))
-        & py.between(F.least(ay, by), F.greatest(ay, by))
-    )
+def side_sql(ax, ay, bx, by, px, py) -> str:
+    """SQL for 1 if the point lies to the left of the line a-b, -1 to the right, 0 on it; the
+    arguments are SQL too.
+
+    Doubles decide where their rounding cannot matter. Nearer to the line the coordinates are taken
+    as the decimals that they are written as, and sums and products of those are exact: three digits
+    before the point and fourteen behind it make products of 37 digits. So a point on a slanted
+    border is on it, though its double is not."""
+    def exact(c):
+        return f"try_cast({c} AS {_EXACT})"
+
+    right, left = f"({bx} - {ax}) * ({py} - {ay})", f"({px} - {ax}) * ({by} - {ay})"
+    spread = f"abs({bx} - {ax}) + abs({py} - {ay}) + abs({px} - {ax}) + abs({by} - {ay})"
+    turn = (f"({exact(bx)} - {exact(ax)}) * ({exact(py)} - {exact(ay)}) - ({exact(px)} - {exact(ax)}) * ({exact(by)} - {exact(ay)})")
+    return (f"CASE WHEN abs({right} - {left}) > 5E-16D * (abs({right}) + abs({left})) + 6E-14D * ({spread}) "
+            f"THEN signum({right} - {left}) ELSE coalesce(signum(double({turn})), signum({right} - {left})) END")
+
+
+def within_sql(ax, ay, bx, by, px, py) -> str:
+    """SQL: is the point in the box that has the segment as its diagonal?"""
+    return f"({px} BETWEEN least({ax}, {bx}) AND greatest({ax}, {bx}) AND {py} BETWEEN least({ay}, {by}) AND greatest({ay}, {by}))"
+
+
+def once_sql(value: str, name: str, use: str) -> str:
+    """SQL `use` with `name` for `value`, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
 
 def segments_meet(p, q) -> Column:
-    """Do two segments (x1, y1, x2, y2) share a point? Touching counts."""
+    """Do two segments, each named by its columns (x1, y1, x2, y2), share a point? Touching counts."""
     ax, ay, bx, by = p
     cx, cy, dx, dy = q
-    proper = (
-        F.signum(turn(ax, ay, bx, by, cx, cy)) * F.signum(turn(ax, ay, bx, by, dx, dy)) < 0
-    ) & (F.signum(turn(cx, cy, dx, dy, ax, ay)) * F.signum(turn(cx, cy, dx, dy, bx, by)) < 0)
-    return (
-        proper
-        | on_segment(ax, ay, bx, by, cx, cy) | on_segment(ax, ay, bx, by, dx, dy)
-        | on_segment(cx, cy, dx, dy, ax, ay) | on_segment(cx, cy, dx, dy, bx, by)
-    )
+    sides = (f"named_struct('c', {side_sql(*p, cx, cy)}, 'd', {side_sql(*p, dx, dy)}, "
+             f"'a', {side_sql(*q, ax, ay)}, 'b', {side_sql(*q, bx, by)})")
+    on = " OR ".join(f"(s.{k} = 0 AND {within_sql(*line, x, y)})" for k, line, x, y in (
+        ("c", p, cx, cy), ("d", p, dx, dy), ("a", q, ax, ay), ("b", q, bx, by)))
+    near = (f"greatest({ax}, {bx}) >= least({cx}, {dx}) AND greatest({cx}, {dx}) >= least({ax}, {bx}) AND "
+            f"greatest({ay}, {by}) >= least({cy}, {dy}) AND greatest({cy}, {dy}) >= least({ay}, {by})")
+    return F.expr(f"CASE WHEN {near} THEN {once_sql(sides, 's', f'(s.c * s.d < 0 AND s.a * s.b < 0) OR {on}')} ELSE false END")
+
+
+def _spread(c) -> Column:
+    """The 16 bits of a number with a zero between each two."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return c
+
+
+def morton(lon, lat) -> Column:
+    """The place of a point on a curve that fills the map, such that points near on the curve are near
+    on the map: the bits of longitude and latitude in turn. Null without a point."""
+    def steps(c, least, span):
+        return F.least(F.greatest(F.floor((F.col(c) - least) / span * 65536), F.lit(0)), F.lit(65535)).cast("long")
+
+    curve = _spread(steps(lon, -180.0, 360.0)) + F.shiftleft(_spread(steps(lat, -90.0, 180.0)), 1)
+    return F.when(F.col(lon).isNotNull() & F.col(lat).isNotNull(), curve)

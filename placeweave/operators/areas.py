@@ -1,24 +1,25 @@
 """Administrative areas as polygon edges, and the spatial joins on them.
 
-An area's border is one row per edge. A point lies in the area when a ray from it to the east
-crosses an odd number of edges, or when it lies on one. Only edges whose latitude range holds
-the point can be crossed, so edges are filed under latitude bands (and under the columns from
-the area's western end to the edge), and points meet them in an equi-join.
+An area's border is one row per edge. Points meet the cells of the areas' covers (`cover.py`) in an
+equi-join: inside them no edge is tested, and a cell that the border passes holds the few edges that
+matter there.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.functions.geo import on_segment, segments_meet, turn
+from placeweave.functions.geo import segments_meet
 from placeweave.functions.text import once
 from placeweave.operators import skew
-from placeweave.operators.skew import first_per_group, lookup_join, with_totals
+from placeweave.operators.cover import KEYS, area_cells, cell_of, fineness, holds, touched
+from placeweave.operators.skew import cut_lineage, first_per_group, lookup_join, small_values
 
-BAND = 0.05
-COLUMN = 5.0
 CELL = 0.5
-# Edges may be broadcast up to so many times the usual number of rows: they are a few numbers.
+# Cells may be broadcast up to so many times the usual number of rows: they are a few numbers.
 NARROW = 5
+# Kinds of cells (sizes and blocks) that points look up one after the other; more are looked up in
+# rows of their own.
+KINDS = 16
 
 _RING = "array<array<double>>"
 
@@ -104,94 +105,45 @@ def area_sizes(edges: DataFrame) -> DataFrame:
 
 
 def with_area_facts(edges: DataFrame) -> DataFrame:
-    """Edges with the western end (`west`) and the size (`area_size`) of their area. Loaded
-    edges have both, so that spatial joins need not aggregate them again."""
-    if {"west", "area_size"} <= set(edges.columns):
+    """Edges with the size (`area_size`) of their area and that of the cells of its cover
+    (`fineness`). Loaded edges have both, so that spatial joins need not aggregate them again."""
+    if {"area_size", "fineness"} <= set(edges.columns):
         return edges
-    facts = with_totals(
-        edges.drop("west", "area_size"), "area_id", _COORDINATES,
-        partial={"west": F.min(F.least("x1", "x2")), "_twice": _twice_size()},
-        merge={"west": F.min("west"), "_twice": F.sum("_twice")},
-    )
-    return facts.withColumn("area_size", _size(F.col("_twice"))).drop("_twice")
-
-
-def banded_edges(edges: DataFrame, band: float = BAND, column: float = COLUMN) -> DataFrame:
-    """Edges pointing upward, one row per (band, column) in which a point may need them, with
-    the size of their area. Further columns of `edges` are kept."""
-    facts = with_area_facts(edges)
-    up = F.col("y1") <= F.col("y2")
-    laid = facts.select(
-        *[c for c in facts.columns if c not in _COORDINATES],
-        F.when(up, F.col("x1")).otherwise(F.col("x2")).alias("ax"), F.least("y1", "y2").alias("ay"),
-        F.when(up, F.col("x2")).otherwise(F.col("x1")).alias("bx"), F.greatest("y1", "y2").alias("by"),
-    )
-    bands = F.sequence(F.floor(F.col("ay") / band), F.floor(F.col("by") / band))
-    columns = F.sequence(F.floor(F.col("west") / column), F.floor(F.greatest("ax", "bx") / column))
-    return laid.withColumn("band", F.explode(bands)).withColumn("strip", F.explode(columns)).drop("west")
-
-
-def _relation(edge, px: Column, py: Column) -> tuple[Column, Column]:
-    """Does the ray from a point to the east cross an edge, and does the point lie on it?"""
-    ax, ay, bx, by = (edge(c) for c in ("ax", "ay", "bx", "by"))
-    crosses = (ay <= py) & (py < by) & (turn(ax, ay, bx, by, px, py) > 0)
-    return crosses, on_segment(ax, ay, bx, by, px, py)
+    bare = edges.drop("area_size", "fineness")
+    totals = bare.groupBy("area_id").agg(
+        _twice_size().alias("_twice"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.expr("sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))")).alias("_length"))
+    facts = totals.select("area_id", _size(F.col("_twice")).alias("area_size"), F.expr(fineness("_length", "_n")).alias("fineness"))
+    # One row per area on the right; the edges of a large area are a skewed side that Spark splits.
+    return bare.join(facts, "area_id")
 
 
-def with_areas(points: DataFrame, banded: DataFrame, facts, lon: str, lat: str, out: str, band: float, column: float) -> DataFrame:
-    """Points with the areas that hold each, as an array of structs of `facts` (ending with the
-    area's id). `banded` is small enough to broadcast: the edges of a band and strip become an
-    array, every point meets one, and no point is shuffled."""
-    laid = banded.groupBy(F.col("band").alias("__b"), F.col("strip").alias("__s")).agg(F.collect_list(F.struct(
-        F.struct(*facts).alias("area"), "ax", "ay", "bx", "by")).alias("__edges"))
-    keyed = points.withColumns({
-        "__band": F.floor(F.col(lat) / band), "__strip": F.floor(F.col(lon) / column)})
-    met = keyed.join(F.broadcast(laid), (F.col("__band") == F.col("__b")) & (F.col("__strip") == F.col("__s")), "left")
+def _cover(edges: DataFrame, carry) -> tuple[DataFrame, list]:
+    """The cover of all areas, and the kinds (fineness, run) of cells that it has; None if these are
+    more than KINDS."""
+    cells = cut_lineage(area_cells(with_area_facts(edges), carry))
+    return cells, small_values(cells, "fineness", "run", rows=KINDS)
 
-    def close(e):
-        crosses, touches = _relation(lambda c: e[c], F.col(lon), F.col(lat))
-        return F.struct(e["area"].alias("area"), crosses.alias("crosses"), touches.alias("touches"))
 
-    def holding(found):
-        def inside(area):
-            mine = F.filter(found, lambda h: h["area"] == area)
-            return (F.size(F.filter(mine, lambda h: h["crosses"])) % 2 == 1) | F.exists(mine, lambda h: h["touches"])
-        return F.filter(F.array_distinct(F.transform(found, lambda h: h["area"])), inside)
-
-    near = F.filter(F.transform("__edges", close), lambda h: h["crosses"] | h["touches"])
-    return met.withColumn(out, once(near, holding)).select(*points.columns, out)
+def points_in_areas(points: DataFrame, edges: DataFrame, id_col: str = "id", lon: str = "longitude",
+                    lat: str = "latitude", carry=()) -> DataFrame:
+    """(id, area_id) for every area that holds the point, its border included. A point looks up its
+    cell of each kind; every row of the join is one area, so nothing is aggregated. Points without
+    coordinates are in no area. `carry` names columns of `edges` that are the same all over an area,
+    or `area_size`, to be passed on."""
+    cells, _ = _cover(edges, carry)
+    return _held(points, cells, id_col, lon, lat, carry)
 
 
-def points_in_areas(points: DataFrame, edges: DataFrame, id_col: str = "id", lon: str = "longitude",
-                    lat: str = "latitude", carry=(), band: float = BAND, column: float = COLUMN) -> DataFrame:
-    """(id, area_id) for every area that holds the point, its border included. Rows that
-    neither cross the ray nor touch the point are dropped inside the join, so few are left to
-    aggregate. Points without coordinates are in no area. `carry` names columns of `edges`
-    that are the same all over an area, or `area_size`, to be passed on."""
-    banded = banded_edges(edges, band, column)
-    if skew.fits_broadcast(banded, skew.BROADCAST_ROWS * NARROW):
-        facts = [c for c in carry if c != "area_id"] + ["area_id"]
-        held = with_areas(points.select(id_col, lon, lat), banded, facts, lon, lat, "__areas", band, column)
-        return held.select(id_col, F.inline("__areas")).select(id_col, "area_id", *carry)
-    return _crossings(points, banded, id_col, lon, lat, carry, band, column)
-
-
-def _crossings(points: DataFrame, banded: DataFrame, id_col: str, lon: str, lat: str, carry, band: float, column: float) -> DataFrame:
-    """The same for edges that are too many to broadcast: a salted join and a count per pair."""
+def _held(points: DataFrame, cells: DataFrame, id_col: str, lon: str, lat: str, carry) -> DataFrame:
+    kinds = cells.select("fineness", "run").distinct().agg(F.collect_list(F.struct("fineness", "run")).alias("k")).scalar()
     placed = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(
-        id_col, F.col(lon).alias("px"), F.col(lat).alias("py"),
-        F.floor(F.col(lat) / band).alias("band"), F.floor(F.col(lon) / column).alias("strip"),
-    )
-    crosses, touches = _relation(F.col, F.col("px"), F.col("py"))
-    met = lookup_join(placed, banded, ["band", "strip"], id_col, small_rows=skew.BROADCAST_ROWS * NARROW + 1, narrow=NARROW)
-    return (
-        met.select(id_col, "area_id", *carry, crosses.cast("int").alias("crosses"), touches.alias("touches"))
-        .filter("crosses = 1 OR touches")
-        .groupBy(id_col, "area_id", *carry)
-        .agg(F.sum("crosses").alias("n"), F.max("touches").alias("on_border"))
-        .filter("n % 2 = 1 OR on_border")
-        .select(id_col, "area_id", *carry)
-    )
+        id_col, F.col(lon).alias("_px"), F.col(lat).alias("_py"), F.inline(kinds))
+    kx, cy = cell_of("_px", "_py", "fineness", "run")
+    keyed = placed.selectExpr("*", f"{kx} AS kx", f"{cy} AS cy")
+    met = lookup_join(keyed, cells, KEYS, id_col, narrow=NARROW)
+    return met.filter(holds("fineness", "kx", "cy", "odd", "lines", "_px", "_py")).select(
+        id_col, "area.area_id", *[F.col("area")[c].alias(c) for c in carry if c != "area_id"])
 
 
 def smallest_area(points: DataFrame, edges: DataFrame, id_col: str = "id", **columns) -> DataFrame:
@@ -200,17 +152,41 @@ def smallest_area(points: DataFrame, edges: DataFrame, id_col: str = "id", **col
 
 
 def with_first_area(points: DataFrame, edges: DataFrame, rank: str, id_col: str = "id", out: str = "area_id",
-                    lon: str = "longitude", lat: str = "latitude", band: float = BAND, column: float = COLUMN) -> DataFrame:
+                    lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """Points (with unique ids) with the first of the areas that hold them, by a column of the
-    edges and then by id; null where there is none. Points are shuffled only if the edges are
-    too many to broadcast."""
-    banded = banded_edges(edges, band, column)
-    if skew.fits_broadcast(banded, skew.BROADCAST_ROWS * NARROW):
-        held = with_areas(points, banded, [rank, "area_id"], lon, lat, "__areas", band, column)
-        return held.withColumn(out, F.array_min("__areas")["area_id"]).drop("__areas")
-    pairs = _crossings(points, banded, id_col, lon, lat, [rank], band, column)
-    first = pairs.groupBy(id_col).agg(F.min(F.struct(rank, "area_id"))["area_id"].alias(out))
-    return points.join(first, id_col, "left")
+    edges and then by id; null where there is none. Points are shuffled only if the cells are
+    too many to broadcast, or of too many kinds."""
+    cells, kinds = _cover(edges, [rank])
+    if kinds is None or not skew.fits_broadcast(cells, skew.BROADCAST_ROWS * NARROW):
+        pairs = _held(points, cells, id_col, lon, lat, [rank])
+        first = pairs.groupBy(id_col).agg(F.min(F.struct(rank, "area_id"))["area_id"].alias(out))
+        return points.join(first, id_col, "left")
+    found = points
+    for k, (level, run) in enumerate(kinds):
+        here = cells.filter((F.col("fineness") == level) & (F.col("run") == run)).groupBy(
+            F.col("kx").alias(f"__kx{k}"), F.col("cy").alias(f"__cy{k}")).agg(F.collect_list(F.struct("area", "odd", "lines")).alias(f"__areas{k}"))
+        kx, cy = cell_of(f"`{lon}`", f"`{lat}`", level, run)
+        found = found.join(F.broadcast(here), F.expr(f"{kx} = __kx{k} AND {cy} = __cy{k}"), "left")
+    # In order, the first of each kind of cell, and the first of those.
+    firsts = [f"array_min(transform(filter(__areas{k}, a -> {holds(level, f'__kx{k}', f'__cy{k}', 'a.odd', 'a.lines', f'`{lon}`', f'`{lat}`')}), a -> a.area))"
+              for k, (level, run) in enumerate(kinds)]
+    first = f"array_min(array({', '.join(firsts)})).area_id" if firsts else f"CAST(NULL AS {edges.schema['area_id'].dataType.simpleString()})"
+    return found.select(*points.columns, F.expr(first).alias(out))
+
+
+def bounding_box(edges: DataFrame):
+    """(west, south, east, north) of all areas, or None without edges."""
+    x, y = [F.least("x1", "x2"), F.greatest("x1", "x2")], [F.least("y1", "y2"), F.greatest("y1", "y2")]
+    found = edges.agg(F.min(x[0]).alias("x0"), F.min(y[0]).alias("y0"), F.max(x[1]).alias("x1"), F.max(y[1]).alias("y1")).first()
+    return None if found["x0"] is None else tuple(found)
+
+
+def in_box(points: DataFrame, box, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """Points in a box, its border included: bounds that a scan can use to skip row groups."""
+    if box is None:
+        return points.filter(F.lit(False))
+    x0, y0, x1, y1 = box
+    return points.filter((F.col(lon) >= x0) & (F.col(lon) <= x1) & (F.col(lat) >= y0) & (F.col(lat) <= y1))
 
 
 def link_poi_areas(pois: DataFrame, areas: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
@@ -224,44 +200,75 @@ def link_poi_areas(pois: DataFrame, areas: DataFrame, edges: DataFrame, id_col:
     return linked.withColumn("admin_area_id", F.coalesce("_area", old)).drop("_area")
 
 
-def _cells(edges: DataFrame, cell: float) -> DataFrame:
-    across = F.sequence(F.floor(F.least("x1", "x2") / cell), F.floor(F.greatest("x1", "x2") / cell))
-    up = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
-    return edges.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(up))
-
-
 def _ring_starts(edges: DataFrame) -> DataFrame:
     """One vertex per ring: enough to tell containment when no borders meet."""
-    ring = [c for c in ("area_id", "country_iso2", "polygon_id", "ring_id") if c in edges.columns]
+    ring = [c for c in ("area_id", "country_iso2", "side", "polygon_id", "ring_id") if c in edges.columns]
     return edges.groupBy(F.struct(*ring).alias("ring")).agg(F.min(F.struct("x1", "y1")).alias("v")).select(
         "ring", F.col("v.x1").alias("longitude"), F.col("v.y1").alias("latitude"))
 
 
+# Edges of one cell may make so many pairs; cells with more are split into 8 by 8.
+PAIRS = 4096
+_SPLIT = 8
+_DEPTH = 5
+
+
+def _in_cells(edges: DataFrame, size: float) -> DataFrame:
+    """Edges (area_id, country_iso2, ends) in every cell that they touch."""
+    placed = touched(edges.select("area_id", "country_iso2", *_COORDINATES), f"{size!r}D")
+    return placed.selectExpr("country_iso2", "explode(sequence(cx_from, cx_to)) AS cx", "cy", "area_id", *_ENDS)
+
+
+_ENDS = ("ax", "ay", "bx", "by")
+_CELL = ["country_iso2", "cx", "cy"]
+
+
+def border_pairs(left: DataFrame, right: DataFrame, cell: float = CELL, pairs: int = PAIRS) -> DataFrame:
+    """(left_id, right_id) of areas in one country whose borders share a point. Edges meet in grid
+    cells. Where those of a cell make more than `pairs` pairs, the cell is split, again and again; at
+    the last size what still is too much (many edges through one spot) is spread over salts."""
+    out, open_, size = None, None, cell
+    for depth in range(_DEPTH + 1):
+        sides = [_in_cells(e, size) for e in (left, right)]
+        if open_ is not None:
+            parent = open_.select("country_iso2", F.col("cx").alias("_px"), F.col("cy").alias("_py"))
+            inner = (F.floor(F.col("cx") / _SPLIT) == F.col("_px")) & (F.floor(F.col("cy") / _SPLIT) == F.col("_py"))
+            sides = [s.join(parent, (s.country_iso2 == parent.country_iso2) & inner, "left_semi") for s in sides]
+        counts = [s.groupBy(*_CELL).agg(F.count(F.lit(1)).alias(n)) for s, n in zip(sides, ("l", "r"), strict=True)]
+        shared = cut_lineage(counts[0].join(counts[1], _CELL).withColumn("dense", F.col("l") * F.col("r") > pairs))
+        last = depth == _DEPTH
+        here = (shared if last else shared.filter("NOT dense")).select(*_CELL)
+        l, r = (s.join(here, _CELL, "left_semi").select(*_CELL, *[F.col(c).alias(p + c) for c in ("area_id", *_ENDS)])
+                for s, p in zip(sides, ("l_", "r_"), strict=True))
+        both = lookup_join(l, r, _CELL, ["l_area_id", "l_ax", "l_ay"]) if last else l.join(r, _CELL)
+        met = both.filter(segments_meet(*[[p + c for c in _ENDS] for p in ("l_", "r_")])).select(
+            F.col("l_area_id").alias("left_id"), F.col("r_area_id").alias("right_id"))
+        out = met if out is None else out.unionByName(met)
+        open_, size = shared.filter("dense"), size / _SPLIT
+        if last or open_.isEmpty():
+            return out.distinct()
+
+
 def areas_meet(left: DataFrame, right: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:
     """(left_id, right_id) of areas in one country that share a point. `left` and `right` have
-    (id, country_iso2). Either some border edges meet, found per grid cell, or a ring of one
-    starts inside the other."""
-    def borders(areas):
-        return lookup_join(edges, areas.select(F.col("id").alias("area_id"), "country_iso2"), "area_id", _COORDINATES)
-
-    def cells(side, prefix):
-        named = [F.col(c).alias(prefix + c) for c in ("area_id", *_COORDINATES)]
-        return _cells(side, cell).select("country_iso2", "cx", "cy", *named)
-
-    l, r = borders(left), borders(right)
-    segments = [[F.col(prefix + c) for c in _COORDINATES] for prefix in ("l_", "r_")]
-    touching = lookup_join(
-        cells(l, "l_"), cells(r, "r_"), ["country_iso2", "cx", "cy"], ["l_area_id", "l_x1", "l_y1"]
-    ).filter(segments_meet(*segments)).select(
-        F.col("l_area_id").alias("left_id"), F.col("r_area_id").alias("right_id"))
-
-    def inside(inner, outer, names):
-        pairs = points_in_areas(_ring_starts(inner), outer, "ring", carry=["country_iso2"])
-        return pairs.filter("ring.country_iso2 = country_iso2").select(
-            F.col("ring.area_id").alias(names[0]), F.col("area_id").alias(names[1]))
-
-    held = inside(l, r, ("left_id", "right_id")).unionByName(inside(r, l, ("right_id", "left_id")))
-    return touching.unionByName(held).distinct()
+    (id, country_iso2). Either a ring of one starts inside the other, or some border edges meet; these
+    are compared only for areas on the left that are not known to meet all of their country."""
+    sides = left.select(F.col("id").alias("area_id"), "country_iso2", F.lit(0).alias("side")).unionByName(
+        right.select(F.col("id").alias("area_id"), "country_iso2", F.lit(1).alias("side")))
+    # Read six times below.
+    borders = cut_lineage(with_area_facts(lookup_join(edges, sides, "area_id", _COORDINATES)))
+    # A ring has one start, so few points are looked up: larger cells are enough.
+    coarse = borders.withColumn("fineness", F.col("fineness") - 3)
+    starts = points_in_areas(_ring_starts(borders), coarse, "ring", carry=["country_iso2", "side"]).filter(
+        "ring.country_iso2 = country_iso2 AND ring.side <> side")
+    held = cut_lineage(starts.selectExpr(
+        "if(side = 1, ring.area_id, area_id) AS left_id", "if(side = 1, area_id, ring.area_id) AS right_id").distinct())
+    there = right.groupBy("country_iso2").agg(F.count(F.lit(1)).alias("there"))
+    met = held.groupBy(F.col("left_id").alias("id")).agg(F.count(F.lit(1)).alias("met"))
+    unsettled = left.select("id", "country_iso2").join(there, "country_iso2").join(met, "id", "left").filter(
+        F.coalesce("met", F.lit(0)) < F.col("there")).select(F.col("id").alias("area_id"))
+    rest = borders.filter("side = 0").join(unsettled, "area_id", "left_semi")
+    return held.unionByName(border_pairs(rest, borders.filter("side = 1"), cell)).distinct()
 
 
 def link_area_parents(areas: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:

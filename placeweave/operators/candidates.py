@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from placeweave.constants import THEMES
 from placeweave.functions import geo, media, scoring
-from placeweave.operators.areas import with_first_area
+from placeweave.operators.areas import bounding_box, in_box, with_first_area
 from placeweave.operators.poi import has_role, with_themes
 from placeweave.operators.skew import BROADCAST_ROWS, lookup_join, small_values, top_per_group
 
@@ -188,7 +188,7 @@ def poi_candidates(pois: DataFrame, areas: DataFrame, edges: DataFrame, theme_ma
                    seed_lon=None, seed_lat=None) -> DataFrame:
     """Places for a trip to `destination`, at most the quota per role.
 
-    Filters run before the spatial join, and only the id and the sort keys go through the
+    Filters run before the spatial join, the destination's box first of all, and only the id and the sort keys go through the
     shuffles. The result has at most the sum of the quotas rows, so it is broadcast to fetch
     the wide columns."""
     dest = pick_destination(areas, destination)
@@ -213,6 +213,8 @@ def poi_candidates(pois: DataFrame, areas: DataFrame, edges: DataFrame, theme_ma
     flags = [c for c in PAYLOAD[7:] if c in pois.columns]
     narrow = pois.select("id", "categories", "poi_roles", "review_rating", "review_count",
                          "latitude", "longitude", *flags)
+    # Whatever lies outside the destination's box is not read from a table that is laid out by place.
+    narrow = in_box(narrow, bounding_box(borders))
     asked = narrow.withColumns({c: F.lit(False) for c in PAYLOAD[7:] if c not in flags})
     able = with_themes(asked, theme_map, out="all_themes").filter(eligible(want))
     able = able.withColumn(

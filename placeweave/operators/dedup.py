@@ -115,6 +115,23 @@ def duplicate_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 # Characters in a piece of a title or pattern; shorter patterns are one piece.
 PIECE = 3
+_ROW = ["_row1", "_row2"]
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Rows with a key that tells them apart whatever they lack: two hashes over all columns, and over
+    which of them are null. Rows that are equal in every column share it."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*[c.isNull().cast("string") for c in columns])
+    return df.withColumns({"_row1": F.xxhash64(nulls, *columns), "_row2": F.xxhash64(F.lit(1), nulls, *columns)})
+
+
+def _titles(df: DataFrame, id_col: str) -> DataFrame:
+    """Distinct listings that a pattern may match, with the number of their copies."""
+    found = _keyed(df).select(
+        *_ROW, F.col(id_col).alias("_id"), "title", "review_count", "review_rating",
+        text.country_tag("complete_address").alias("country")).filter("country IS NOT NULL AND title IS NOT NULL")
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("haystack", F.upper("title"))
 
 
 def _pieces(c, lengths):
@@ -124,55 +141,93 @@ def _pieces(c, lengths):
     return F.array_distinct(F.flatten(pieces))
 
 
-def pattern_matches(df: DataFrame, patterns: DataFrame, id_col: str = "link") -> DataFrame:
-    """Listings whose title contains a pattern, letter case aside, with the verdict per
-    pattern. A title can contain a pattern only if it holds the pattern's first three
-    characters, so ids and pieces of titles meet the patterns in an equi-join on those, and only
-    titles that have such a piece are fetched and checked as a whole."""
+def _own_pieces(needle):
+    """All pieces of a pattern, each of which a title must hold; a short pattern is its only one."""
+    last = F.greatest(F.length(needle) - (PIECE - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(needle, i, F.lit(PIECE))))
+
+
+def rarest_pieces(held: DataFrame, needles: DataFrame) -> DataFrame:
+    """Patterns with the one of their pieces that the fewest titles hold. A pattern with a piece that no
+    title holds matches nothing and is left out. `held` has one row per title and piece."""
+    own = needles.withColumn("piece", F.explode(_own_pieces(F.col("needle"))))
+    wanted = own.select("piece").distinct()
+    seen = lookup_join(held.select("piece"), wanted, "piece", "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    counted = own.join(seen, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counted.groupBy("pattern", "needle").agg(F.min(F.struct("n", "piece")).alias("rarest")).filter("rarest.n > 0").select(
+        "pattern", "needle", "rarest.piece")
+
+
+def _hits(df: DataFrame, patterns: DataFrame, id_col: str) -> DataFrame:
+    """Distinct listings (with `copies`) and the patterns that their titles contain. A title is
+    compared with a pattern only if it holds the pattern's rarest piece: row keys and pieces meet the
+    patterns in an equi-join, and only titles that have such a piece are fetched."""
     needles = patterns.select(text.strip("pattern").alias("pattern")).filter("pattern <> ''").distinct().withColumn(
         "needle", F.upper("pattern"))
-    needles = needles.withColumn("piece", F.substring("needle", 1, PIECE))
-    lengths = [n for (n,) in small_values(needles.select(F.length("piece").alias("n")), "n")]
-    titles = df.select(
-        id_col, "title", "review_count", "review_rating",
-        text.country_tag("complete_address").alias("country"), F.upper("title").alias("haystack"),
-    ).filter("country IS NOT NULL AND title IS NOT NULL")
+    lengths = [n for (n,) in small_values(needles.select(F.least(F.length("needle"), F.lit(PIECE)).alias("n")), "n")]
+    titles = _titles(df, id_col)
     pieces = _pieces(F.col("haystack"), lengths) if lengths else F.array().cast("array<string>")
-    held = titles.select(id_col, F.explode(pieces).alias("piece"))
-    met = lookup_join(held, needles, "piece", id_col).select(id_col, "pattern", "needle")
-    hits = titles.join(met, id_col).filter(F.col("haystack").contains(F.col("needle")))
-    return hits.select(
-        id_col, "title", "country", "pattern", "review_count", "review_rating",
-        text.is_flagship("title").alias("is_flagship"),
-        (F.lower("title") == F.lower("pattern")).alias("is_exact"),
-    )
+    held = titles.select(*_ROW, F.explode(pieces).alias("piece"))
+    met = lookup_join(held, rarest_pieces(held, needles), "piece", _ROW).select(*_ROW, "pattern", "needle")
+    found = titles.join(met, _ROW).filter(F.col("haystack").contains(F.col("needle")))
+    return found.withColumns({
+        "is_flagship": text.is_flagship("title"), "is_exact": F.lower("title") == F.lower("pattern")})
 
 
-def pattern_removals(df, patterns, keep_flagship=True, keep_exact=True, rank_by_reviews=True,
-                     id_col: str = "link") -> DataFrame:
-    """(id, country, pattern) of every removal. The best listing of a country and pattern
-    stays; it is found by a partial aggregate and excluded by an anti-join that has the id
-    in its key, so no pattern is too popular."""
-    hits = pattern_matches(df, patterns, id_col).drop("title")
+def _copied(df: DataFrame, times) -> DataFrame:
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).drop("_copy")
+
+
+def pattern_matches(df: DataFrame, patterns: DataFrame, id_col: str = "link") -> DataFrame:
+    """Listings whose title contains a pattern, letter case aside, with the verdict per pattern. A
+    listing counts once for each of its rows, whether or not it has an id and whoever shares it."""
+    return _copied(_hits(df, patterns, id_col), F.col("copies")).select(
+        F.col("_id").alias(id_col), "title", "country", "pattern", "review_count", "review_rating", "is_flagship", "is_exact")
+
+
+def _removals(df, patterns, keep_flagship, keep_exact, rank_by_reviews, id_col) -> DataFrame:
+    """Hits with the number of copies that go under their pattern (`gone`). The best listing of a
+    country and pattern loses no more than its further copies; it is found by a partial aggregate
+    and joined by its row as well, so no pattern is too popular."""
+    hits = _hits(df, patterns, id_col)
     losers = hits
     if keep_flagship:
         losers = losers.filter(~F.col("is_flagship"))
     if keep_exact:
         losers = losers.filter(~F.col("is_exact"))
-    losers = losers.select(id_col, "country", "pattern")
+    losers = losers.select(*_ROW, "_id", "country", "pattern", "copies")
     if not rank_by_reviews:
-        return losers
-    best = hits.groupBy("country", "pattern").agg(F.min(_best_first(id_col))["id"].alias(id_col))
-    return losers.join(best, [id_col, "country", "pattern"], "left_anti")
+        return losers.withColumn("gone", F.col("copies"))
+    first = F.struct(
+        F.col("review_count").isNull(), -F.col("review_count"), F.col("review_rating").isNull(), -F.col("review_rating"),
+        F.col("_id").isNull(), F.col("_id"), F.col("title"), *[F.col(c).alias(c) for c in _ROW])
+    best = hits.groupBy("country", "pattern").agg(F.min(first).alias("b")).select(
+        "country", "pattern", *[F.col("b")[c].alias(c) for c in _ROW], F.lit(1).alias("stays"))
+    marked = losers.join(best, [*_ROW, "country", "pattern"], "left")
+    return marked.withColumn("gone", F.col("copies") - F.coalesce("stays", F.lit(0))).filter("gone > 0").drop("stays")
+
+
+def pattern_removals(df, patterns, keep_flagship=True, keep_exact=True, rank_by_reviews=True,
+                     id_col: str = "link") -> DataFrame:
+    """(id, country, pattern) of every removal."""
+    gone = _removals(df, patterns, keep_flagship, keep_exact, rank_by_reviews, id_col)
+    return _copied(gone, F.col("gone")).select(F.col("_id").alias(id_col), "country", "pattern")
 
 
 def prune_by_patterns(df, patterns, keep_flagship=True, keep_exact=True, rank_by_reviews=True,
                       dry_run=False, id_col: str = "link") -> DataFrame:
-    """Drop listings removed under any pattern, even if another pattern would keep them."""
+    """Drop listings removed under any pattern, even if another pattern would keep them. Of equal rows
+    that are the best of a pattern, and never worse than that, one stays."""
     if dry_run:
         return df
-    removals = pattern_removals(df, patterns, keep_flagship, keep_exact, rank_by_reviews, id_col)
-    return df.join(removals.select(id_col).distinct(), id_col, "left_anti")
+    removals = _removals(df, patterns, keep_flagship, keep_exact, rank_by_reviews, id_col)
+    per_row = removals.groupBy(*_ROW).agg(F.max("gone").alias("gone"), F.max("copies").alias("copies"))
+    keyed = _keyed(df)
+    untouched = keyed.join(per_row.select(*_ROW), _ROW, "left_anti")
+    if not rank_by_reviews:
+        return untouched.select(*df.columns)
+    one_stays = per_row.filter("gone < copies").select(*_ROW)
+    return untouched.unionByName(keyed.join(one_stays, _ROW, "left_semi").dropDuplicates(_ROW)).select(*df.columns)
 
 
 def removal_summary(before: DataFrame, after: DataFrame) -> DataFrame:

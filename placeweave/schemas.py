@@ -34,9 +34,5 @@ ABOUT = "array<struct<id:string,name:string,options:array<struct<name:string,ena
 IMAGES = "array<struct<title:string,image:string>>"
 REPLY = "struct<results:array<struct<label:string,buckets:array<string>>>>"
 
-BOUNDARY_FILE = T.StructType([
-    T.StructField("features", T.ArrayType(_struct(
-        properties=_struct(name=_S, country_iso2=_S, kind=_S, admin_level=_I, parent_id=_S),
-        geometry=_S,
-    )))
-])
+FEATURE = _struct(
+    type=_S, properties=_struct(name=_S, country_iso2=_S, kind=_S, admin_level=_I, parent_id=_S), geometry=_S)

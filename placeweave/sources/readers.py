@@ -1,12 +1,12 @@
 """Reading listings, guides, word lists, logs and boundaries, always with a schema."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave import schemas
 from placeweave.functions.text import strip
+from placeweave.sources.logs import read_log
+from placeweave.sources.splits import read_csv_splits, read_json_objects
 
 
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
@@ -24,34 +24,21 @@ def _csv(spark: SparkSession, path, positions: bool = False) -> DataFrame:
     return raw.select("*", place.alias("seq"))
 
 
-def csv_by_header(spark: SparkSession, root: str) -> list[list[str]]:
-    """The CSV files below a folder, those with equal headers together. Only first lines are
-    read; what comes to the driver is a row per file, as in any listing of files."""
-    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv").text(root).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), "value")
-    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    groups: dict[str, list[str]] = {}
-    for row in heads.orderBy("file").collect():
-        groups.setdefault(row["header"], []).append(row["file"])
-    return list(groups.values())
-
-
 def read_csv(spark: SparkSession, path, schema=schemas.RAW_LISTING, recursive: bool = False,
-             positions: bool = False) -> DataFrame:
+             positions: bool = False, split: bool = False) -> DataFrame:
     """One file, a folder of files, or a whole tree. Columns are taken by name; one that is
-    missing, or a value that does not fit its type, is null. The files of a tree may differ in
-    their headers: each kind of header is one scan. `positions` adds `seq`."""
-    def typed(raw: DataFrame) -> DataFrame:
-        return raw.select(*[
-            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ], *(["seq"] if positions else []))
-
-    groups = csv_by_header(spark, path) if recursive else [path]
-    if not groups:
-        return typed(spark.createDataFrame([], "seq struct<file:string,block:bigint,line:bigint>"))
-    return reduce(DataFrame.unionByName, [typed(_csv(spark, files, positions)) for files in groups])
+    missing, or a value that does not fit its type, is null. `positions` adds `seq`. With `split`,
+    and for trees, whose files may differ in their headers, large files are read by several tasks
+    (`splits.py`); otherwise a task reads a file, and equal headers are required."""
+    names = [f.name for f in schema.fields]
+    if recursive or split:
+        raw = read_csv_splits(spark, path, names, recursive, "*.csv" if recursive else None)
+    else:
+        raw = _csv(spark, path, positions)
+    return raw.select(*[
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ], *(["seq"] if positions else []))
 
 
 def read_guide(spark: SparkSession, path, positions: bool = False) -> DataFrame:
@@ -82,24 +69,16 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
 
 
 def read_assignments(spark: SparkSession, path) -> DataFrame:
-    """A log of {label, buckets} lines with `seq`, the position in the log. Lines that cannot
-    be read are skipped; missing buckets are an empty list. Later files come after earlier
-    ones, and in a file later lines after earlier ones, so that the last entry wins."""
-    place = {"written": "file_modification_time", "file": "file_path", "block": "file_block_start"}
-    lines = spark.read.text(path).select(
-        *[F.col(f"_metadata.{c}").alias(n) for n, c in place.items()],
-        F.monotonically_increasing_id().alias("line_no"), "value")
-    read = lines.select(*place, "line_no", F.from_json("value", schemas.ASSIGNMENT).alias("a"))
-    good = read.filter("a.label IS NOT NULL")
-    return good.select(
-        F.struct(*place, "line_no").alias("seq"), F.col("a.label").alias("label"),
-        F.coalesce("a.buckets", F.array().cast("array<string>")).alias("buckets"))
+    """A log of {label, buckets} lines with `seq`, the position in the log, whether or not it has been
+    merged (`logs.py`)."""
+    return read_log(spark, path)
 
 
 def read_boundaries(spark: SparkSession, path) -> DataFrame:
-    """Feature collections to rows for `load_areas`; the geometry stays text."""
-    files = spark.read.schema(schemas.BOUNDARY_FILE).option("multiLine", True).json(path)
-    features = files.select(F.explode("features").alias("f"))
+    """Feature collections to rows for `load_areas`; the geometry stays text. A file is cut at its
+    features by several tasks, and no row holds more than one."""
+    found = read_json_objects(spark, path).select(F.from_json("value", schemas.FEATURE).alias("f"))
+    features = found.filter("coalesce(f.type, 'Feature') = 'Feature' AND (f.properties IS NOT NULL OR f.geometry IS NOT NULL)")
     return features.select("f.properties.*", "f.geometry")
 
 

@@ -1,12 +1,14 @@
 import json
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo
 from placeweave.operators import areas as A
+from placeweave.operators import cover
 
 SQUARE = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
 HOLE = [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]]
@@ -45,9 +47,9 @@ def test_load_areas(spark):
     sizes = {r["name"]: r["area_size"] for r in A.area_sizes(edges).join(areas, F.col("area_id") == F.col("id")).collect()}
     assert sizes == {"a": 16.0, "e": 16.5}
     # Loaded edges carry the same facts, and the join does not need them to.
-    assert {(r["west"], r["area_size"]) for r in edges.collect()} == {(0.0, 16.0), (0.0, 16.5)}
+    assert {(r["area_size"], r["fineness"]) for r in edges.collect()} == {(16.0, 2), (16.5, 2)}
     point = spark.createDataFrame([(1, 9.5, 9.2)], "id int, longitude double, latitude double")
-    for table in (edges, edges.drop("west", "area_size")):
+    for table in (edges, edges.drop("fineness", "area_size")):
         assert A.smallest_area(point, table).count() == 1
 
 
@@ -76,8 +78,9 @@ def test_star_polygons_equal_brute_force(spark):
     df = spark.createDataFrame(points, "id int, longitude double, latitude double")
     want = {(i, n) for i, x, y in points for n, ring in rings.items() if inside(ring, x, y)}
     names = areas.select(F.col("id").alias("area_id"), "name")
-    for band, column in ((0.05, 1.0), (0.7, 0.3)):
-        got = A.points_in_areas(df, edges, band=band, column=column).join(names, "area_id")
+    for level in (None, 0, 4):
+        sized = edges if level is None else edges.withColumn("fineness", F.lit(level))
+        got = A.points_in_areas(df, sized).join(names, "area_id")
         assert {(r["id"], r["name"]) for r in got.collect()} == want
 
 
@@ -149,3 +152,87 @@ def test_points_are_not_shuffled_while_edges_fit(spark):
                             places.areas(spark, "/root/testdata/sf0.001"), places.edges(spark, "/root/testdata/sf0.001"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" not in text and "SortMergeJoin" not in text
+
+
+def exact_side(a, b, p):
+    """The sign of the turn by rational arithmetic on the decimals as written."""
+    (ax, ay), (bx, by), (px, py) = [[Fraction(str(v)) for v in q] for q in (a, b, p)]
+    turn = (bx - ax) * (py - ay) - (px - ax) * (by - ay)
+    return (turn > 0) - (turn < 0)
+
+
+def test_sides_are_those_of_the_decimals(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(600):
+        a, b = [(round(rng.uniform(-180, 180), 3), round(rng.uniform(-80, 80), 3)) for _ in range(2)]
+        t = rng.choice([0.1, 0.3, 0.5, 0.7, 1.1])
+        at = [float(Fraction(str(u)) + (Fraction(str(v)) - Fraction(str(u))) * Fraction(str(t))) for u, v in zip(a, b)]
+        nudge = rng.choice([0, 0, 1e-10, -1e-10, 1e-3])
+        rows.append((*a, *b, round(at[0], 6), float(Fraction(str(round(at[1], 6))) + Fraction(str(nudge)))))
+    df = spark.createDataFrame(rows, "ax double, ay double, bx double, by double, px double, py double")
+    got = [r[0] for r in df.select(F.expr(geo.side_sql(*df.columns))).collect()]
+    want = [exact_side(r[:2], r[2:4], r[4:]) for r in rows]
+    assert got == want and 50 < want.count(0)
+
+
+def test_borders_on_grid_lines_and_through_corners(spark):
+    """Areas whose vertices and edges lie on the lines of the grid, at every point of it, in cells of
+    several sizes, against rational arithmetic."""
+    shapes = {
+        "square": [(0, 0), (2, 0), (2, 2), (0, 2)], "diamond": [(1, 0), (2, 1), (1, 2), (0, 1)],
+        "notch": [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)], "spike": [(0, 0), (2, 1), (0, 1.5), (1, 0.75)],
+        "steps": [(0, 0), (0.5, 0), (0.5, 0.5), (1, 0.5), (1, 1), (1.5, 1), (1.5, 2), (0, 2)],
+    }
+    rows, edges = [], []
+    steps = [k / 8 for k in range(-4, 21)]
+    for name, ring in shapes.items():
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            edges.append((name, float(x1), float(y1), float(x2), float(y2)))
+    points = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in steps for y in steps)]
+    rows = spark.createDataFrame(points, "id int, longitude double, latitude double")
+    borders = spark.createDataFrame(edges, "area_id string, x1 double, y1 double, x2 double, y2 double")
+    want = set()
+    for i, x, y in points:
+        for name, ring in shapes.items():
+            sides = list(zip(ring, ring[1:] + ring[:1]))
+            on = any(exact_side(a, b, (x, y)) == 0 and min(a[0], b[0]) <= x <= max(a[0], b[0]) and min(a[1], b[1]) <= y <= max(a[1], b[1]) for a, b in sides)
+            if on or inside([*ring, ring[0]], x, y):
+                want.add((i, name))
+    for level in (None, -2, 0, 1, 3, 5):
+        sized = A.with_area_facts(borders)
+        sized = sized if level is None else sized.withColumn("fineness", F.lit(level))
+        assert {tuple(r) for r in A.points_in_areas(rows, sized).collect()} == want, level
+        first = {(r["id"], r["area_id"]) for r in A.with_first_area(rows, sized, "area_size").collect()}
+        sizes = {r["area_id"]: r["area_size"] for r in A.area_sizes(borders).collect()}
+        best = {i: min((sizes[n], n) for j, n in want if j == i)[1] for i in {j for j, _ in want}}
+        assert first == {(i, best.get(i)) for i, _, _ in points}, level
+
+
+def test_cells_inside_test_no_edges(spark):
+    _, edges, _ = A.load_areas(features(spark, [(1, "a", "SG", "state", 4, None, polygon(SQUARE, HOLE))]))
+    cells = cover.area_cells(edges.withColumn("fineness", F.lit(4)), []).collect()
+    assert any(c["lines"] is None and c["run"] == 3 for c in cells)
+    assert max(len(c["lines"]) for c in cells if c["lines"]) <= 4
+    plan = A.points_in_areas(spark.createDataFrame([(1, 0.5, 0.5)], "id int, longitude double, latitude double"), edges)
+    assert "Aggregate" not in plan._jdf.queryExecution().optimizedPlan().toString().split("Scalar")[0].split("Subquery")[0]
+
+
+def test_dense_coasts_are_split(spark, monkeypatch):
+    """A coast of 100,000 edges in a few cells against a neighbour's of 2,000: cells are split until
+    none holds more than the bounded number of pairs, and nothing is missed."""
+    def coast(name, n, lift):
+        x = (F.col("id") / n) * 0.4
+        y = F.lit(lift) + F.sin(F.col("id") * 0.7) * 0.0004
+        nxt = ((F.col("id") + 1) / n) * 0.4, F.lit(lift) + F.sin((F.col("id") + 1) * 0.7) * 0.0004
+        return spark.range(n).select(F.lit(name).alias("area_id"), F.lit("SG").alias("country_iso2"),
+                                     x.alias("x1"), y.alias("y1"), nxt[0].alias("x2"), nxt[1].alias("y2"))
+
+    left = coast("l", 100_000, 0.1).unionByName(coast("far", 500, 0.3))
+    right = coast("r", 2_000, 0.1004).unionByName(coast("off", 500, 0.45))
+    seen = []
+    monkeypatch.setattr(A, "cut_lineage", lambda df: seen.append(df.cache()) or seen[-1])
+    got = {tuple(r) for r in A.border_pairs(left, right).collect()}
+    assert got == {("l", "r")} and len(seen) > 1
+    joined = [s.filter("NOT dense").agg(F.max(F.col("l") * F.col("r"))).first()[0] or 0 for s in seen]
+    assert max(joined) <= A.PAIRS

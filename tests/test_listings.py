@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from placeweave.functions import media
 from placeweave.operators import classify, clean, dedup
@@ -87,6 +88,39 @@ def test_prune_keeps_what_no_pattern_takes(spark):
     assert dedup.prune_by_patterns(df, none).count() == 300
 
 
+def test_prune_tells_rows_apart_without_links(spark):
+    """Null and shared links and equal rows, against a plain version over row numbers."""
+    rng = random.Random(8)
+    titles = ["tea one", "tea two", "Tea", "house tea", "x", "flagship tea"]
+    rows = [(rng.choice([None, "s", f"l{i}"]), rng.choice(titles), SG, rng.choice([None, 1, 9]), rng.choice([None, 2.0])) for i in range(60)]
+    rows += rows[:25]
+    df = spark.createDataFrame(rows, LISTING).repartition(4)
+    for patterns in (["tea"], ["tea", "house", "two"], ["zzz", "tea"]):
+        pats = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+        merit = [(r[3] is None, -(r[3] or 0), r[4] is None, -(r[4] or 0), r[0] is None, r[0] or "") for r in rows]
+        matches, gone, ties = [], set(), False
+        for p in patterns:
+            found = sorted((merit[i], rows[i][1], i) for i in range(len(rows)) if p in rows[i][1].lower())
+            matches += [rows[i][:2] for _, _, i in found]
+            ties |= len({t for m, t, _ in found if m == found[0][0]}) > 1 if found else False
+            gone |= {i for _, _, i in found[1:] if "flagship" not in rows[i][1].lower() and rows[i][1].lower() != p}
+        got = sorted((tuple(r)[:2] for r in dedup.pattern_matches(df, pats).select("link", "title").collect()), key=repr)
+        assert got == sorted(matches, key=repr)
+        left = sorted(map(tuple, dedup.prune_by_patterns(df, pats).collect()), key=repr)
+        want = sorted((rows[i] for i in range(len(rows)) if i not in gone), key=repr)
+        assert len(left) == len(want) if ties else left == want
+
+
+def test_a_pattern_meets_few_titles(spark):
+    """A pattern that starts with a common piece is looked up by its rarest one."""
+    titles = [(f"the tea house {i}",) for i in range(500)] + [("the teak quay",)]
+    rows = spark.createDataFrame(titles, "title string").select(F.upper("title").alias("h"))
+    held = rows.select(F.explode(dedup._pieces(F.col("h"), [3])).alias("piece"))
+    needles = spark.createDataFrame([("the teak",), ("the tea",), ("the zoo",)], "pattern string").withColumn("needle", F.upper("pattern"))
+    got = {r["pattern"]: r["piece"] for r in dedup.rarest_pieces(held, needles).collect()}
+    assert got["the teak"] == "EAK" and set(got) == {"the teak", "the tea"}
+
+
 def test_counts(spark):
     df = spark.createDataFrame(BRANDS, LISTING)
     counts = {r["country"]: r["listings"] for r in dedup.country_counts(df).collect()}
