@@ -4,6 +4,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,30 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# Folders of `temporary`, the innermost last.
+_INSIDE: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_INSIDE[-1] if _INSIDE else shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """What is written inside goes to a folder that is removed at the end: whatever is to stay is
+    written to a path named before."""
+    folder = scratch(spark, "temporary")
+    _INSIDE.append(folder)
+    try:
+        yield
+    finally:
+        _INSIDE.remove(folder)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # Spark's setting that drops an execution's shuffle files when it ends: what is written needs
@@ -54,9 +77,10 @@ def scratch(spark: SparkSession, what: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Cut lineage: write the rows as a table in the shared folder and go on from there."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    spark = df.sparkSession
+    path = path or scratch(spark, what)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -69,11 +93,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def drop_written(df: DataFrame) -> None:
     """Remove a table made by `written` that no later step reads."""
     files = df.inputFiles()
-    if not files:
-        return
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    folder.getFileSystem(conf).delete(folder, True)
+    if files:
+        remove(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

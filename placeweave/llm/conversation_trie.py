@@ -27,6 +27,7 @@ hash and length alone, in whole. Other columns are not read.
 """
 
 import hashlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -234,11 +235,11 @@ class ZFastTrie:
             yield from reversed(order)
 
 
-def _runs(rows):
+def _runs(rows, block: int):
     """Runs of consecutive turns. A row is (conv_id, depth, name, above, fact)."""
     run = None
     for conv, depth, name, above, fact in rows:
-        if run is not None and (run.conv != conv or depth != run.base + len(run.names) or len(run.names) > BLOCK):
+        if run is not None and (run.conv != conv or depth != run.base + len(run.names) or len(run.names) > block):
             yield run
             run = None
         if run is None:
@@ -249,12 +250,12 @@ def _runs(rows):
         yield run
 
 
-def _in_batches(runs, expand, schema):
+def _in_batches(runs, expand, schema, batch: int):
     """Insert runs until a trie is full, and expand its edges to rows."""
     trie, made = ZFastTrie(), []
     for run in runs:
         trie.insert(run)
-        if trie.turns >= BATCH:
+        if trie.turns >= batch:
             for row in expand(trie):
                 made.append(row)
                 if len(made) >= _ROWS:
@@ -283,8 +284,8 @@ def _members(trie: ZFastTrie):
             yield run.names[d - base], run.names[d - base - 1], d, run.facts[d - base], node.low, node.runs
 
 
-def _count_members(batches):
-    return _in_batches(_runs(_rows(batches)), _members, _COUNTS)
+def _count_members(batches, block: int, batch: int):
+    return _in_batches(_runs(_rows(batches), block), _members, _COUNTS, batch)
 
 
 _SUMS = pa.schema([("name", pa.binary()), ("saved", pa.int64()), ("leaves", pa.int64())])
@@ -304,11 +305,11 @@ def _with_values(rows):
         yield (*turn, (saved, leaves))
 
 
-def _sum_subtrees(batches):
+def _sum_subtrees(batches, block: int, batch: int):
     own = {}
 
     def valued():
-        for run in _runs(_with_values(_rows(batches))):
+        for run in _runs(_with_values(_rows(batches)), block):
             found = [(n, f) for n, f in zip(run.names[1:], run.facts[1:], strict=True) if f != (0, 0)]
             for name, (saved, leaves) in found:
                 had = own.get(name, (0, 0))
@@ -328,7 +329,7 @@ def _sum_subtrees(batches):
             had = below.get(id(node.parent), (0, 0))
             below[id(node.parent)] = had[0] + saved, had[1] + leaves
 
-    return _in_batches(valued(), subtrees, _SUMS)
+    return _in_batches(valued(), subtrees, _SUMS, batch)
 
 
 def _subtree_sums(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -339,14 +340,16 @@ def _subtree_sums(found: DataFrame, nodes: DataFrame) -> DataFrame:
     deep = own.filter(F.col("depth") > BLOCK).groupBy("conv_id", block.alias("block")).agg(
         F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves"))
     onward = Window.partitionBy("conv_id").orderBy(F.col("block").desc())
-    carried = deep.select(
-        "conv_id", (F.col("block") * BLOCK).alias("depth"), F.sum("saved").over(onward).alias("saved"), F.sum("leaves").over(onward).alias("leaves"))
+    there = found.filter(F.col("depth") > BLOCK).select("conv_id", block.alias("block")).distinct()
+    carried = there.join(deep, ["conv_id", "block"], "left").select(
+        "conv_id", (F.col("block") * BLOCK).alias("depth"), F.coalesce(F.sum("saved").over(onward), F.lit(0)).alias("saved"), F.coalesce(F.sum("leaves").over(onward), F.lit(0)).alias("leaves"))
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("name", "above")]
     turns = found.select("conv_id", "depth", "name", "above", F.lit(0).cast("long").alias("saved"), F.lit(0).cast("long").alias("leaves"), F.lit(0).alias("kind"))
     values = own.unionByName(carried).select("conv_id", "depth", *nothing, "saved", "leaves", F.lit(1).alias("kind"))
     dealt = turns.unionByName(values).withColumn("block", block).repartition("conv_id", "block").sortWithinPartitions("conv_id", "depth", "kind")
-    partial = dealt.select("conv_id", "depth", "name", "above", "saved", "leaves").mapInArrow(_sum_subtrees, "name binary, saved long, leaves long")
-    return partial.groupBy("name").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves"))
+    sums = dealt.select("conv_id", "depth", "name", "above", "saved", "leaves").mapInArrow(
+        partial(_sum_subtrees, block=BLOCK, batch=BATCH), "name binary, saved long, leaves long")
+    return sums.groupBy("name").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves"))
 
 
 _ENDS = pa.schema([("name", pa.binary()), ("ends_sha256", pa.string())])
@@ -388,7 +391,7 @@ def prefix_trie(keyed: DataFrame, order: str = "turn", conversations: DataFrame
     ids = (keyed if conversations is None else conversations).filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     without = ids.join(found.filter("last").select("conv_id"), "conv_id", "left_anti")
     counted = found.select("conv_id", "depth", "name", "above", "chars").mapInArrow(
-        _count_members, "name binary, above binary, depth long, chars long, conv_id long, n long")
+        partial(_count_members, block=BLOCK, batch=BATCH), "name binary, above binary, depth long, chars long, conv_id long, n long")
     nodes = counted.groupBy("name", "above", "depth", "chars").agg(F.min("conv_id").alias("conv_id"), F.sum("n").alias("n_convs"))
     root = ids.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0").select(
         F.lit(bytearray(_name(ROOT))).alias("name"), F.lit(None).cast("binary").alias("above"), F.lit(0).cast("long").alias("depth"),

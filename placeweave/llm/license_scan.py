@@ -4,13 +4,16 @@ Words that are unique in both a stretch of text and a template are anchors; the
 anchors in the same order is kept, and the gaps between them are aligned again in the same way
 (a word may be unique in a gap). Coverage is the share of the template's words that align.
 
-A template of fewer than `SHORT` words must be there word by word, since any of them may name the
-licence. In longer ones the words that tell a licence from its kin (`NEEDED`: name, version) must
-be there word by word, and words of its kin must not.
+A template of fewer than `SHORT` words must align as a whole and without a gap, since any of its words
+may name the licence. What tells a longer one from its kin comes from aligning the templates with
+each other: of the words that a sufficient alignment with another licence leaves out, half at least
+must align, and a stretch that has half or more of what the other one has in between is the other
+one's. Numbers, which are versions, must always align.
 
-Whole texts are searched. A notice that covers a template has one of its words from any set of
-words larger than what may be missing, so stretches around the template words that are rarest in
-the text are aligned, all of them.
+Whole texts are searched, in overlapping stretches at fixed steps that are long enough for a notice
+wherever it begins. A notice that covers a template has one of its words from any set of words
+larger than what may be missing, so only stretches with one of the template words that are rarest in
+the text are aligned, each of them once: long texts that repeat a word take linear time.
 
 Cases: null and empty texts have no notices. Every row has a result, repeated rows and null ids
 too. Of templates with equal coverage that align with equally many words, the first by name is
@@ -26,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.license_texts import MORE, NEEDED, RESERVED, TEMPLATES
+from placeweave.llm.license_texts import MORE, RESERVED, TEMPLATES
 
 COVERAGE, SHORT = 0.8, 10
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -81,47 +84,96 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def family(name: str) -> str:
+    """The licence that a template is a wording of."""
+    return regex.sub(r"(-full)?-(text|header)$", "", name)
+
+
 class Template:
     def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words = name, words_of(text)
         self.counts = Counter(self.words)
-        short = len(self.words) < SHORT
-        self.need = len(self.words) if short else -(-len(self.words) * int(coverage * 1000) // 1000)
-        phrases, barred = ((), ()) if short else NEEDED.get(name, ((), ()))
-        self.phrases, self.barred = ([p.split() for p in some] for some in (phrases, barred))
-
-    def told(self, stretch: list[str]) -> bool:
-        """Whether a stretch holds the words that tell this licence from others."""
-        def held(phrase):
-            return any(stretch[i:i + len(phrase)] == phrase for i in range(len(stretch) - len(phrase) + 1))
-        return all(map(held, self.phrases)) and not any(map(held, self.barred))
+        self.size = size = len(self.words)
+        self.short = size < SHORT
+        self.need = size if self.short else -(-size * int(coverage * 1000) // 1000)
+        slack = 0 if self.short else size // 4 + 2
+        # Stretches begin every `step` words; one of them holds a notice with `slack` words around it.
+        self.step, self.length = slack + 1, size + 2 * slack + (slack and slack + 1)
+        self.numbers = [i for i, w in enumerate(self.words) if w.isdigit()]
+        self.own: list[list[int]] = []
+        self.other: list[set[str]] = []
+
+    def tell_from(self, kin: "Template") -> None:
+        """Note what differs from another licence's template that covers enough of this one."""
+        if self.short or family(kin.name) == family(self.name):
+            return
+        pairs = align(kin.words, self.words)
+        if len(pairs) < self.need:
+            return
+        there = {j for _, j in pairs}
+        left_out = [j for j in range(self.size) if j not in there]
+        used = {i for i, _ in pairs}
+        between = {kin.words[i] for i in range(pairs[0][0], pairs[-1][0]) if i not in used} - set(self.words)
+        if left_out:
+            self.own.append(left_out)
+        if between:
+            self.other.append(between)
+
+    def told(self, stretch: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Is an aligned stretch this licence and none of its kin?"""
+        there, used = {j for _, j in pairs}, {i for i, _ in pairs}
+        if not there.issuperset(self.numbers) or any(2 * sum(j in there for j in own) < len(own) for own in self.own):
+            return False
+        rest = {stretch[i] for i in range(pairs[0][0], pairs[-1][0]) if i not in used}
+        return not any(2 * len(rest & other) >= len(other) for other in self.other)
+
+    def at(self, words: list[str], first: int) -> list[tuple[int, int]]:
+        """The aligned pairs of the stretch that begins at a word, or none if it is not enough."""
+        stretch = words[first:first + self.length]
+        pairs = align(stretch, self.words)
+        return pairs if len(pairs) >= self.need and self.told(stretch, pairs) else []
+
+    def starts(self, count: int, places: dict[str, list[int]]) -> list[int]:
+        """Where stretches begin that may hold a notice, in a text of so many words."""
+        # One of these template words is in any stretch that covers enough.
+        rarest = sorted(range(self.size), key=lambda i: (len(places.get(self.words[i], ())), i))[: self.size - self.need + 1]
+        found = set()
+        for i in rarest:
+            for p in places.get(self.words[i], ()):
+                if self.short:
+                    found.add(p - i)
+                else:
+                    found.update(range(-(-max(0, p - self.length + 1) // self.step), p // self.step + 1))
+        if self.short:
+            return sorted(s for s in found if 0 <= s <= count - self.size)
+        return [k * self.step for k in sorted(found)]
 
     def best(self, words: list[str], places: dict[str, list[int]]) -> tuple[int, int, int]:
         """(aligned words, first and last word of the stretch) of the best stretch, or zeros."""
-        size = len(self.words)
-        if sum(min(n, len(places.get(w, ()))) for w, n in self.counts.items()) < self.need:
-            return 0, 0, 0
-        # One of these template words is in any stretch that covers enough.
-        rarest = sorted(range(size), key=lambda i: (len(places.get(self.words[i], ())), i))[: size - self.need + 1]
-        slack = size // 4 + 2
-        starts = sorted({p - i for i in rarest for p in places.get(self.words[i], ())})
         best = (0, 0, 0)
-        for start in starts:
-            first = max(0, start - slack)
-            if size < SHORT:  # word by word
-                pairs = [(start - first + i, i) for i in range(size)] if start >= 0 and words[start:start + size] == self.words else []
-            else:
-                pairs = align(words[first:start + size + slack], self.words)
-            if len(pairs) >= self.need and len(pairs) > best[0] and self.told(words[first + pairs[0][0]:first + pairs[-1][0] + 1]):
+        if sum(min(n, len(places.get(w, ()))) for w, n in self.counts.items()) < self.need:
+            return best
+        for first in self.starts(len(words), places):
+            pairs = self.at(words, first)
+            if len(pairs) > best[0]:
                 best = len(pairs), first + pairs[0][0], first + pairs[-1][0]
         return best
 
 
+def listed_templates(templates, coverage: float) -> list[Template]:
+    """Templates that have words, each told from the others."""
+    listed = [t for t in (Template(n, x, coverage) for n, x in sorted(templates)) if t.words]
+    for t in listed:
+        for kin in listed:
+            t.tell_from(kin)
+    return listed
+
+
 def scan(documents: DataFrame, templates=TEMPLATES + MORE, coverage: float = COVERAGE,
          id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, n_words, license, coverage, first_word, last_word, licenses): the best
     template that is covered, where it is, and the names of all that are."""
-    listed = [t for t in (Template(n, x, coverage) for n, x in sorted(templates)) if t.words]
+    listed = listed_templates(templates, coverage)
     vocabulary = {w for t in listed for w in t.words}
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
     names = ["doc_id", "n_words", "license", "coverage", "first_word", "last_word", "licenses"]

@@ -28,6 +28,28 @@ TEMPLATES = (
 RESERVED = "all-rights-reserved"
 _GNU = "This work is licensed under the GNU {}General Public License, version {}."
 _CC = "Licensed under CC {}."
+_HEADER = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public
+    License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later
+    version."""
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+    INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+    DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+    SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+    SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+    WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+    THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
+    list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution. """
+_NO_ENDORSEMENT = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+    products derived from this software without specific prior written permission. """
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+    rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+    this permission notice shall be included in all copies or substantial portions of the Software. """
 MORE = (
     ("AGPL-3.0", _GNU.format("Affero ", "3")),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
@@ -35,35 +57,63 @@ MORE = (
     ("Apache", "Licensed under the Apache License."),
     ("BSD", "Released under the BSD License."),
     ("BSD", "Licensed under the BSD License."),
-    ("BSD-2-Clause-text", """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met: Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the
-        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution."""),
+    ("BSD-2-Clause-text", _BSD + _AS_IS),
+    ("BSD-3-Clause-text", _BSD + _NO_ENDORSEMENT + _AS_IS),
+    ("BSL-1.0-text", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to
+        whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this
+        entire statement, including the above license grant, this restriction and the following disclaimer, must be
+        included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such
+        copies or derivative works are solely in the form of machine-executable object code generated by a source language
+        processor."""),
     *((f"CC-{kind}-4.0", _CC.format(f"{kind} 4.0")) for kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
     ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CDDL-1.0-header", """The contents of this file are subject to the terms of the Common Development and Distribution License (the
+        License). You may not use this file except in compliance with the License."""),
+    ("EPL-2.0-header", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("EPL-1.0-header", """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"""),
     ("GPL-2.0", _GNU.format("", "2")),
-    ("GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it under the terms of the
-        GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or
-        (at your option) any later version."""),
+    ("GPL-2.0-or-later", _HEADER.format(";", "", ";", "2")),
+    ("AGPL-3.0-or-later", _HEADER.format(":", "Affero ", ",", "3")),
+    ("LGPL-2.0-or-later", _HEADER.format(";", "Library ", ";", "2")),
+    ("LGPL-2.1-or-later", _HEADER.format(";", "Lesser ", ";", "2.1")),
+    ("LGPL-3.0-or-later", _HEADER.format(":", "Lesser ", ",", "3")),
+    ("ISC-text", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("LGPL-2.1", _GNU.format("Lesser ", "2.1")),
     ("LGPL-3.0", _GNU.format("Lesser ", "3")),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Distributed under the MIT License."),
+    ("MIT-full-text", _MIT + """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+        COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("MPL-1.1-header", """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use
+        this file except in compliance with the License."""),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
         was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("Unlicense-text", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+        dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+        copyright law."""),
+    ("WTFPL-text", """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION You just
+        DO WHAT THE FUCK YOU WANT TO."""),
+    ("Zlib-text", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+        purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+        not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+        software. This notice may not be removed or altered from any source distribution."""),
     (RESERVED, "All rights reserved."),
 )
-# What a stretch must hold word by word, and what it must not hold, to be that licence.
-_OTHER_GNU = ("lesser general", "affero general", "library general")
-NEEDED = {
-    "AGPL-3.0": (("affero general public", "version 3"), ("lesser general",)),
-    "Apache-2.0-header": (("apache license version 2 0",), ()),
-    "GPL-2.0": (("gnu general public", "version 2"), _OTHER_GNU),
-    "GPL-2.0-or-later": (("general public", "version 2", "any later version"), _OTHER_GNU),
-    "GPL-3.0": (("gnu general public", "version 3"), _OTHER_GNU),
-    "GPL-3.0-or-later": (("general public", "version 3", "any later version"), _OTHER_GNU),
-    "LGPL-2.1": (("lesser general public", "version 2 1"), ("affero general",)),
-    "LGPL-3.0": (("lesser general public", "version 3"), ("affero general",)),
-    "MPL-2.0": (("mozilla public license v 2 0",), ()),
-}

@@ -1,12 +1,14 @@
 """Near-duplicate embeddings of equal label by a forest of random-projection trees.
 
-Equal vectors are one node with a weight. A tree splits a cell by random directions at one of the
-eighths of a bounded sample of the cell (`SAMPLE` nodes with the smallest hash), the one that
-leaves the fewest pairs; nodes within `SPILL` of the split go to both sides, so a near pair is
-seldom torn apart, and seldom in all of `TREES` trees. Cells of more than `LEAF` nodes are split
-again in another round. A split that would leave no fewer pairs than it finds, since the nodes lie
-too close together, is not made: such a cell, and what is large after `ROUNDS` rounds, is cut into
-blocks and each pair of blocks is a task, so nothing is left out. If that is a whole tree, it holds
+Equal vectors are one node with a weight. A tree splits a cell along one of `CANDIDATES` random
+directions at one of the eighths of a bounded sample of the cell (`SAMPLE` nodes with the smallest
+hash): the direction and eighth that leave the fewest pairs. Nodes within `SPILL` of the split go to
+both sides, so a near pair is seldom torn apart, and hardly ever in all of `TREES` trees. A split is
+only made if it leaves at most `SHARE` of the pairs, which also bounds what spill adds to the rows (by
+about a fifth at a split into halves; an eighth for random vectors of 64 dimensions). Cells of more than `LEAF` nodes are split again, in rounds of `DEPTH`
+levels, until none is left that can be; rules of a round are broadcast, or joined if they are many.
+Where no direction splits a cell, since its nodes lie too close together, it is cut into blocks
+and each pair of blocks is a task, so nothing is left out. If that is a whole tree, it holds
 all pairs and the other trees of its root are not needed. Within a leaf all cosines are taken in
 double precision. A pair that several leaves hold counts in the one with the smallest number, which
 its members' lists of leaves tell; so leaves give sums of links and a spanning set of links, never
@@ -20,7 +22,7 @@ the largest. Empty tables give no rows. Other columns are not read.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,64 +30,72 @@ from placeweave.llm.common import LAST_ID, components, order_id, written
 from placeweave.llm.shingles import mix
 
 THRESHOLD = 0.98
-TREES, LEAF = 8, 1024
-SPILL = 0.02
-SAMPLE, DEPTH, ROUNDS = 2048, 8, 4
-# Split rules broadcast at a time; the cells of others wait for the next round.
+TREES, LEAF = 3, 1024
+SPILL, SHARE = 0.02, 0.75
+SAMPLE, DEPTH, CANDIDATES = 2048, 8, 4
+# Cells whose rules are broadcast; those of more are joined to the rows.
 RULES = 20_000
+# Nodes in a block of a cell that cannot be split, and rows of cosines taken at a time.
+BLOCK, _STRIP = 4096, 512
 
 _ROW = "cell long, node long, weight long, vector array<double>"
 
 
 def _directions(cell: int, splits: int, length: int) -> np.ndarray:
-    """The random unit directions of a cell's splits: the same wherever they are needed."""
-    drawn = np.random.default_rng(cell & ((1 << 63) - 1)).standard_normal((splits, length))
-    return drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+    """The random unit directions that a cell's splits choose from: the same wherever they are needed."""
+    drawn = np.random.default_rng(cell & ((1 << 63) - 1)).standard_normal((CANDIDATES, splits, length))
+    return drawn / np.linalg.norm(drawn, axis=2, keepdims=True)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def _split_point(values: np.ndarray) -> float | None:
-    """The eighth of the values with the fewest pairs on its sides, spill included; none if
-    these are no fewer than all pairs."""
+def _split_point(values: np.ndarray) -> tuple[float, float]:
+    """(share, point): the eighth of the values with the fewest pairs on its sides, spill included."""
     ordered = np.sort(values)
     eighths = ordered[len(ordered) * np.array([4, 3, 5, 2, 6, 1, 7]) // 8]
     left = np.searchsorted(ordered, eighths + SPILL, side="right")
     right = len(ordered) - np.searchsorted(ordered, eighths - SPILL, side="right")
-    pairs = left * left + right * right
+    pairs = (left * left + right * right) / len(ordered) ** 2
     best = int(np.argmin(pairs))
-    return float(eighths[best]) if pairs[best] < len(ordered) ** 2 else None
+    return float(pairs[best]), float(eighths[best])
 
 
 def _fit(table: pa.Table) -> pa.Table:
-    """Split points of a cell from its sample, in heap order; not a number where a branch ends.
-    The first is none if the cell cannot be split."""
+    """The rule of a cell from its sample: a point and a direction for each split in heap order; no
+    point where a branch ends. The first has none if the cell cannot be split."""
     cell, n = table.column("cell")[0].as_py(), table.column("n")[0].as_py()
     x = _matrix(table.column("vector").combine_chunks())
     depth = min(DEPTH, max(1, int(np.ceil(np.log2(2 * n / LEAF)))))
-    points = np.full((1 << depth) - 1, np.nan)
-    projected = x @ _directions(cell, len(points), x.shape[1]).T
+    points, chosen = np.full((1 << depth) - 1, np.nan), np.zeros((1 << depth) - 1, np.uint8)
+    directions = _directions(cell, len(points), x.shape[1])
     branches = {0: np.arange(len(x))}
     for split in range(len(points)):
         members = branches.pop(split, None)
         if members is None or len(members) < 8:
             continue
-        values = projected[members, split]
-        point = _split_point(values)
-        if point is None:
+        values = x[members] @ directions[:, split].T
+        (share, point), best = min((_split_point(values[:, c]), c) for c in range(CANDIDATES))
+        if share > SHARE:
             continue
-        points[split] = point
+        points[split], chosen[split] = point, best
         # With spill, as the rows of the cell will go.
-        branches[2 * split + 1] = members[values <= point + SPILL]
-        branches[2 * split + 2] = members[values > point - SPILL]
-    return pa.table({"cell": pa.array([cell], pa.int64()), "points": pa.array([points.tobytes()], pa.binary())})
+        branches[2 * split + 1] = members[values[:, best] <= point + SPILL]
+        branches[2 * split + 2] = members[values[:, best] > point - SPILL]
+    return pa.table({"cell": pa.array([cell], pa.int64()), "rule": pa.array([points.tobytes() + chosen.tobytes()], pa.binary()),
+                     "splits": pa.array([not np.isnan(points[0])], pa.bool_())})
 
 
-def descend(x: np.ndarray, cell: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rule(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    splits = len(data) // 9
+    return np.frombuffer(data, np.float64, splits), np.frombuffer(data, np.uint8, splits, 8 * splits)
+
+
+def descend(x: np.ndarray, cell: int, points: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, new cell) of all leaves that the rows reach, with spill."""
-    projected = x @ _directions(cell, len(points), x.shape[1]).T
+    directions = _directions(cell, len(points), x.shape[1])[chosen, np.arange(len(points))]
+    projected = x @ directions.T
     rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
     done_rows, done_at = [], []
     while len(rows):
@@ -101,7 +111,8 @@ def descend(x: np.ndarray, cell: int, points: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(done_rows), mix(mix(np.uint64(cell & ((1 << 64) - 1)) + at) + np.uint64(1)).view(np.int64)
 
 
-def _split(rows: DataFrame, rules: dict[int, bytes]) -> DataFrame:
+def _split(rows: DataFrame, rules: dict[int, bytes] | None) -> DataFrame:
+    """Rows in their new cells; without `rules` each row brings its cell's in a fifth column."""
     shared = rows.sparkSession.sparkContext.broadcast(rules)
 
     def task(batches):
@@ -113,17 +124,14 @@ def _split(rows: DataFrame, rules: dict[int, bytes]) -> DataFrame:
                     continue
                 some = batch.take(pa.array(members))
                 cell = int(cells[members[0]])
-                at, new = descend(_matrix(some.column(3)), cell, np.frombuffer(shared.value[cell]))
+                rule = some.column(4)[0].as_py() if shared.value is None else shared.value[cell]
+                at, new = descend(_matrix(some.column(3)), cell, *_rule(rule))
                 out = some.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(new), *out.columns[1:]], names=["cell", "node", "weight", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(new), *out.columns[1:4]], names=["cell", "node", "weight", "vector"])
 
     return rows.mapInArrow(task, _ROW)
 
 
-def _cells(spark: SparkSession, cells) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(c,) for c in cells], "cell long"))
-
-
 def leaves(nodes: DataFrame) -> DataFrame:
     """Rows (cell, node, weight, vector) of all trees; nodes: root, node, weight, vector."""
     sizes = nodes.groupBy("root").agg(F.count("*").alias("n"))
@@ -132,34 +140,28 @@ def leaves(nodes: DataFrame) -> DataFrame:
     roots = sizes.select("root", "n", F.explode(trees).alias("tree")).withColumn("cell", F.xxhash64("root", "tree"))
     rows = nodes.join(roots.select("root", "cell"), "root").select("cell", "node", "weight", "vector")
     counts = roots.select("cell", "n")
-    spark, done = nodes.sparkSession, None
-    for level in range(ROUNDS):
+    done, level = None, 0
+    while True:
         large = counts.filter(F.col("n") > LEAF)
-        waiting = rows.join(large, "cell")
         picked = Window.partitionBy("cell").orderBy(F.xxhash64("node", "cell"), "node")
-        sample = waiting.withColumn("rank", F.row_number().over(picked)).filter(F.col("rank") <= SAMPLE).select("cell", "n", "vector")
-        found = sample.groupBy("cell").applyInArrow(lambda table: _fit(table), "cell long, points binary")
-        fitted = {r["cell"]: bytes(r["points"]) for r in found.orderBy("cell").limit(RULES).collect()}
-        if not fitted:
+        sample = rows.join(large, "cell").withColumn("rank", F.row_number().over(picked)).filter(F.col("rank") <= SAMPLE).select("cell", "n", "vector")
+        rules = written(sample.groupBy("cell").applyInArrow(lambda table: _fit(table), "cell long, rule binary, splits boolean"), "rules")
+        if not level:
+            # A tree that cannot be split has all pairs of its root: the first is kept, and no other tree.
+            whole = roots.join(rules.filter("NOT splits"), "cell").groupBy("root").agg(F.min("cell").alias("first"))
+            spare = written(roots.join(whole, "root").filter("cell <> first").select("cell"), "spare")
+            rows, rules = rows.join(spare, "cell", "left_anti"), rules.join(spare, "cell", "left_anti")
+        rules, level = rules.filter("splits"), level + 1
+        some = rules.select("cell", "rule").limit(RULES + 1).collect() if rules.count() <= RULES else None
+        if some is not None and not some:
             break
-        top = max(fitted)
-        whole = [c for c, points in fitted.items() if np.isnan(np.frombuffer(points)[0])]
-        if whole and not level:
-            # A whole tree has all pairs of its root: one is kept, and no other tree.
-            ended = roots.join(_cells(spark, whole), "cell").groupBy("root").agg(F.min("cell").alias("first"))
-            family = roots.join(F.broadcast(ended), "root").select("cell", "first").collect()
-            whole = sorted({r["first"] for r in family})
-            spare = {r["cell"] for r in family} - set(whole)
-            rows, counts, large = (df.join(_cells(spark, spare), "cell", "left_anti") for df in (rows, counts, large))
-            fitted = {c: points for c, points in fitted.items() if c not in spare}
-        rules = {c: points for c, points in fitted.items() if not np.isnan(np.frombuffer(points)[0])}
-        if whole:
-            large = large.join(_cells(spark, whole), "cell", "left_anti")
-        settled = rows.join(large.select("cell"), "cell", "left_anti")
+        settled = rows.join(rules.select("cell"), "cell", "left_anti")
         done = settled if done is None else done.unionByName(settled)
-        split = _split(rows.join(large.select("cell"), "cell").filter(F.col("cell") <= top), rules)
-        rest = rows.join(large.select("cell"), "cell").filter(F.col("cell") > top)
-        rows = written(split.unionByName(rest), "cells")
+        if some is None:
+            split = _split(rows.join(rules.select("cell", "rule"), "cell").select("cell", "node", "weight", "vector", "rule"), None)
+        else:
+            split = _split(rows.join(rules.select("cell"), "cell", "left_semi"), {r["cell"]: bytes(r["rule"]) for r in some})
+        rows = written(split, "cells")
         counts = written(rows.groupBy("cell").agg(F.count("*").alias("n")), "counts")
     return rows if done is None else done.unionByName(rows)
 
@@ -171,7 +173,9 @@ def _link(table: pa.Table, threshold: float) -> pa.Table:
     weights = table.column("weight").to_numpy()
     block = table.column("block").to_numpy()
     x = _matrix(table.column("vector").combine_chunks())
-    near = x @ x.T >= threshold
+    near = np.empty((len(x), len(x)), bool)
+    for at in range(0, len(x), _STRIP):
+        np.greater_equal(x[at:at + _STRIP] @ x.T, threshold, out=near[at:at + _STRIP])
     np.fill_diagonal(near, False)
     if table.column("i")[0].as_py() != table.column("j")[0].as_py():
         near &= block[:, None] != block[None, :]
@@ -186,7 +190,7 @@ def _link(table: pa.Table, threshold: float) -> pa.Table:
         for members in np.split(owner[order], np.flatnonzero(np.diff(other[order])) + 1):
             if len(members) > 1:
                 near[np.ix_(members, members)] = False
-    sums = near @ weights
+    sums = np.concatenate([near[at:at + _STRIP] @ weights for at in range(0, len(x), _STRIP)])
     linked = np.flatnonzero(sums)
     a, b = [], []
     group = np.full(len(nodes), -1)
@@ -231,8 +235,8 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
     cells = leaves(nodes)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
     lists = cells.groupBy("node").agg(F.collect_list("cell").alias("cells"))
-    # A leaf fits one task; what could not be split is dealt into blocks of half a leaf.
-    blocks = F.when(F.col("n") <= 2 * LEAF, 1).otherwise(F.ceil(F.col("n") / LEAF)).cast("long")
+    # A leaf fits one task; what could not be split is dealt into blocks, two of which do.
+    blocks = F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("long")
     dealt = (
         cells.join(sizes.filter("n > 1").select("cell", blocks.alias("blocks")), "cell").join(lists, "node")
         .withColumn("block", F.pmod("node", F.col("blocks")))

@@ -259,9 +259,10 @@ ODD = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903
        (910, [1.0, 1.0, 1.01], 1), (911, [], 1), (912, [-0.0] + [1.0] * 15, 2), (913, [0.0] + [1.0] * 15, 2)]
 
 
-@pytest.mark.parametrize("leaf", [1024, 16])
-def test_vectors_equal_brute_force(tables, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf,rules", [(1024, 20_000), (16, 20_000), (16, 1)])
+def test_vectors_equal_brute_force(tables, monkeypatch, leaf, rules):
     monkeypatch.setattr(V, "LEAF", leaf)
+    monkeypatch.setattr(V, "RULES", rules)
     monkeypatch.setattr(V, "SAMPLE", 64)
     rows = [(i * 3 % 700, v, i % 3 and 1) for i, v in enumerate(cloud(1, 250))] + ODD
     df = tables(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1))
@@ -276,6 +277,7 @@ def test_vectors_equal_brute_force(tables, monkeypatch, leaf):
 
 def test_dense_group_is_cut_into_blocks(tables, monkeypatch):
     monkeypatch.setattr(V, "LEAF", 8)
+    monkeypatch.setattr(V, "BLOCK", 8)
     rng = np.random.default_rng(2)
     centre = rng.normal(0, 1, 16)
     rows = [(i, (centre + rng.normal(0, 0.01, 16)).tolist(), 1) for i in range(60)] + [(100 + i, centre.tolist(), 1) for i in range(40)]
@@ -306,5 +308,31 @@ def test_dense_cells_are_not_multiplied(spark, monkeypatch, cosine):
     assert found.filter("node >= 1600").count() <= 3 * V.TREES * 300
 
 
+def test_planted_pairs_in_a_large_label(spark):
+    """20,000 vectors of one label with 1,500 pairs just above the threshold, against all pairs: at
+    least 0.99 of the links, nothing else, and few copies of rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (18_500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(0, 1, (1_500, 64))
+    off -= (off * x[:1_500]).sum(1, keepdims=True) * x[:1_500]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = 0.981
+    x = np.concatenate([x, cosine * x[:1_500] + np.sqrt(1 - cosine**2) * off])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(8)
+    links = {r["vec_id"]: r["n_links"] for r in V.similar_vectors(df).collect()}
+    there = sum(int((x[a:a + 1000] @ x.T >= 0.98).sum()) - len(x[a:a + 1000]) for a in range(0, len(x), 1000))
+    assert there >= 3_000 and 0.99 * there <= sum(links.values()) <= there
+
+
+@pytest.mark.parametrize("cosine", [0.0, 0.9])
+def test_trees_copy_few_rows(spark, cosine):
+    """Splits that would copy many nodes to both sides are not made."""
+    x = dense(6, 12_000, cosine) if cosine else np.random.default_rng(5).normal(0, 1, (12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(1, i, 1, v.tolist()) for i, v in enumerate(x)], "root long, node long, weight long, vector array<double>")
+    assert V.leaves(nodes).count() <= 8 * len(x)
+
+
 def test_vectors_empty(tables):
     assert V.similar_vectors(tables([(1, [1.0], 1)], "vec_id long, embedding array<float>, label int").limit(0)).count() == 0

@@ -10,7 +10,7 @@ from placeweave.llm import license_scan as L
 from placeweave.llm import packing as P
 from placeweave.llm import quality as Q
 from placeweave.llm import token_counts as T
-from placeweave.llm.license_texts import TEMPLATES
+from placeweave.llm.license_texts import MORE, TEMPLATES
 from placeweave.llm.tokens import Encoder, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -298,6 +298,63 @@ def test_notices_are_found(tables):
     assert all(r["license"] is None for r in L.scan(tables(docs, "doc_id long, text string"), templates=(("none", "..."),)).collect())
 
 
+LISTED = L.listed_templates(TEMPLATES + MORE, L.COVERAGE)
+
+
+def scan_brute(text):
+    """(name, aligned, first, last) of every template, from every stretch."""
+    words, out = L.words_of(text), []
+    for t in LISTED:
+        best = (0, 0, 0)
+        for first in range(0, max(len(words), 1), t.step):
+            pairs = t.at(words, first)
+            if len(pairs) > best[0]:
+                best = len(pairs), first + pairs[0][0], first + pairs[-1][0]
+        if best[0]:
+            out.append((t.name, *best))
+    return out
+
+
+def test_scan_equals_brute_force(spark):
+    """All stretches of texts with whole, cut, edited, mixed and repeated notices, with the same aligner."""
+    rng = random.Random(5)
+    docs = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(LISTED).words
+            cut = words[rng.randrange(3):len(words) - rng.randrange(3)]
+            parts += [w if rng.random() > 0.08 else rng.choice(["", "x", "the", "license"]) for w in cut]
+            parts += rng.choices(["the", "software", "license", "of", "x", "3", "general"], k=rng.randrange(40))
+        docs.append((k, " ".join(parts)))
+    for row in L.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        want = scan_brute(docs[row["doc_id"]][1])
+        assert row["licenses"] == sorted({w[0] for w in want})
+        if want:
+            sizes = {(t.name, t.size) for t in LISTED}
+            covered = [(n, a / s, f, e) for n, a, f, e in want for m, s in sizes if m == n]
+            assert (row["license"], row["coverage"], row["first_word"], row["last_word"]) in [(n, c, f, e) for n, c, f, e in covered]
+
+
+def test_kin_are_told_apart(spark):
+    for t in LISTED:
+        row = L.scan(spark.createDataFrame([(1, "x y z " + " ".join(t.words) + " and more of it")], "doc_id long, text string"), coverage=0.8).first() if not t.short else None
+        if row:
+            assert t.name in row["licenses"]
+            assert {L.family(n) for n in row["licenses"]} <= {L.family(t.name)}, (t.name, row["licenses"])
+
+
+def test_a_long_text_that_repeats_a_word(spark):
+    """As many alignments as there are stretches, at most."""
+    word = "software copyright notice license the of "
+    template = max(LISTED, key=lambda t: t.size)
+    words = (word * 20_000).split()
+    places = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    assert len(template.starts(len(words), places)) <= len(words) // template.step + 1
+
+
 @pytest.mark.parametrize("text,want", [
     ("Released under the BSD License.", ["BSD"]), ("Released under the Apache License.", ["Apache"]), ("Released under the XYZ License.", []),
     ("Released under the MIT License.", ["MIT"]), ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
