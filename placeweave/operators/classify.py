@@ -66,9 +66,10 @@ def label_index(bucket_rows: DataFrame) -> DataFrame:
 
 
 def build_theme_lists(bucket_rows: DataFrame, whitelist: DataFrame, blacklist: DataFrame,
-                      policy: dict = THEME_POLICY, block_terms=BLOCK_TERMS) -> DataFrame:
+                      policy: dict = THEME_POLICY, block_terms=BLOCK_TERMS, default_buckets=BUCKETS) -> DataFrame:
     """(theme, label, slug): labels in one of a theme's buckets that are not blacklisted, not
-    excluded, not unique and not blocked by a term; the whitelist lifts the last two."""
+    excluded, not unique and not blocked by a term; the whitelist lifts the last two. A theme without
+    buckets of its own has the default ones."""
     index = label_index(bucket_rows)
     def words(df, name):
         return df.select(text.strip("label").alias("label")).distinct().withColumn(name, F.lit(True))
@@ -85,7 +86,7 @@ def build_theme_lists(bucket_rows: DataFrame, whitelist: DataFrame, blacklist: D
     themes = []
     for theme, (buckets, extra) in policy.items():
         blocked = plain.rlike("(?iU)(?:" + "|".join([*block_terms, *extra]) + ")")
-        allowed = F.arrays_overlap("buckets", F.array(*[F.lit(b) for b in buckets]))
+        allowed = F.arrays_overlap("buckets", F.array(*[F.lit(b) for b in buckets or default_buckets]))
         themes.append(F.when(allowed & (F.col("white") | ~blocked), F.lit(theme)))
     return rows.select(F.explode(F.array_compact(F.array(*themes))).alias("theme"), "label").withColumn(
         "slug", text.slug("label"))
@@ -118,18 +119,16 @@ def build_theme_map(token_lists: DataFrame) -> DataFrame:
     return pairs.filter(F.col("theme").isin(*THEMES) & (F.col("category") != "")).distinct()
 
 
-# Rows that one task should number, and the most digits that keep the buckets' table small.
-BUCKET_ROWS, MOST_DIGITS = 1_000_000, 5
+# Hex digits that tell buckets apart: 65,536 of them hold a million rows each of 65 billion, and their
+# table is small. The most that keep it so.
+DIGITS, MOST_DIGITS = 4, 5
 
 
-def numbered(df: DataFrame, key: str, size: int, digits: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, size: int, digits: int = DIGITS) -> DataFrame:
     """Add `batch_no`: rows with unique keys in batches of `size`. The order is that of the
     keys' hashes, whose first hex digits split them into even buckets: the buckets, at most
     16 ** digits rows, are counted, and each is numbered on its own from where the one before
-    it ends. The number of digits follows from the number of rows, and changes no result."""
-    if digits is None:
-        rows = df.count()
-        digits = next((d for d in range(1, MOST_DIGITS) if rows <= BUCKET_ROWS * 16 ** d), MOST_DIGITS)
+    it ends. The number of digits changes no result."""
     if not 1 <= digits <= MOST_DIGITS:
         raise ValueError(f"digits must be 1 to {MOST_DIGITS}")
     hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
@@ -143,7 +142,7 @@ def numbered(df: DataFrame, key: str, size: int, digits: int | None = None) -> D
     return placed.select(batch.alias("batch_no"), *df.columns)
 
 
-def distinct_batches(lines: DataFrame, n: int = 10, digits: int | None = None) -> DataFrame:
+def distinct_batches(lines: DataFrame, n: int = 10, digits: int = DIGITS) -> DataFrame:
     """(batch_no, line): distinct trimmed lines, n to a batch."""
     clean = lines.select(text.strip("line").alias("line")).filter("line <> ''").distinct()
     return numbered(clean, "line", n, digits)

@@ -84,7 +84,7 @@ def top_per_group(df: DataFrame, keys, order, k: int, spread_by, out: str | None
     name = out or "_rank"
     if k > _RANK_CUT:
         parts = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        df = df.withColumn("__salt", salt(spread_by)).withColumn("_part", F.row_number().over(parts))
+        df = df.withColumn("__salt", salt(spread_by, salts_for(df.sparkSession))).withColumn("_part", F.row_number().over(parts))
         df = df.filter(F.col("_part") <= k).drop("_part", "__salt")
     whole = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= k)

@@ -203,13 +203,16 @@ def test_buckets_and_theme_lists(spark):
         return spark.createDataFrame([(x,) for x in w], "label string")
     lists = classify.build_theme_lists(rows, words("e repair"), words("z"))
     assert {tuple(r) for r in lists.collect()} == {("food_tour", "a", "a"), ("food_tour", "e repair", "e-repair"), ("nature", "e repair", "e-repair")}
+    # A theme without buckets has the default ones.
+    every = classify.build_theme_lists(rows, words(), words(), policy={"all": ((), ()), "stay": (("accommodation",), ())})
+    assert {(r["theme"], r["label"]) for r in every.collect()} == {("all", "a"), ("all", "z"), ("stay", "z")}
     plain = classify.build_theme_lists(rows, words("c"), words())
     assert {(r["theme"], r["label"]) for r in plain.collect()} == {("food_tour", "a"), ("shopping", "c"), ("stay", "z")}
 
 
 def test_batches_are_full_and_whole(spark):
     lines = spark.createDataFrame([(f" line {i % 97} ",) for i in range(500)] + [("",), ("  ",)], "line string")
-    for digits in (1, 3, None):
+    for digits in (1, 3, 4):
         rows = classify.distinct_batches(lines, 10, digits).collect()
         sizes = {}
         for r in rows:
