@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from placeweave.functions.geo import segments_meet
 from placeweave.functions.text import once
 from placeweave.operators import skew
-from placeweave.operators.cover import KEYS, area_cells, cell_of, fineness, holds, touched
+from placeweave.operators.cover import KEYS, area_cells, cell_of, columns_in_row, fineness, holds, touched
 from placeweave.operators.skew import cut_lineage, first_per_group, lookup_join, small_values
 
 CELL = 0.5
@@ -219,6 +219,19 @@ def _in_cells(edges: DataFrame, size: float) -> DataFrame:
     return placed.selectExpr("country_iso2", "explode(sequence(cx_from, cx_to)) AS cx", "cy", "area_id", *_ENDS)
 
 
+def _split_cells(rows: DataFrame, size: float) -> DataFrame:
+    """The same for the parts of cells: edges in the cells of that smaller size within their cell."""
+    kept = ["country_iso2", "area_id", *_ENDS]
+    inside = rows.selectExpr(
+        *kept, "cx", f"greatest(cy * {_SPLIT}, bigint(ceil(ay / {size!r}D)) - 1) AS _first",
+        f"least(cy * {_SPLIT} + {_SPLIT - 1}, bigint(floor(by / {size!r}D))) AS _last").filter("_first <= _last")
+    placed = inside.selectExpr(*kept, "cx", "explode(sequence(_first, _last)) AS cy")
+    first, last = columns_in_row(f"{size!r}D", "cy")
+    ranged = placed.selectExpr(
+        *kept, "cy", f"greatest(cx * {_SPLIT}, {first}) AS _first", f"least(cx * {_SPLIT} + {_SPLIT - 1}, {last}) AS _last").filter("_first <= _last")
+    return ranged.selectExpr("country_iso2", "explode(sequence(_first, _last)) AS cx", "cy", "area_id", *_ENDS)
+
+
 _ENDS = ("ax", "ay", "bx", "by")
 _CELL = ["country_iso2", "cx", "cy"]
 
@@ -227,13 +240,9 @@ def border_pairs(left: DataFrame, right: DataFrame, cell: float = CELL, pairs: i
     """(left_id, right_id) of areas in one country whose borders share a point. Edges meet in grid
     cells. Where those of a cell make more than `pairs` pairs, the cell is split, again and again; at
     the last size what still is too much (many edges through one spot) is spread over salts."""
-    out, open_, size = None, None, cell
+    out, size = None, cell
+    sides = [_in_cells(e, size) for e in (left, right)]
     for depth in range(_DEPTH + 1):
-        sides = [_in_cells(e, size) for e in (left, right)]
-        if open_ is not None:
-            parent = open_.select("country_iso2", F.col("cx").alias("_px"), F.col("cy").alias("_py"))
-            inner = (F.floor(F.col("cx") / _SPLIT) == F.col("_px")) & (F.floor(F.col("cy") / _SPLIT) == F.col("_py"))
-            sides = [s.join(parent, (s.country_iso2 == parent.country_iso2) & inner, "left_semi") for s in sides]
         counts = [s.groupBy(*_CELL).agg(F.count(F.lit(1)).alias(n)) for s, n in zip(sides, ("l", "r"), strict=True)]
         shared = cut_lineage(counts[0].join(counts[1], _CELL).withColumn("dense", F.col("l") * F.col("r") > pairs))
         last = depth == _DEPTH
@@ -244,9 +253,10 @@ def border_pairs(left: DataFrame, right: DataFrame, cell: float = CELL, pairs: i
         met = both.filter(segments_meet(*[[p + c for c in _ENDS] for p in ("l_", "r_")])).select(
             F.col("l_area_id").alias("left_id"), F.col("r_area_id").alias("right_id"))
         out = met if out is None else out.unionByName(met)
-        open_, size = shared.filter("dense"), size / _SPLIT
-        if last or open_.isEmpty():
+        dense, size = shared.filter("dense").select(*_CELL), size / _SPLIT
+        if last or dense.isEmpty():
             return out.distinct()
+        sides = [cut_lineage(_split_cells(s.join(dense, _CELL, "left_semi"), size)) for s in sides]
 
 
 def areas_meet(left: DataFrame, right: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:

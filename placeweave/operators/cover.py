@@ -46,11 +46,15 @@ def touched(edges: DataFrame, size: str) -> DataFrame:
     laid = edges.selectExpr(
         *others, f"double({size}) AS size", "if(y1 <= y2, x1, x2) AS ax", "least(y1, y2) AS ay", "if(y1 <= y2, x2, x1) AS bx", "greatest(y1, y2) AS by")
     rows = laid.selectExpr("*", "explode(sequence(bigint(ceil(ay / size)) - 1, bigint(floor(by / size)))) AS cy")
-    clipped = rows.selectExpr("*", f"{_x_at('greatest(ay, cy * size)')} AS _low", f"{_x_at('least(by, (cy + 1) * size)')} AS _high")
-    return clipped.selectExpr(
-        *others, "size", "ax", "ay", "bx", "by", "cy",
-        "bigint(floor(if(ay = by, least(ax, bx), least(_low, _high)) / size - 1E-6D)) AS cx_from",
-        "bigint(floor(if(ay = by, greatest(ax, bx), greatest(_low, _high)) / size + 1E-6D)) AS cx_to")
+    first, last = columns_in_row("size", "cy")
+    return rows.selectExpr(*others, "size", "ax", "ay", "bx", "by", "cy", f"{first} AS cx_from", f"{last} AS cx_to")
+
+
+def columns_in_row(size, cy) -> tuple[str, str]:
+    """SQL: the first and the last column of cells that an edge pointing up touches in a row."""
+    low, high = _x_at(f"greatest(ay, {cy} * {size})"), _x_at(f"least(by, ({cy} + 1) * {size})")
+    return (f"bigint(floor(if(ay = by, least(ax, bx), least({low}, {high})) / {size} - 1E-6D))",
+            f"bigint(floor(if(ay = by, greatest(ax, bx), greatest({low}, {high})) / {size} + 1E-6D))")
 
 
 def _x_at(y) -> str:
