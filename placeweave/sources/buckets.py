@@ -106,8 +106,7 @@ def upsert_stream(stream: DataFrame, base: str, name: str, order, checkpoint: st
 
 def apply_batch(df: DataFrame, number: int, base: str, name: str, order) -> int:
     """One batch of a stream: sent again, it changes nothing."""
-    keys = manifests.load(df.sparkSession, _manifests(base))["keys"]
-    latest, _ = tables.latest_changes(df, keys, order)
-    known = manifests.load(df.sparkSession, _manifests(base))
-    columns = [f["name"] for f in json.loads(known["schema"])["fields"]]
+    state = manifests.load(df.sparkSession, _manifests(base))
+    latest, _ = tables.latest_changes(df, state["keys"], order)
+    columns = [f["name"] for f in json.loads(state["schema"])["fields"]]
     return upsert_table(base, latest.select(*[c for c in latest.columns if c in columns]), batch=(name, number))
