@@ -29,7 +29,7 @@ DIMENSIONS = 48
 NEIGHBOURS = 25
 SHARPNESS = 8
 THRESHOLD = 0.3
-_SEEN = 400_000
+_SEEN = 250_000
 _BLOCK = 1024
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 # Words that a worker remembers.
-_SEEN = 400_000
+_SEEN = 250_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
