@@ -6,11 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from placeweave.functions import geo
+from placeweave.functions import geo, trigram
 from placeweave.operators import areas as A
 from placeweave.operators import classify, pages
 from placeweave.operators.search import search_locations
-from placeweave.operators.search_many import search_locations_many
+from placeweave.operators.search_many import search_locations_many, similar_pairs
 from placeweave.sources import buckets, logs, manifests, readers, writers
 
 
@@ -178,3 +178,28 @@ def test_many_searches_equal_single_ones(spark):
     for q in asked:
         single = [(r["id"], r["label"]) for r in search_locations(areas, q, limit=4).collect()]
         assert got.get(q, []) == single, q
+
+
+def test_names_that_all_resemble_a_query_are_not_all_met(spark):
+    rng = random.Random(4)
+    rows = [(i, f"Customer Town {rng.randrange(10 ** 6):07d}") for i in range(1500)]
+    names = spark.createDataFrame(rows, "id int, name string").withColumn("grams", trigram.trigrams("name"))
+    texts = {f"Customer#{name[14:14 + rng.randint(1, 7)]}" for _, name in rows[:150]} | {"Customer#O1", "town", "custom"}
+    queries = spark.createDataFrame([(q,) for q in texts], "query string").withColumn("grams", trigram.trigrams("query"))
+    every = names.crossJoin(queries.select("query", F.col("grams").alias("q"))).select("id", "query", trigram.similarity(F.col("grams"), F.col("q")).alias("sim"))
+    want = {}
+    for r in every.filter("sim >= 0.3").collect():
+        want.setdefault(r["query"], {})[r["id"]] = r["sim"]
+    met = similar_pairs(names, queries, "id", best=5).collect()
+    got = {}
+    for r in met:
+        got.setdefault(r["query"], {})[r["id"]] = r["sim"]
+    for q, found in want.items():
+        last = sorted(found.values(), reverse=True)[:5][-1]
+        least = {i: s for i, s in found.items() if s >= last}
+        assert least.items() <= got[q].items() <= found.items()
+    assert got.keys() == want.keys()
+    # Nearly all pairs resemble each other; few of them are met.
+    assert sum(map(len, want.values())) > 150_000 and len(met) < 30_000
+    whole = similar_pairs(names, queries.filter("length(query) > 13"), "id").collect()
+    assert {(r["query"], r["id"], r["sim"]) for r in whole} == {(q, i, s) for q, f in want.items() if len(q) > 13 for i, s in f.items()}
