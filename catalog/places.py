@@ -1,6 +1,7 @@
 """Queries on places: roles, themes, filters, spatial joins, candidates and search."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from catalog.base import ROLE_ORDER, THEME_ORDER, geodesic_sql, load, ordered
 from catalog.registry import query
@@ -225,23 +226,29 @@ def geojson_ingest(spark, sf):
         rejects.select("name", F.col("reason").alias("status"), F.lit(0.0).alias("area_size"), F.lit(0).cast("bigint").alias("edges")))
 
 
-# A ring has the points of a priority and of 50,000 order keys, so rings grow in number, not in length.
-RING_POINTS = """SELECT o_orderpriority || ' ' || CAST(CAST(floor(o_orderkey / 50000) AS BIGINT) AS STRING) AS name, o_orderkey AS place,
-    CAST(o_orderkey % 360 - 180 AS BIGINT) AS x, CAST(o_custkey % 170 - 85 AS BIGINT) AS y FROM orders"""
+RING_POINTS = """SELECT o_orderpriority AS name, o_orderkey AS place, CAST(o_orderkey % 360 - 180 AS BIGINT) AS x,
+    CAST(o_custkey % 170 - 85 AS BIGINT) AS y FROM orders"""
+# A part of a border has the points of so many order keys.
+PART_KEYS = 50_000
 
 
 @query(f"""SELECT name, count(*) AS edges, round(abs(sum(x * y2 - x2 * y)) / 2.0E0, 6) AS area_size FROM (
              SELECT name, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
              FROM ({RING_POINTS}) WINDOW w AS (PARTITION BY name ORDER BY place)) GROUP BY name""")
 def geojson_long_rings(spark, sf):
-    """One boundary per order priority and range of keys, with a point for each of its orders."""
-    ring = F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.array(p["x"], p["y"]))
-    rings = load(spark, sf, RING_POINTS).groupBy("name").agg(ring.alias("ring"))
-    closed = F.concat("ring", F.slice("ring", 1, 1))
-    features = rings.select(
+    """One boundary per order priority, with a point for each of its orders. It comes in parts, each of
+    which ends where the next one begins."""
+    points = load(spark, sf, RING_POINTS).withColumn("part", F.floor(F.col("place") / PART_KEYS))
+    lines = points.groupBy("name", "part").agg(F.sort_array(F.collect_list(F.struct("place", "x", "y"))).alias("line"))
+    # One row per part.
+    starts = points.groupBy("name", "part").agg(F.min(F.struct("place", "x", "y")).alias("start"))
+    ring = Window.partitionBy("name").orderBy("part")
+    ends = starts.select("name", "part", F.coalesce(F.lead("start").over(ring), F.first("start").over(ring)).alias("end"))
+    line = F.transform(F.concat("line", F.array("end")), lambda p: F.array(p["x"], p["y"]))
+    features = lines.join(ends, ["name", "part"]).select(
         "name", F.lit("R0").alias("country_iso2"), F.lit("district").alias("kind"), F.lit(6).alias("admin_level"),
-        F.lit(None).cast("string").alias("parent_id"),
-        F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))).alias("geometry"))
+        F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ring_id"), "part",
+        F.to_json(F.struct(F.lit("LineString").alias("type"), line.alias("coordinates"))).alias("geometry"))
     loaded, borders, _ = A.load_areas(features)
     sizes = borders.groupBy("area_id").agg(F.count(F.lit(1)).alias("edges")).join(A.area_sizes(borders), "area_id")
     return loaded.join(sizes, loaded.id == F.col("area_id")).select("name", "edges", F.round("area_size", 6).alias("area_size"))

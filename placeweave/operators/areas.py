@@ -7,6 +7,7 @@ matter there.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from placeweave.functions.geo import segments_meet
 from placeweave.functions.text import once
@@ -28,30 +29,41 @@ def _area_id():
     return F.sha2(F.concat_ws("|", "name", "country_iso2", "kind"), 256)
 
 
-def _ring_edges(ring, outer):
-    """Edges of a closed ring, counter-clockwise when outer and clockwise when a hole."""
+def _between(ring):
+    """Edges from each point of a line to the next."""
     points = F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
     count = F.greatest(F.size(ring) - 1, F.lit(0))
+    return once(points, lambda xy: F.zip_with(F.slice(xy, 1, count), F.slice(xy, 2, count), lambda a, b: F.struct(
+        a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))))
+
 
-    def between(xy):
-        return F.zip_with(F.slice(xy, 1, count), F.slice(xy, 2, count), lambda a, b: F.struct(
-            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+def _doubled(edges):
+    return F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + e["x1"] * e["y2"] - e["x2"] * e["y1"])
 
-    def wound(edges):
-        doubled = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + e["x1"] * e["y2"] - e["x2"] * e["y1"])
-        flipped = F.transform(edges, lambda e: F.struct(
-            e["x2"].alias("x1"), e["y2"].alias("y1"), e["x1"].alias("x2"), e["y1"].alias("y2")))
-        return F.when((doubled < 0) == outer, flipped).otherwise(edges)
 
+def _turned(edges):
+    return F.transform(edges, lambda e: F.struct(
+        e["x2"].alias("x1"), e["y2"].alias("y1"), e["x1"].alias("x2"), e["y1"].alias("y2")))
+
+
+def _ring_edges(ring, outer):
+    """Edges of a closed ring, counter-clockwise when outer and clockwise when a hole."""
     # Each step is computed once: a ring may have a hundred thousand points.
-    return once(once(points, between), wound)
+    return once(_between(ring), lambda edges: F.when((_doubled(edges) < 0) == outer, _turned(edges)).otherwise(edges))
 
 
 def load_areas(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Boundary rows (name, country_iso2, kind, admin_level, parent_id, geometry as GeoJSON text)
     to areas, edges and rejects. A polygon counts as a multipolygon of one; heights are
     dropped; anything else is a reject with its reason. The latest of rows with one key wins
-    when there is a `seq` column."""
+    when there is a `seq` column.
+
+    Borders too long for one row come in parts, if there are the columns `ring_id` and `part`: the rows
+    of a key (and `seq`) are LineStrings, which make up each ring in the order of `part`. A part begins
+    where the one before ends, the first where the last ends. Ring 0 is the outer one, others are holes.
+    An area with a part that is rejected is rejected as a whole; no ring is ever gathered."""
+    if "part" in features.columns:
+        return _load_parts(features)
     shape = F.from_json("geometry", "struct<type:string,coordinates:string>")
     parsed = features.withColumn("_shape", shape)
     text = F.col("_shape.coordinates")
@@ -87,6 +99,47 @@ def load_areas(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return areas, edges, rejects
 
 
+def _load_parts(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`load_areas` for borders in parts."""
+    key, shape = ["name", "country_iso2", "kind"], F.from_json("geometry", "struct<type:string,coordinates:string>")
+    version = [*key, *(["seq"] if "seq" in features.columns else [])]
+    parsed = features.withColumn("_shape", shape).withColumn(
+        "_points", F.when(F.col("_shape.type") == "LineString", F.from_json(F.col("_shape.coordinates"), _RING)))
+    broken = F.col("_points").isNull() | (F.size("_points") < 2) | F.exists("_points", lambda p: p.isNull() | (F.size(p) < 2))
+    parsed = parsed.withColumn(
+        "_own",
+        F.when(F.col("_shape.type").isNull(), "no geometry")
+        .when(F.col("_shape.type") != "LineString", F.concat(F.lit("a part must be a LineString, got "), F.col("_shape.type")))
+        .when(broken, "coordinates cannot be read")
+        .when(F.greatest(*[F.col(c).isNull() for c in version]), "key is null")
+        .when(F.col("admin_level").isNull(), "admin_level is null")
+        .when(F.col("ring_id").isNull() | F.col("part").isNull(), "ring_id or part is null"))
+    # A row for each part: where it begins and ends, and twice the size that its edges sweep.
+    ends = [F.struct(*[F.get(F.element_at("_points", at), F.lit(i)) for i in (0, 1)]) for at in (1, -1)]
+    heads = cut_lineage(parsed.filter(~F.greatest(*[F.col(c).isNull() for c in version])).select(
+        *version, "admin_level", "parent_id", "ring_id", "part", "_own", ends[0].alias("_from"), ends[1].alias("_to"),
+        once(_between(F.col("_points")), _doubled).alias("_doubled")))
+    ring = Window.partitionBy(*version, "ring_id").orderBy("part")
+    last = F.last("_to").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    joined = (F.coalesce(F.lag("_to").over(ring), last) == F.col("_from")) & ~F.lag("part").over(ring).eqNullSafe(F.col("part"))
+    checked = heads.select("*", F.coalesce("_own", F.when(joined, None).otherwise("parts do not follow each other")).alias("_wrong"))
+    versions = checked.groupBy(*version).agg(
+        F.min("_wrong").alias("_wrong"), F.min(F.struct("ring_id", "part", "admin_level", "parent_id")).alias("_first"))
+    states = cut_lineage(versions)
+    bad = states.filter("_wrong IS NOT NULL").select(*version, F.lit("another part cannot be used: ").alias("_why"), "_wrong")
+    rejects = lookup_join(parsed, bad, version, ["part"], "left").withColumn(
+        "reason", F.coalesce("_own", F.concat("_why", "_wrong"))).filter("reason IS NOT NULL").select(*features.columns, "reason")
+    good = first_per_group(states.filter("_wrong IS NULL"), key, [F.col(c).desc() for c in version[3:]] or ["name"]).select(
+        *version, "_first.admin_level", "_first.parent_id", _area_id().alias("id"))
+    turns = heads.groupBy(*version, "ring_id").agg(((F.sum("_doubled") < 0) == (F.col("ring_id") == 0)).alias("_turn"))
+    rings = turns.join(good.select(*version, F.col("id").alias("area_id")), version)
+    parts = lookup_join(parsed.filter("_own IS NULL").select(*version, "ring_id", "part", "_points"), rings, [*version, "ring_id"], ["part"])
+    edges = parts.select(
+        "area_id", F.lit(0).alias("polygon_id"), "ring_id",
+        F.inline(once(_between(F.col("_points")), lambda edges: F.when(F.col("_turn"), _turned(edges)).otherwise(edges))))
+    return good.select("id", *key, "admin_level", "parent_id"), with_area_facts(edges), rejects
+
+
 _COORDINATES = ["x1", "y1", "x2", "y2"]
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo
+from catalog import places
 from placeweave.operators import areas as A
 from placeweave.operators import cover
 
@@ -239,3 +240,41 @@ def test_dense_coasts_are_split(spark, monkeypatch):
     assert got == {("l", "r")} and len(seen) > 1
     joined = [s.filter("NOT dense").agg(F.max(F.col("l") * F.col("r"))).first()[0] or 0 for s in seen]
     assert max(joined) <= A.PAIRS
+
+
+def test_borders_in_parts_equal_whole_ones(spark):
+    rng = random.Random(12)
+    schema = "seq int, name string, country_iso2 string, kind string, admin_level int, parent_id string, ring_id int, part int, geometry string"
+
+    def parts(seq, name, ring_id, ring, cuts):
+        at = [0, *cuts, len(ring) - 1]
+        return [(seq, name, "SG", "state", 4, None, ring_id, k, json.dumps({"type": "LineString", "coordinates": ring[i:j + 1]}))
+                for k, (i, j) in enumerate(zip(at, at[1:]))]
+
+    rings = {}
+    for name in ("a", "b", "c"):
+        ring = [[100 + rng.uniform(1, 2) * math.cos(i * math.pi / 50), 3 + rng.uniform(1, 2) * math.sin(i * math.pi / 50)] for i in range(100)]
+        rings[name] = (ring + [ring[0]])[::rng.choice([1, -1])]
+    hole = [[99.7, 2.7], [100.3, 2.7], [100.3, 3.3], [99.7, 3.3], [99.7, 2.7]]
+    rows = parts(1, "a", 0, rings["a"], [10, 11, 60]) + parts(1, "b", 0, rings["b"], [50]) + parts(2, "c", 0, rings["c"], [])
+    rows += parts(1, "b", 1, hole, [2, 3]) + parts(1, "c", 0, rings["a"], [7])
+    rows += parts(1, "gap", 0, rings["a"], [20, 40])[::2] + parts(1, "open", 0, rings["a"][:-1], [20])
+    rows += [*parts(1, "odd", 0, rings["a"], [30]), (1, "odd", "SG", "state", 4, None, 1, 0, polygon(SQUARE)), (1, None, "SG", "state", 4, None, 0, 0, polygon(SQUARE))]
+    areas, edges, rejects = A.load_areas(spark.createDataFrame(rng.sample(rows, len(rows)), schema).repartition(3))
+    whole, borders, _ = A.load_areas(features(spark, [(1, n, "SG", "state", 4, None, polygon(*([r, hole] if n == "b" else [r]))) for n, r in rings.items()]))
+    assert sorted(map(tuple, areas.collect())) == sorted(map(tuple, whole.collect()))
+    kept = ["area_id", "ring_id", "x1", "y1", "x2", "y2", "area_size", "fineness"]
+    assert sorted(map(tuple, edges.select(kept).collect())) == sorted(map(tuple, borders.select(kept).collect()))
+    assert sorted((str(r["name"]), r["reason"]) for r in rejects.collect()) == sorted(
+        [("gap", "another part cannot be used: parts do not follow each other")] * 2 + [("open", "another part cannot be used: parts do not follow each other")] * 2
+        + [("odd", "another part cannot be used: a part must be a LineString, got Polygon")] * 2
+        + [("odd", "a part must be a LineString, got Polygon"), ("None", "a part must be a LineString, got Polygon")])
+
+
+def test_a_ring_per_priority_holds_all_its_orders(spark, tmp_path):
+    rows = [(k, k * 7 % 1000, ["1-URGENT", "2-HIGH"][k // 1000 % 2]) for k in range(0, 400_000, 1000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "none" / "orders.parquet"))
+    got = {r["name"]: r["edges"] for r in places.geojson_long_rings(spark, str(tmp_path)).collect()}
+    assert got == {p: sum(r[2] == p for r in rows) for p in ("1-URGENT", "2-HIGH")}
+    assert places.geojson_long_rings(spark, str(tmp_path / "none")).count() == 0
