@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from placeweave.llm import boosting as B
 from placeweave.llm import private_data as P
@@ -153,3 +155,34 @@ def test_query_equals_plain_patterns(spark):
         named = [f"{P.KINDS[k]}:{a}:{b}" for k, a, b in base]
         assert row["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
         assert set(named) <= set(row["spans"].split(","))
+
+
+def test_all_documents_are_learnt_from(spark):
+    """Cards in 40 of 80,000 documents: a sample would hold too few."""
+    rng, ids = random.Random(3), {True: [], False: []}
+    for i in range(1000):
+        ids[zlib.crc32(str(i).encode()) % 5 == 0].append(i)
+    rows = [(i, f"pay {card(rng)} for {rng.randrange(10**13, 10**14)} and {rng.randrange(10**13, 10**14)}") for late in (True, False) for i in ids[late][:20]]
+    plain = spark.range(1000, 81_000).selectExpr("id AS doc_id", "'of the' AS text")
+    judge = P.fit(spark.createDataFrame(rows, "doc_id long, text string").unionByName(plain))
+    assert P.KINDS.index("card") in judge.models
+
+
+def test_trees_from_rows_in_spark_equal_those_in_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(9000, 4)), 2)
+    y = (x[:, 0] + x[:, 2] ** 2 + rng.normal(0, 0.3, 9000) > 0.7).astype(int)
+    data = [(k % 2, int(y[k]), x[k].tobytes()) for k in range(9000)]
+    rows = spark.createDataFrame(data, "kind int, label int, features binary").repartition(5).groupBy("kind", "label", "features").agg(F.count("*").alias("n"))
+    cuts = B.quantiles(rows, 4)
+    shares = {k: y[k::2].mean() for k in (0, 1)}
+    models = B.fit_rows(B.coded(rows, cuts, 4).cache(), cuts, shares, rounds=3)
+    counts = B.margin_counts(rows, models, 4)
+    for k in (0, 1):
+        here, there = B.fit(x[k::2], y[k::2], rounds=3), models[k]
+        assert np.array_equal(here.features, there.features) and np.array_equal(here.limits, there.limits) and np.allclose(here.values, there.values)
+        B.calibrate(here, x[k::2], y[k::2])
+        B.calibrate_counts(there, *counts[k])
+        p = here.probability(x[k::2])
+        assert np.allclose(p, there.probability(x[k::2]))
+        assert np.isclose(B.threshold(p, y[k::2], 0.9), B.threshold(there.scaled(counts[k][0]), counts[k][1], 0.9, counts[k][2]))
