@@ -5,11 +5,14 @@ last, the others are ordered by hash. Two sets of Jaccard similarity s share a g
 first (1 - s) part of either, and k grams within prefixes that are k - 1 longer. Only such
 prefixes are shuffled. Sets that share fewer than k prefix grams with sets of fitting size are
 out, and of the others those that share less than s of all their grams with such sets. The rest
-are chained where they meet at a prefix gram, and the chains' connected parts (candidates) are
-joined exactly, each in a prefix tree: sets are paths, shared partial overlaps are counted once,
-and subtrees whose remaining length cannot reach the similarity are left out, as are those that
-are already connected to the probe. Candidate parts too large for one task are cut into blocks,
-and each pair of blocks is a task of bounded size.
+are ordered anew, by how many of the rest hold a gram, and their grams that no set of fitting size
+has are left out. They are chained where they meet at a prefix gram of this order, and the chains'
+connected parts (candidates) are joined exactly, each in a prefix tree: sets are paths, shared
+partial overlaps are counted once, and subtrees whose remaining length cannot reach the similarity
+are left out, as are those that are already connected to the probe. Candidate parts too large for
+one task are ordered and chained once more within themselves. What stays too large is cut into
+blocks by size and hash; each pair of blocks whose sizes fit is a task of bounded size, and the
+pairs meet in rounds, so that a round's copies are at most three of each set.
 
 Equal sets are one node, so copies cost nothing. The result is a component per document; links
 within a component are not all listed. The count sketch has a fixed size and orders grams only:
@@ -20,6 +23,9 @@ those that share an id; a null id counts as the largest and is shown as null. Re
 linked like other copies. Empty tables give no rows. Other columns are not read.
 """
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeweave.llm.common import LAST_ID, components, order_id, written
+from placeweave.llm.common import LAST_ID, components, drop_written, order_id, scratch, written
 from placeweave.llm.shingles import WordHashes, shingle_sets, slices
 
 SIZE = 5
@@ -39,6 +45,8 @@ EXTRA, OF_EXTRA = 8, 100
 CELLS, PARTS, FREQUENT, LEAST_FREQUENT = 1 << 21, 64, 4, 16
 # Grams that a task joins at most; larger candidate parts are cut into blocks of half as many.
 TASK_GRAMS = 4_000_000
+# Grams of prefixes, and texts, are shuffled in so many shares, one after the other.
+PASSES = 2
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -70,9 +78,10 @@ def count_sketch(texts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": [part], "counts": [counts.tobytes()]})
 
     rows = texts.mapInArrow(count, "part long, width long, counts binary").repartition(PARTS, "part").mapInArrow(add, "part long, counts binary")
-    cells = np.zeros(CELLS, np.int64)
+    cells, rows = np.zeros(CELLS, np.int64), written(rows, "cells")
     for row in rows.toLocalIterator():
         cells[row["part"] * (CELLS // PARTS):(row["part"] + 1) * (CELLS // PARTS)] = np.frombuffer(row["counts"], np.int64)
+    drop_written(rows)
     return cells
 
 
@@ -244,25 +253,37 @@ _BEFORE = f"node <> before AND smaller * {OF} >= n * {SIMILAR}"
 _AFTER = f"node <> after AND n * {OF} >= larger * {SIMILAR}"
 
 
+def _counts(grams: DataFrame) -> DataFrame:
+    """Rows (node, n, shared): how many of its grams a node shares with others of fitting size."""
+    return _met(grams).filter(f"({_BEFORE}) OR ({_AFTER})").groupBy("node", "n").agg(F.count("*").alias("shared"))
+
+
 def _sharing(grams: DataFrame, least) -> DataFrame:
     """Nodes that share at least so many of their grams with others of fitting size."""
-    shared = _met(grams).filter(f"({_BEFORE}) OR ({_AFTER})").groupBy("node", "n").agg(F.count("*").alias("shared"))
-    return shared.filter(F.col("shared") >= least).select("node")
+    return _counts(grams).filter(F.col("shared") >= least).select("node")
+
+
+def _sharing_in_passes(grams: DataFrame, least) -> DataFrame:
+    """The same, with a share of all grams shuffled at a time."""
+    counts = [written(_counts(grams.filter(F.pmod("gram", F.lit(PASSES)) == k)), "counts") for k in range(PASSES)]
+    total = reduce(DataFrame.unionByName, counts).groupBy("node", "n").agg(F.sum("shared").alias("shared"))
+    sharing = written(total.filter(F.col("shared") >= least).select("node"), "sharing")
+    for rows in counts:
+        drop_written(rows)
+    return sharing
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("grams").alias("gram"), "n", "node")
 
 
-def whole_sets(documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Rows (node, n, grams) with all grams of the nodes whose prefixes share enough."""
-    # A partner has SIMILAR of n grams at least, and its prefix the extra of those.
-    least = F.floor(F.ceil(F.col("n") * SIMILAR / OF) * EXTRA / OF_EXTRA) + 1
-    sharing = written(_sharing(_exploded(rows), least), "sharing")
-    members = (
-        rows.filter("n > 0").select("node", "n", "key", "tie").join(sharing, "node").groupBy("node", "n")
-        .agg(F.min(F.struct("key", "tie")).alias("first")).select("node", "n", "first.*")
-    )
+def whole_sets(documents: DataFrame, rows: DataFrame, sharing: DataFrame, size: int) -> DataFrame:
+    """Rows (node, n, grams) with all grams of the nodes whose prefixes share enough. A share of
+    the texts is shuffled at a time."""
+    spark, path = documents.sparkSession, scratch(documents.sparkSession, "whole")
+    members = written(
+        rows.filter("n > 0").join(sharing, "node").groupBy("node", "n")
+        .agg(F.min(F.struct("key", "tie")).alias("first")).select("node", "n", "first.*"), "members")
 
     def task(batches):
         seen = WordHashes()
@@ -270,30 +291,106 @@ def whole_sets(documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
             grams = [g.view(np.int64) for texts in slices(batch.column(2)) for g in shingle_sets(texts, size, seen)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "grams"])
 
-    texts = documents.join(members, ["key", "tie"]).select("node", "n", "text")
-    return texts.mapInArrow(task, "node long, n long, grams array<long>")
+    schema, own = "node long, n long, grams array<long>", F.pmod(F.xxhash64("key", "tie"), F.lit(PASSES))
+    paths = [f"{path}/{k}" for k in range(PASSES)]
+    for k, to in enumerate(paths):
+        texts = documents.filter(own == k).join(members.filter(own == k).hint("merge"), ["key", "tie"]).select("node", "n", "text")
+        written(texts.mapInArrow(task, schema), "whole", to)
+    drop_written(members)
+    return spark.read.schema(schema).parquet(*paths)
 
 
-def candidate_parts(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (node, part): nodes that may be similar to another, with the part they fall in."""
-    close = written(_sharing(_exploded(sets), F.ceil(F.col("n") * SIMILAR / OF)), "close")
-    edges = _met(_exploded(rows.join(close, "node"))).filter(_BEFORE)
-    linked = components(edges.select("node", "before").distinct())
+def _shared_grams(grams: DataFrame) -> DataFrame:
+    """Rows (node, n, gram) of what a set of fitting size has as well. The gram has the number of
+    sets that hold it, 127 at most, in its upper bits."""
+    near = Window.partitionBy("gram").orderBy("n", "node")
+    found = grams.select(
+        "gram", "n", "node", F.lag("node").over(near).alias("before"), F.lag("n").over(near).alias("smaller"),
+        F.lead("node").over(near).alias("after"), F.lead("n").over(near).alias("larger"),
+        F.count(F.lit(1)).over(Window.partitionBy("gram")).alias("sets")).filter(f"({_BEFORE}) OR ({_AFTER})")
+    place = F.shiftleft(F.least("sets", F.lit(127)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned("gram", 8))
+    return found.select("node", "n", place.alias("gram"))
+
+
+def _chained(grams: DataFrame) -> DataFrame:
+    """Rows (node, part): sets that may be similar, with those that they are chained to. Similar
+    sets share SIMILAR of either's n grams at least, all among those that a set of fitting size has
+    as well. Of these the ones that fewest sets hold are the prefix: all but one less than that share."""
+    least = F.ceil(F.col("n") * SIMILAR / OF).cast("int")
+    own = _shared_grams(grams).groupBy("node", "n").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+    own = own.filter(F.size("grams") >= least)
+    prefixes = written(own.select("node", "n", F.slice("grams", F.lit(1), F.size("grams") - least + 1).alias("grams")), "prefixes")
+    linked = components(_met(_exploded(prefixes)).filter(_BEFORE).select("node", "before").distinct())
+    drop_written(prefixes)
     return linked.select(F.col("v").alias("node"), F.col("m").alias("part")).unionByName(
         linked.select(F.col("m").alias("node"), F.col("m").alias("part")).distinct())
 
 
+def candidate_parts(sets: DataFrame) -> DataFrame:
+    """Rows (node, part, grams): nodes that may be similar to another, with the part they fall in and
+    its size. Parts too large for one task are chained anew by what is shared within them, until that
+    makes the largest hardly smaller."""
+    sizes = sets.select("node", "n")
+    close = written(_sharing(_exploded(sets), F.ceil(F.col("n") * SIMILAR / OF)), "close")
+    chained, done, largest = _chained(_exploded(sets.join(close, "node"))), [], None
+    while True:
+        parts = chained.join(sizes, "node")
+        totals = parts.groupBy("part").agg(F.sum("n").alias("grams"))
+        parts = written(parts.join(totals, "part").select("node", "part", "grams"), "parts")
+        most = parts.agg(F.max("grams")).first()[0]
+        if most is None or most <= TASK_GRAMS or (largest and most > 0.9 * largest):
+            return reduce(DataFrame.unionByName, [*done, parts])
+        largest = most
+        done.append(parts.filter(F.col("grams") <= TASK_GRAMS))
+        within = sets.join(parts.filter(F.col("grams") > TASK_GRAMS).select("node", "part"), "node")
+        # The same gram in two parts is two grams.
+        chained = _chained(within.select("n", "node", "part", F.explode("grams").alias("gram")).select(
+            F.xxhash64("gram", "part").alias("gram"), "n", "node"))
+
+
+def _dealt(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (node, part, level, block, blocks, below, above): members of parts too large for one task
+    by levels of size, so that similar sets are on one level or on two that follow each other, and
+    levels in blocks by hash; with the numbers of blocks of the level, the one below and the one above."""
+    width = math.log(OF / SIMILAR) * (1 + 1e-9)
+    large = F.col("grams") > TASK_GRAMS
+    members = parts.join(sets.select("node", "n"), "node").select(
+        "node", "n", "part", large.alias("large"), F.when(large, F.floor(F.log("n") / width)).otherwise(0).cast("int").alias("level"))
+    blocks = F.when(F.col("large"), F.ceil(F.sum("n") / (TASK_GRAMS // 2))).otherwise(1).cast("int")
+    levels = members.groupBy("part", "level", "large").agg(blocks.alias("blocks"))
+    up = Window.partitionBy("part").orderBy("level")
+    below = F.when(F.lag("level").over(up) == F.col("level") - 1, F.lag("blocks").over(up)).otherwise(0)
+    above = F.when(F.lead("level").over(up) == F.col("level") + 1, F.lead("blocks").over(up)).otherwise(0)
+    levels = levels.select("part", "level", "blocks", below.alias("below"), above.alias("above"))
+    return members.select("node", "part", "level").join(levels, ["part", "level"]).withColumn(
+        "block", F.pmod("node", F.col("blocks")).cast("int"))
+
+
+def _meeting(at: int):
+    """The blocks that a set's block meets in a round, three at most: of its level, of the next one
+    and of the one below. Blocks i and j meet if i + j is the round's number modulo the larger number of blocks."""
+    level, block, found = F.col("level"), F.col("block"), []
+    for name, pair in (("blocks", 2 * level), ("above", 2 * level + 1), ("below", 2 * level - 1)):
+        most = F.greatest("blocks", name)
+        other = F.pmod(F.lit(at) - block, most).cast("int")
+        i, j = {"blocks": (F.least(block, other), F.greatest(block, other)), "above": (block, other), "below": (other, block)}[name]
+        found.append(F.when((most > at) & (other < F.col(name)), F.struct(pair.alias("pair"), i.alias("i"), j.alias("j"))))
+    return F.filter(F.array(*found), lambda m: m.isNotNull())
+
+
 def links_in_parts(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Spanning links of every candidate part."""
-    members = parts.join(sets.select("node", "n"), "node")
-    totals = members.groupBy("part").agg(F.sum("n").alias("grams"))
-    blocks = F.when(F.col("grams") <= TASK_GRAMS, 1).otherwise(F.ceil(F.col("grams") / (TASK_GRAMS // 2))).cast("int")
-    dealt = parts.join(totals.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod("node", F.col("blocks")).cast("int"))
-    # A block meets every block of its part, itself included: one row per meeting.
-    meets = sets.join(dealt, "node").select(
-        "part", "node", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meets = meets.select("part", "node", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return meets.groupBy("part", "i", "j").applyInArrow(lambda table: _join_group(table), "a long, b long")
+    """Spanning links of every candidate part. Blocks of large parts meet in rounds, for each of which
+    a set is copied three times at most."""
+    spark = sets.sparkSession
+    path, dealt = scratch(spark, "similar"), written(_dealt(sets, parts), "dealt")
+    turns = F.greatest("blocks", "below", "above")
+    rounds = [f"{path}/{at}" for at in range(dealt.agg(F.max(turns)).first()[0] or 1)]
+    for at, to in enumerate(rounds):
+        now = dealt.filter(turns > at).select("node", "part", F.explode(_meeting(at)).alias("meet"))
+        meets = sets.select("node", "grams").join(now, "node").select("node", "grams", "part", "meet.*")
+        written(meets.groupBy("part", "pair", "i", "j").applyInArrow(lambda table: _join_group(table), "a long, b long"), "similar", to)
+    drop_written(dealt)
+    return spark.read.schema("a long, b long").parquet(*rounds)
 
 
 def similar_documents(documents: DataFrame, size: int = SIZE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -305,9 +402,15 @@ def similar_documents(documents: DataFrame, size: int = SIZE, id_column: str = "
         F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     spark = documents.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_cells(count_sketch(docs.select("text"), size)))
-    rows = written(sets_of(docs, size, frequent), "sets")
-    whole = written(whole_sets(docs, rows, size), "whole")
-    links = written(links_in_parts(whole, written(candidate_parts(rows, whole), "parts")), "similar")
+    sets = written(sets_of(docs, size, frequent), "sets")
+    # A partner has SIMILAR of n grams at least, and its prefix the extra of those.
+    least = F.floor(F.ceil(F.col("n") * SIMILAR / OF) * EXTRA / OF_EXTRA) + 1
+    sharing = _sharing_in_passes(_exploded(sets), least)
+    rows = written(sets.drop("grams"), "rows")
+    drop_written(sets)
+    whole = whole_sets(docs, rows, sharing, size)
+    links = links_in_parts(whole, candidate_parts(whole))
+    drop_written(whole)
     roots = components(links)
     narrow = rows.select("doc_id", "key", "tie", "n", "node").join(roots.withColumnRenamed("v", "node"), "node", "left")
     root = F.coalesce("m", "node")

@@ -107,6 +107,43 @@ def test_blocks_give_the_same_groups(tables, monkeypatch):
     assert sorted(got, key=repr) == similar_brute(docs)
 
 
+def test_common_passages_do_not_chain_documents(tables, monkeypatch):
+    rng = random.Random(8)
+    passages = [rng.choices([f"p{i}" for i in range(90)], k=9) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        own = [f"d{i}w{j}" for j in range(60)]
+        words = own + rng.choice(passages) + rng.choice(passages) + own[:3] + rng.choice(passages)
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + ["end"]))]
+    sizes, links = [], N.links_in_parts
+
+    def seen(sets, parts):
+        sizes.extend(r["count"] for r in parts.groupBy("part").count().collect())
+        return links(sets, parts)
+
+    monkeypatch.setattr(N, "links_in_parts", seen)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.similar_documents(tables(docs, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == similar_brute(docs)
+    assert sum(sizes) == 120 and max(sizes) <= 6
+
+
+def test_each_two_blocks_meet_in_one_round(spark):
+    blocks = {3: 4, 4: 1, 5: 7, 7: 2}
+    rows = [(level, b, n, blocks.get(level - 1, 0), blocks.get(level + 1, 0)) for level, n in blocks.items() for b in range(n)]
+    dealt = spark.createDataFrame(rows, "level int, block int, blocks int, below int, above int")
+    met = []
+    for at in range(7):
+        found = {}
+        for r in dealt.select("level", "block", N._meeting(at).alias("meets")).collect():
+            assert len(r["meets"]) <= 3
+            for m in r["meets"]:
+                found.setdefault(tuple(m), set()).add((r["level"], r["block"]))
+        assert all(1 <= len(who) <= 2 for who in found.values())
+        met += [tuple(sorted(who)) for who in found.values()]
+    own = [(level, b) for level, n in blocks.items() for b in range(n)]
+    assert sorted(met, key=repr) == sorted([(x,) for x in own] + [(x, y) for x in own for y in own if x < y and y[0] - x[0] <= 1], key=repr)
+
+
 def test_one_of_each_group_is_first(tables):
     docs = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "A b c d e f"), (4, None), (5, "x"), (None, "a b c d e f")]
     rows = N.similar_documents(tables(docs, "doc_id long, text string")).collect()
