@@ -10,6 +10,7 @@ from placeweave.functions import geo, trigram
 from placeweave.operators import areas as A
 from placeweave.operators import classify, pages
 from placeweave.operators.search import search_locations
+from placeweave.operators import search_many
 from placeweave.operators.search_many import search_locations_many, similar_pairs
 from placeweave.sources import buckets, logs, manifests, readers, writers
 
@@ -203,3 +204,44 @@ def test_names_that_all_resemble_a_query_are_not_all_met(spark):
     assert sum(map(len, want.values())) > 150_000 and len(met) < 30_000
     whole = similar_pairs(names, queries.filter("length(query) > 13"), "id").collect()
     assert {(r["query"], r["id"], r["sim"]) for r in whole} == {(q, i, s) for q, f in want.items() if len(q) > 13 for i, s in f.items()}
+
+
+def test_names_that_share_two_rare_trigrams_only_are_not_met(spark, monkeypatch):
+    rng = random.Random(6)
+    names = spark.createDataFrame(
+        [(i, f"Customer Town {rng.randrange(10 ** 6):09d}") for i in range(3000)], "id int, name string").withColumn("grams", trigram.trigrams("name"))
+    queries = spark.createDataFrame(
+        [(f"Customer#{rng.randrange(10 ** 6):09d}"[:rng.randint(15, 18)],) for _ in range(150)], "query string").distinct().withColumn("grams", trigram.trigrams("query"))
+    counted, measured = [], search_many._measured
+
+    def seen(pairs, *rest):
+        counted.append(pairs.count())
+        return measured(pairs, *rest)
+
+    monkeypatch.setattr(search_many, "_measured", seen)
+    got = similar_pairs(names, queries, "id", best=5)
+    best = names.crossJoin(queries.select("query", F.col("grams").alias("q"))).select("id", "query", trigram.similarity(F.col("grams"), F.col("q")).alias("sim"))
+    want = {}
+    for r in best.filter("sim >= 0.3").collect():
+        want.setdefault(r["query"], []).append((r["sim"], r["id"]))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query"], set()).add((r["sim"], r["id"]))
+    for q, all_ in want.items():
+        last = sorted(all_, reverse=True)[:5][-1][0]
+        assert {p for p in all_ if p[0] >= last} <= found[q] <= set(all_)
+    assert counted[-1] < 3 * sum(map(len, found.values()))
+
+
+def test_the_best_of_many_names_that_begin_with_a_query(spark):
+    rows = [(i, f"Town {i % 7}{'x' * (i % 11)} {i}") for i in range(400)] + [(400, "To"), (401, "To!"), (402, "to wn"), (403, "??"), (404, "?")]
+    names = spark.createDataFrame(rows, "id int, name string").withColumn("grams", trigram.trigrams("name"))
+    queries = spark.createDataFrame([("to",), ("Town 1",), ("?",), ("zz",), ("",)], "query string")
+    got = {}
+    for r in search_many.prefix_pairs(names, queries, "id", best=4).collect():
+        got.setdefault(r["query"], set()).add(r["id"])
+    for q in ("to", "Town 1", "?"):
+        every = names.filter(F.startswith(F.lower("name"), F.lit(q.lower()))).select(
+            "id", trigram.similarity(F.col("grams"), trigram.trigrams(F.lit(q))).alias("sim"), F.length("name").alias("n")).collect()
+        assert got[q] == {r["id"] for r in sorted(every, key=lambda r: (-r["sim"], r["n"], r["id"]))[:4]}, q
+    assert got.keys() == {"to", "Town 1", "?"}
