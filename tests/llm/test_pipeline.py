@@ -104,3 +104,19 @@ def test_all_eleven_are_registered():
     names = set(e.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert gram_set("a") and LAST_ID > 0
+
+
+def test_near_duplicates_drop_prefixes_before_sets_are_joined(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [t + " end" for t in texts])], "doc_id long, text string")
+    left, links = [], C.ngram_join.links_in_parts
+
+    def seen(sets, parts):
+        left.extend(p.name.rpartition("-")[0] for p in tmp_path.rglob("*") if p.is_dir())
+        return links(sets, parts)
+
+    monkeypatch.setattr(C.ngram_join, "links_in_parts", seen)
+    monkeypatch.setattr("placeweave.llm.common.shared_folder", lambda _: str(tmp_path))
+    kept = C.near_duplicates(spark, docs, "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(30))
+    assert "whole" in left and "rows" in left and not {"sets", "cells", "counts", "members"} & set(left)
